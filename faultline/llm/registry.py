@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from faultline.llm import substring_dedup
+from faultline.llm import decontamination, packing, substring_dedup
 
 
 def queries() -> dict:
-    return {"op10_substring_dedup": substring_dedup.op10_substring_dedup}
+    return {
+        "op7_decontamination": decontamination.op7_decontamination,
+        "op9_packing": packing.op9_packing,
+        "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op7_decontamination": decontamination.ORACLE,
+        "op10_substring_dedup": substring_dedup.ORACLE,
+    }

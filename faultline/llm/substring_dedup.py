@@ -298,3 +298,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = r"""
+with d as (select row_number() over () as r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+g as (select r, doc_id, p, md5(array_to_string(w[p : p + 12], ' ')) as h from (select r, doc_id, w, unnest(range(1, len(w) - 11)) as p from d where len(w) >= 13)),
+f as (select h, min(doc_id) as least from g group by h having min(doc_id) < max(doc_id)),
+gone as (select r, list(distinct q) as qs from (select r, unnest(range(p, p + 13)) as q from g join f using (h) where doc_id > least) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(qs), 0) as bigint) as n_removed,
+  sha256(case when qs is null then array_to_string(w, ' ') else array_to_string(list_filter(w, lambda x, i: not list_contains(qs, i)), ' ') end) as kept_sha256
+from d left join gone using (r)
+"""
