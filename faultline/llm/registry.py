@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from faultline.llm import decontamination, packing, substring_dedup
+from faultline.llm import decontamination, ngram_join, packing, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op7_decontamination": decontamination.op7_decontamination,
         "op9_packing": packing.op9_packing,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
