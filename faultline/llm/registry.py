@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from faultline.llm import decontamination, ngram_join, packing, substring_dedup
+from faultline.llm import decontamination, license_scan, line_dedup, ngram_join, packing, quality_classifier, substring_dedup, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_url_filter": url_filter.op2_url_filter,
+        "op4_license_scan": license_scan.op4_license_scan,
         "op5_ngram_join": ngram_join.op5_ngram_join,
+        "op6_quality_classifier": quality_classifier.op6_quality_classifier,
         "op7_decontamination": decontamination.op7_decontamination,
         "op9_packing": packing.op9_packing,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
@@ -16,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op2_url_filter": url_filter.ORACLE,
         "op7_decontamination": decontamination.ORACLE,
         "op10_substring_dedup": substring_dedup.ORACLE,
     }
