@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultline.llm import decontamination, license_scan, line_dedup, ngram_join, packing, quality_classifier, substring_dedup, url_filter
+from faultline.llm import decontamination, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_quality_classifier": quality_classifier.op6_quality_classifier,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_packing": packing.op9_packing,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
@@ -22,5 +23,6 @@ def oracle_sql() -> dict:
     return {
         "op2_url_filter": url_filter.ORACLE,
         "op7_decontamination": decontamination.ORACLE,
+        "op8_quality_rules": quality_rules.ORACLE,
         "op10_substring_dedup": substring_dedup.ORACLE,
     }
