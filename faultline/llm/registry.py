@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from faultline.llm import decontamination, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, url_filter
+from faultline.llm import decontamination, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, surrogates, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_surrogates": surrogates.op3_surrogates,
         "op4_license_scan": license_scan.op4_license_scan,
         "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_quality_classifier": quality_classifier.op6_quality_classifier,
