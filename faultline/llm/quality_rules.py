@@ -135,7 +135,9 @@ def cascade(docs: DataFrame, rules: list[Rule]) -> DataFrame:
                 out = out.withColumn(f"q__{column}", F.when(_c("verdict").isNull(), made()))
                 done.add(column)
         out = out.withColumn("q__verdict", F.coalesce(_c("verdict"), F.when(rule.reject(), F.lit(rule.name))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], _c("verdict").alias("rejected_by"))
+    # Not deterministic for Catalyst, so that a filter on it isn't pushed below the guarded columns, which would unfold them.
+    verdict = F.when(F.spark_partition_id() >= 0, _c("verdict"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], verdict.alias("rejected_by"))
 
 
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:

@@ -12,17 +12,21 @@ def norm(text):
 
 
 def brute(docs, items, window=10):
+    owners = {}
+    for i, it in items:
+        q = norm(it)
+        for p in range(max(1, len(q) - window + 1)) if q else ():
+            owners.setdefault(tuple(q[p : p + window]), set()).add(i)
+    sizes = {len(g) for g in owners}
     out = []
     for d, text in docs:
         w, hit, ids = norm(text), set(), set()
-        for i, it in items:
-            q = norm(it)
-            for p in range(max(1, len(q) - window + 1)) if q else ():
-                g = q[p : p + window]
-                for a in range(len(w) - len(g) + 1):
-                    if w[a : a + len(g)] == g:
-                        hit.update(range(a, a + len(g)))
-                        ids.add(i)
+        for size in sizes:
+            for a in range(len(w) - size + 1):
+                who = owners.get(tuple(w[a : a + size]))
+                if who:
+                    hit.update(range(a, a + size))
+                    ids |= who
         out.append((d, len(w), len(hit), sorted(ids)))
     return sorted(out, key=str)
 

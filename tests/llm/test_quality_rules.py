@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from faultline.llm import quality_rules as q
 
@@ -10,9 +11,9 @@ def brute(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-    covered = set()
+    covered, times = set(), Counter(grams)
     for i, g in enumerate(grams):
-        if grams.count(g) > 1:
+        if times[g] > 1:
             covered.update(range(i, i + 5))
     return {
         "n_words": len(w),
