@@ -32,7 +32,7 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of least doc_id, of each class of near duplicates."""
     stay = ngram_join.near_duplicates(docs).where("doc_id = class_id").select(F.col("class_id").alias("stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("stay"), "left_semi")
+    kept = docs.join(stay.hint("merge"), F.col("doc_id") == F.col("stay"), "left_semi")
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         named = kept
     else:

@@ -211,7 +211,7 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, min_block: int = MIN_BLOCK) -
     gone = found.groupBy("g_id", "g_tag").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     counts = lines.groupBy(F.col("doc_id").alias("c_id__"), F.col("tag").alias("c_tag__")).agg(F.max(F.size("lines")).alias("n__"))
     extra = counts.join(gone, (F.col("c_id__") == F.col("g_id")) & (F.col("c_tag__") == F.col("g_tag")), "left").select("c_id__", "c_tag__", "n__", F.col("gone").alias("gone__"))
-    joined = tagged.join(extra, (F.col("doc_id") == F.col("c_id__")) & (F.col("tag__") == F.col("c_tag__")), "left")
+    joined = tagged.join(extra.hint("merge"), (F.col("doc_id") == F.col("c_id__")) & (F.col("tag__") == F.col("c_tag__")), "left")
     parted = joined.withColumn("lines__", F.when(F.col("gone__").isNotNull(), F.split(F.col("text"), "\n", -1)))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines__") - 1), F.col("gone__"))
     kept = F.array_join(F.transform(left, lambda i: F.col("lines__")[i]), "\n")
