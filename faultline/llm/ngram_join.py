@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     members = cut(groups.join(reps.select("rep_id", "n"), F.col("node") == F.col("rep_id")).select("component", "rep_id", "n"))
     blocks = members.groupBy(F.col("component").alias("c")).agg(F.greatest(F.ceil(F.sum("n") / block_grams), F.ceil(F.count("*") / block_texts)).cast("int").alias("blocks"))
     dealt = members.join(blocks, F.col("component") == F.col("c")).select("component", "rep_id", "blocks", F.pmod(F.xxhash64("rep_id"), F.col("blocks")).cast("int").alias("block"))
-    held = dealt.join(texts, F.col("rep_id") == F.col("doc_id"))
+    held = dealt.hint("merge").join(texts, F.col("rep_id") == F.col("doc_id"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = held.select("component", "rep_id", "block", "text", other).select("component", "rep_id", "block", "text", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     found = cut(
