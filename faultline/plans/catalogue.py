@@ -1,11 +1,190 @@
-"""Registered queries of the failure-analytics engine with their DuckDB oracles."""
+"""Registered queries of the failure-analytics engine with their DuckDB oracles.
+
+The logs are synthetic and made from `events`; the oracles compute what they must
+show straight from `events`, without parsing.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from faultline.functions import scalars
+from faultline.operators.parse import distilled_failure, parse_runs, root_cause, unique_frames
+from faultline.operators.select import fold_budget
+from faultline.plans import packet, synth
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.runs(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _parsed(spark, sf_dir):
+    return parse_runs(_runs(spark, sf_dir))
+
+
+def _docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def parse_frames(spark, sf_dir):
+    return unique_frames(_parsed(spark, sf_dir)).select("run_id", "pos", "path", "line", "function", "language", "vendored")
+
+
+def failure_line(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("run_id", distilled_failure().alias("failure"), root_cause().alias("root_cause"))
+
+
+def frames_by_language(spark, sf_dir):
+    return unique_frames(_parsed(spark, sf_dir)).groupBy("language").agg(F.count("*").alias("n_frames"), F.countDistinct("run_id").alias("n_runs"))
+
+
+def stack_order(spark, sf_dir):
+    s = _parsed(spark, sf_dir).select("run_id", F.posexplode("stacks").alias("stack_no", "s"))
+    return s.select("run_id", "stack_no", F.col("s.block.index").alias("block_index"), F.get("s.frames", 0)["line"].alias("top_line"))
+
+
+def diagnostics_first(spark, sf_dir):
+    return _parsed(spark, sf_dir).where("size(diagnostics) > 0").select("run_id", F.get("diagnostics", 0).alias("diagnostic"), F.size("diagnostics").cast("long").alias("n"))
+
+
+def failed_tests(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("run_id", F.explode("failed_tests").alias("t")).select("run_id", "t.path", "t.test")
+
+
+def resolve_paths(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    f = packet.placed_frames(runs, parse_runs(runs), synth.repo_files(spark))
+    return f.select("run_id", "path", "line", "how", "resolved", F.size("candidates").cast("long").alias("n_candidates"))
+
+
+def rank_files(spark, sf_dir):
+    return packet.build(_runs(spark, sf_dir), synth.repo_files(spark))["ranked"].select("run_id", "rel", "rank", "reason", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
+
+
+def packet_summary(spark, sf_dir):
+    """One row per run: what failed, where, and how much was packed."""
+    built = packet.build(_runs(spark, sf_dir), synth.repo_files(spark))
+    files = built["files"].groupBy(F.col("run_id").alias("f_id")).agg(F.count_if("included").alias("n_files"))
+    return built["packets"].join(files, F.col("run_id") == F.col("f_id"), "left").select("run_id", "failure", F.coalesce("n_files", F.lit(0)).alias("n_files"), "packet_tokens", "repo_tokens", "markdown", "json")
+
+
+def budget_select(spark, sf_dir):
+    """The greedy fold over the documents of each source, ranked by label."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("l_id"), "quality")
+    d = _docs(spark, sf_dir).join(labels, F.col("doc_id") == F.col("l_id"), "left")
+    costs = d.select("source", "doc_id", (F.lit(2) - F.coalesce("quality", F.lit(-1))).alias("rank"), scalars.tokens(F.col("text")).alias("cost"), F.length("text").alias("window"))
+    listed = costs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "cost", "window"))).alias("files"))
+    rows = listed.select("source", F.explode(F.arrays_zip("files", fold_budget(F.col("files"), 8_000).alias("fate"))).alias("x"))
+    return rows.groupBy("source").agg(F.count_if(F.col("x.fate.state") == "whole").alias("n_whole"), F.min("x.fate.room").alias("least_room"), F.count("*").alias("n"))
+
+
+def token_estimate(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", scalars.tokens(F.col("text")).alias("tokens"), scalars.byte_tokens(F.octet_length("text")).alias("byte_tokens"))
+
+
+def repo_tokens(spark, sf_dir):
+    size = F.octet_length("text").cast("long")
+    return _docs(spark, sf_dir).where((size > 0) & (size <= 20_000)).groupBy("lang").agg(F.sum(scalars.byte_tokens(size)).alias("tokens"))
+
+
+def secret_filter(spark, sf_dir):
+    words = _docs(spark, sf_dir).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))).alias("name")).distinct()
+    return words.where(scalars.is_secret(F.col("name")))
+
+
+def cap_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(scalars.capped(F.col("text")), 256).alias("sha"), (F.length("text") > scalars.MAX_OUTPUT).alias("capped"))
+
+
+def turn_blocks(spark, sf_dir):
+    """Sticky openers: each turn belongs to the last user turn before it."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    opened = F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", opened.alias("block"))
+
+
+def suffix_urls(spark, sf_dir):
+    """Last path segments that name one page only."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.element_at(scalars.parts(F.regexp_replace("url", r"[?#].*$", "")), -1).alias("name"))
+    return p.groupBy("name").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id")).select("name", "n", F.when(F.col("n") == 1, F.col("page_id")).alias("page_id"))
+
+
+def top3_per_group(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
+    return li.withColumn("r", F.row_number().over(w)).where("r <= 3").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+def error_sessions(spark, sf_dir):
+    """Islands of consecutive error events of each user."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("bad"))
+    starts = F.col("bad") & ~F.coalesce(F.lag("bad").over(w), F.lit(False))
+    return e.withColumn("start", starts.cast("int")).withColumn("island", F.sum("start").over(w)).where("bad").groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+def dedupe_first(spark, sf_dir):
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(scalars.lines(F.col("text"))).alias("line_no", "line"))
+    return lines.groupBy("doc_id", "line").agg(F.min("line_no").alias("line_no")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("line_no").cast("long").alias("places"))
+
+
+_QUERIES = [parse_frames, failure_line, frames_by_language, stack_order, diagnostics_first, failed_tests, resolve_paths, rank_files, packet_summary, budget_select, token_estimate, repo_tokens, secret_filter, cap_text, turn_blocks, suffix_urls, top3_per_group, error_sessions, dedupe_first]
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
+
+
+_E = "with e as (select event_id as run_id, event_id % 7 as k, event_id, event_id % 400 + 1 as l, user_id % 900 + 500 as u, event_id % 50 as f from events where event_type = 'error')"
+_FRAMES = """
+, t(k, pos, path, line_of, fn, language, vendored) as (values
+ (0, 0, 'app/main{f}.py', 'l', 'main', 'python', false), (0, 1, 'app/lib{f}.py', 'u', 'go{f}', 'python', false),
+ (1, 0, 'app/main{f}.py', 'l', 'test_case_{e}', 'python', false), (1, 1, 'tests/test_{f}.py', 'u', null, 'python', false),
+ (2, 0, '/srv/app/lib{f}.js', 'l', 'run{f}', 'node', false), (2, 1, '/srv/app/main{f}.js', 'u', null, 'node', false), (2, 2, 'node:internal/main', '1', null, 'node', false),
+ (3, 0, 'src/lib{f}.rs', 'l', null, 'rust', false), (3, 1, '/rustc/abc/library/core/src/rustlib/x.rs', '9', 'core::panicking::panic', 'rust', true), (3, 2, './src/main{f}.rs', 'u', 'shop::go{f}', 'rust', false),
+ (4, 0, '/build/cart/lib{f}.go', 'l', 'example.com/shop/cart.Go{f}', 'go', false), (4, 1, '/build/main{f}.go', 'u', 'main.main', 'go', false),
+ (5, 0, 'Main{f}.java', 'l', 'com.example.shop.Main{f}.main', 'jvm', false), (5, 1, 'Lib{f}.java', 'u', 'com.example.shop.Lib{f}.go', 'jvm', false), (5, 2, 'Map.java', '1', 'java.util.Map.get', 'jvm', true),
+ (6, 0, 'src/main{f}.rs', 'l', null, 'rust', false), (6, 1, 'src/lib{f}.rs', 'u', null, 'rust', false)),
+fr as (select run_id, e.k, e.f, pos, replace(path, '{f}', cast(f as varchar)) as path, cast(case line_of when 'l' then l when 'u' then u else cast(line_of as bigint) end as integer) as line,
+  replace(replace(fn, '{f}', cast(f as varchar)), '{e}', cast(event_id as varchar)) as function, language, vendored from e join t using (k))
+"""
+
+_ORACLES = {
+    "parse_frames": _E + _FRAMES + "select run_id, cast(pos as integer) as pos, path, line, function, language, vendored from fr",
+    "failure_line": _E
+    + """select run_id, case k when 0 then 'KeyError: ''k' || event_id || '''' when 1 then 'AssertionError: assert ' || u || ' == ' || l when 2 then 'TypeError: bad value ' || event_id
+      when 3 then 'missing key ' || event_id when 4 then 'panic: index ' || event_id || ' out of range' when 5 then 'java.lang.NullPointerException: inner ' || event_id
+      else 'error[E0308]: mismatched types ' || event_id || ': expected u' || u end as failure,
+      case when k = 5 then 'java.lang.NullPointerException: inner ' || event_id end as root_cause from e""",
+    "frames_by_language": _E + _FRAMES + "select language, count(*) as n_frames, count(distinct run_id) as n_runs from fr group by language",
+    "stack_order": _E
+    + """select run_id, cast(0 as integer) as stack_no, cast(case when k = 5 then 1 else 0 end as integer) as block_index, cast(case when k in (0, 1, 5) then u else l end as integer) as top_line from e
+      union all select run_id, 1, case when k = 5 then 0 else 1 end, cast(case when k = 3 then 9 else l end as integer) from e where k = 5""",
+    "diagnostics_first": _E + "select run_id, 'error[E0308]: mismatched types ' || event_id || ': expected u' || u as diagnostic, cast(1 as bigint) as n from e where k = 6",
+    "failed_tests": _E + "select run_id, 'tests/test_' || f || '.py' as path, 'test_case_' || event_id as test from e where k = 1",
+    "resolve_paths": _E
+    + _FRAMES
+    + """select run_id, path, line,
+      case when vendored then 'vendored' when k in (0, 1, 3, 6) then 'direct' when path = 'node:internal/main' then 'unresolved'
+        when k = 2 and pos = 0 and f % 5 = 0 then 'ambiguous' else 'suffix' end as how,
+      case when vendored or path = 'node:internal/main' or (k = 2 and pos = 0 and f % 5 = 0) then null
+        when k in (0, 1, 3, 6) then replace(path, './', '')
+        when k = 2 then replace(path, '/srv/app/', 'web/') when k = 4 then replace(path, '/build/', '') else 'java/com/example/shop/' || path end as resolved,
+      cast(case when k = 2 and pos = 0 and f % 5 = 0 then 2 else 0 end as bigint) as n_candidates from fr""",
+    "token_estimate": "select doc_id, cast((length(text) + 3) // 4 as bigint) as tokens, cast((strlen(text) + 3) // 4 as bigint) as byte_tokens from documents",
+    "repo_tokens": "select lang, cast(sum((strlen(text) + 3) // 4) as bigint) as tokens from documents where strlen(text) between 1 and 20000 group by lang",
+    "secret_filter": "select distinct name from (select unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as name from documents) where regexp_matches(name, '(?i)" + "|".join(scalars.SECRET) + "')",
+    "cap_text": "select doc_id, sha256(case when length(text) > 20000 then left(text, 20000) || chr(10) || '... [truncated]' else text end) as sha, length(text) > 20000 as capped from documents",
+    "turn_blocks": "select conv_id, turn, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as block from conversations",
+    "suffix_urls": "select name, count(*) as n, case when count(*) = 1 then min(page_id) end as page_id from (select page_id, list_filter(string_split(regexp_replace(url, '[?#].*$', ''), '/'), lambda x: x <> '' and x <> '.')[-1] as name from pages) group by name",
+    "top3_per_group": "select l_orderkey, l_linenumber, l_partkey from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber) <= 3",
+    "error_sessions": """with e as (select user_id, ts, event_id, event_type = 'error' as bad from events),
+      s as (select *, case when bad and not coalesce(lag(bad) over (partition by user_id order by ts, event_id), false) then 1 else 0 end as start from e),
+      i as (select *, sum(start) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as island from s)
+      select user_id, cast(island as bigint) as island, count(*) as n, min(event_id) as first_event from i where bad group by user_id, island""",
+}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_ORACLES)
