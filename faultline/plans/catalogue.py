@@ -111,7 +111,7 @@ def suffix_urls(spark, sf_dir):
 
 
 def top3_per_group(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
     return li.withColumn("r", F.row_number().over(w)).where("r <= 3").select("l_orderkey", "l_linenumber", "l_partkey")
 
@@ -178,7 +178,7 @@ _ORACLES = {
     "cap_text": "select doc_id, sha256(case when length(text) > 20000 then left(text, 20000) || chr(10) || '... [truncated]' else text end) as sha, length(text) > 20000 as capped from documents",
     "turn_blocks": "select conv_id, turn, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as block from conversations",
     "suffix_urls": "select name, count(*) as n, case when count(*) = 1 then min(page_id) end as page_id from (select page_id, list_filter(string_split(regexp_replace(url, '[?#].*$', ''), '/'), lambda x: x <> '' and x <> '.')[-1] as name from pages) group by name",
-    "top3_per_group": "select l_orderkey, l_linenumber, l_partkey from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber) <= 3",
+    "top3_per_group": "select l_orderkey, l_linenumber, l_partkey from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) <= 3",
     "error_sessions": """with e as (select user_id, ts, event_id, event_type = 'error' as bad from events),
       s as (select *, case when bad and not coalesce(lag(bad) over (partition by user_id order by ts, event_id), false) then 1 else 0 end as start from e),
       i as (select *, sum(start) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as island from s)

@@ -31,9 +31,9 @@ def placed_frames(runs: DataFrame, parsed: DataFrame, repo_files: DataFrame) ->
 def build(runs: DataFrame, repo_files: DataFrame, changed: DataFrame | None = None, git=None, environment=None, budget: int = DEFAULT_BUDGET) -> dict[str, DataFrame]:
     """parsed, frames, ranked, files and packets of the runs."""
     parsed = parse_runs(runs).persist(StorageLevel.DISK_ONLY)  # read by five branches; a lost part is parsed again
-    frames = placed_frames(runs, parsed, repo_files)
+    frames = placed_frames(runs, parsed, repo_files).persist(StorageLevel.DISK_ONLY)
     found = frames.where("resolved is not null").select("run_id", F.col("resolved").alias("rel"), "line")
-    ranked = rank_files(runs, parsed, found, repo_files, changed)
-    files = select_files(ranked, repo_files, runs, budget)
+    ranked = rank_files(runs, parsed, found, repo_files, changed).persist(StorageLevel.DISK_ONLY)
+    files = select_files(ranked, repo_files, runs, budget).persist(StorageLevel.DISK_ONLY)
     places = frames.select("run_id", "path", "path_hint", "vendored", "how", "resolved", "candidates").dropDuplicates(["run_id", "path", "path_hint", "vendored"])
     return {"parsed": parsed, "frames": frames, "ranked": ranked, "files": files, "packets": packets(runs, parsed, places, files, repo_tokens(repo_files), git, environment)}

@@ -41,7 +41,7 @@ def repo_files(spark) -> DataFrame:
     names = F.array(*[F.concat(F.lit(a), F.col("n").cast("string"), F.lit(b)) for a, b in [("app/main", ".py"), ("app/lib", ".py"), ("tests/test_", ".py"), ("web/lib", ".js"), ("web/main", ".js"), ("src/lib", ".rs"), ("src/main", ".rs"), ("cart/lib", ".go"), ("main", ".go"), ("java/com/example/shop/Main", ".java"), ("java/com/example/shop/Lib", ".java"), ("old/lib", ".js")]])
     files = n.select("n", F.explode(names).alias("rel")).where("not (rel like 'old/%' and n % 5 <> 0)")
     imports = F.when(F.col("rel").like("app/main%"), F.concat(F.lit("import app.lib"), F.col("n").cast("string"), F.lit("\n"))).otherwise(F.lit(""))
-    content = F.concat(imports, F.repeat(F.concat(F.lit("line of "), F.col("rel"), F.lit("\n")), (20 + F.col("n") * 40).cast("int")))
+    content = F.concat(imports, F.repeat(F.concat(F.lit("line of "), F.col("rel"), F.lit("\n")), (20 + F.col("n") * 8).cast("int")))
     base = files.select(F.lit("shop").alias("repo_id"), "rel", content.alias("content"))
     manifest = spark.range(1).select(F.lit("shop").alias("repo_id"), F.lit("pyproject.toml").alias("rel"), F.lit("[project]\n").alias("content"))
     return base.unionByName(manifest).withColumn("size_bytes", F.octet_length("content").cast("long"))
