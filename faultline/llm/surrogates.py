@@ -185,17 +185,21 @@ def _named(v: Column, seed: Column) -> Column:
 
 def surrogate(v: Column, key: str, attempt: Column, max_rounds: int) -> Column:
     """The replacement of an entity as it is written in the text."""
-    k = kind(v)
-    seed = F.sha2(F.concat_ws("|", F.lit(key), k, normal(v), F.least(attempt, F.lit(max_rounds)).cast("string")), 256)
+    seed = F.sha2(F.concat_ws("|", F.lit(key), kind(v), normal(v), F.least(attempt, F.lit(max_rounds)).cast("string")), 256)
+    domain_seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.lower(F.regexp_extract(v, r"@(.*)(\.[^.]*)$", 1))), 256)
+    # bound once; the lambdas below use them for every character
+    bound = F.array(F.struct(seed.alias("seed"), domain_seed.alias("domain"), kind(v).alias("kind")))
+    made = F.get(F.transform(bound, lambda b: _made(v, b["seed"], b["domain"], b["kind"])), 0)
+    return F.when(attempt > max_rounds, F.concat(made, attempt.cast("string"))).otherwise(made)
+
+
+def _made(v: Column, seed: Column, domain_seed: Column, k: Column) -> Column:
     domain = F.regexp_extract(v, r"@(.*)(\.[^.]*)$", 1)
     top = F.regexp_extract(v, r"(\.[^.]*)$", 1)
-    domain_seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.lower(domain)), 256)
     mail = F.concat(_letters(F.regexp_extract(v, "^([^@]*)@", 1), seed), F.lit("@"), _letters(domain, domain_seed), top)
-    hexadecimal = [("[0-9a-f]", "0123456789abcdef")]
-    secret = F.when(v.rlike("^[0-9a-f]+$"), _letters(v, seed, hexadecimal)).otherwise(_letters(v, seed))
+    secret = F.when(v.rlike("^[0-9a-f]+$"), _letters(v, seed, [("[0-9a-f]", "0123456789abcdef")])).otherwise(_letters(v, seed))
     country = F.length(F.regexp_replace(F.regexp_extract(v, r"^(\+\d{1,3})(?=[ .\-(])", 1), r"\+", ""))
-    made = F.when(k == "email", mail).when(k == "name", _named(v, seed)).when(k == "ip", _ip(v, seed)).when(k == "secret", secret).when(k == "phone", _digits(v, seed, country)).otherwise(_number(v, seed))
-    return F.when(attempt > max_rounds, F.concat(made, attempt.cast("string"))).otherwise(made)
+    return F.when(k == "email", mail).when(k == "name", _named(v, seed)).when(k == "ip", _ip(v, seed)).when(k == "secret", secret).when(k == "phone", _digits(v, seed, country)).otherwise(_number(v, seed))
 
 
 def _found(text: Column) -> Column:
@@ -209,7 +213,7 @@ def attempts(docs: DataFrame, key: str, max_rounds: int) -> DataFrame:
     known = cut(spelled.groupBy(kind(F.col("v")).alias("kind"), normal(F.col("v")).alias("normal")).agg(F.min("v").alias("v")).withColumn("attempt", F.lit(0)))
     real = known.select(F.col("kind").alias("r_kind"), F.col("normal").alias("r_normal"))
     for _ in range(max_rounds + 2):
-        made = known.withColumn("made", normal(surrogate(F.col("v"), key, F.col("attempt"), max_rounds)))
+        made = known.withColumn("s__made", surrogate(F.col("v"), key, F.col("attempt"), max_rounds)).withColumn("made", normal(F.col("s__made")))
         first = made.groupBy(F.col("kind").alias("f_kind"), F.col("made").alias("f_made")).agg(F.count("*").alias("n"), F.min(F.struct("attempt", "normal")).alias("owner")).where("n > 1")
         shared = made.join(first, (F.col("kind") == F.col("f_kind")) & (F.col("made") == F.col("f_made")), "left").join(real, (F.col("kind") == F.col("r_kind")) & (F.col("made") == F.col("r_normal")), "left")
         loses = (F.col("owner").isNotNull() & (F.struct("attempt", "normal") != F.col("owner"))) | F.col("r_kind").isNotNull()
