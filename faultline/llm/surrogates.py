@@ -213,7 +213,9 @@ def attempts(docs: DataFrame, key: str, max_rounds: int) -> DataFrame:
     known = cut(spelled.groupBy(kind(F.col("v")).alias("kind"), normal(F.col("v")).alias("normal")).agg(F.min("v").alias("v")).withColumn("attempt", F.lit(0)))
     real = known.select(F.col("kind").alias("r_kind"), F.col("normal").alias("r_normal"))
     for _ in range(max_rounds + 2):
-        made = known.withColumn("s__made", surrogate(F.col("v"), key, F.col("attempt"), max_rounds)).withColumn("made", normal(F.col("s__made")))
+        # written first: a join's filters on `made` would unfold the long expression several times
+        formed = cut(known.withColumn("s__made", surrogate(F.col("v"), key, F.col("attempt"), max_rounds)))
+        made = cut(formed.withColumn("made", normal(F.col("s__made"))).drop("s__made"))
         first = made.groupBy(F.col("kind").alias("f_kind"), F.col("made").alias("f_made")).agg(F.count("*").alias("n"), F.min(F.struct("attempt", "normal")).alias("owner")).where("n > 1")
         shared = made.join(first, (F.col("kind") == F.col("f_kind")) & (F.col("made") == F.col("f_made")), "left").join(real, (F.col("kind") == F.col("r_kind")) & (F.col("made") == F.col("r_normal")), "left")
         loses = (F.col("owner").isNotNull() & (F.struct("attempt", "normal") != F.col("owner"))) | F.col("r_kind").isNotNull()
@@ -228,7 +230,7 @@ def replace_entities(docs: DataFrame, key: str, max_rounds: int = 6) -> DataFram
     """docs with `clean_text` and `n_entities` added."""
     again = attempts(docs, key, max_rounds)
     own = docs.columns
-    marked = docs.withColumn("s__found", _found(F.col("text"))).withColumn("s__key", F.when(F.size("s__found") > 0, F.xxhash64("text")))
+    marked = docs.withColumn("s__found", _found(F.col("text"))).withColumn("s__key", F.xxhash64("text"))
     # texts with an entity beyond its first attempt
     asked = docs.select(F.xxhash64("text").alias("t"), F.explode(_found(F.col("text"))).alias("v")).select("t", kind(F.col("v")).alias("k"), normal(F.col("v")).alias("m")).distinct()
     hit = asked.join(again, (F.col("k") == F.col("kind")) & (F.col("m") == F.col("normal"))).groupBy(F.col("t").alias("s__t")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "k", "m"), "attempt"))).alias("s__tries"))
