@@ -21,7 +21,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,9 @@ from pyspark.sql import functions as F
 from faultline.llm.checkpoints import cut
 
 SIZE = 2048
-#: Words kept with their ids by each worker; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
-_CACHE: dict[str, dict] = {}
+#: Words kept with their ids by each worker; twice as many with the older generation.
+CACHE_WORDS = 500_000
+_CACHE: dict[str, list[dict[str, bytes]]] = {}
 _MODELS: dict[str, object] = {}
 _WORD = re.compile(r"[^ \t-\r]+").findall
 
@@ -47,17 +49,27 @@ def _model(path: str):
     return _MODELS[path]
 
 
+def _learn(new: list[str], model, known: dict[str, bytes]) -> None:
+    """Adds the ids of each new word."""
+    for k in range(0, len(new), 20_000):
+        part = new[k : k + 20_000]
+        for w, e in zip(part, model.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
+
+
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each text. Words between ASCII blanks are encoded apart and remembered.
 
-    The vocabulary drops white space and never joins across it, so the ids of a
-    text are its words' ids in order. Texts that spell a special token go whole.
+    The tokeniser drops white space and splits at it, so a word's ids don't depend
+    on its neighbours; only its special tokens ("<|...|>") could hold blanks, so texts
+    with "<|" are encoded whole. Memory: two generations of remembered words; when
+    the younger is full, it becomes the older, from which words met again come back.
     """
-    model, cache = _model(path), _CACHE.setdefault(path, {})
+    model, cache = _model(path), _CACHE.setdefault(path, [{}, {}])
     out: list[np.ndarray | None] = [None] * len(texts)
-    whole = [i for i, t in enumerate(texts) if "<|" in t]
-    for i in whole:
-        out[i] = np.array(model.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+    for i, t in enumerate(texts):
+        if "<|" in t:
+            out[i] = np.array(model.encode(t, add_special_tokens=False).ids, np.uint32)
     apart = [i for i, t in enumerate(texts) if "<|" not in t]
     at = 0
     while at < len(apart):
@@ -66,15 +78,15 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
             chars += len(texts[apart[end]])
             end += 1
         split = [_WORD(texts[i]) for i in apart[at:end]]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list({w for words in split for w in words if w not in cache})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, np.uint32).tobytes()
+        if len(cache[0]) > CACHE_WORDS:
+            cache[:] = [{}, cache[0]]
+        known, older = cache
+        new = set(chain.from_iterable(split)).difference(known)
+        again = new.intersection(older)
+        known.update((w, older[w]) for w in again)
+        _learn(list(new - again), model, known)
         for i, words in zip(apart[at:end], split, strict=True):
-            out[i] = np.frombuffer(b"".join([cache[w] for w in words]), np.uint32)
+            out[i] = np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
         at = end
     return out
 

@@ -20,7 +20,7 @@ def model():
 
 def test_encode_equals_the_tokenizer(monkeypatch):
     t = model()
-    odd = ["It's we'll 'Sam I'M", "Áb  é", "x y z\x85q\x1cw", "H̱ İI ΣΣ Σ", "<|endoftext|> a", "a <|endoftext|>b", "", "  ", "日本語 テスト 123½", "e ́x", "don't\nstop\x0b\x0cx\r\n", "a" * 3000, "ｆｕｌｌ ﬁ"]
+    odd = ["It's we'll 'Sam I'M", "Áb  é", "x y z\x85q\x1cw", "H̱ İI ΣΣ Σ", "<|endoftext|> a", "a <|endoftext|>b", "", "  ", "日本語 テスト 123½", "e ́x", "don't\nstop\x0b\x0cx\r\n", "a" * 3000, "ｆｕｌｌ ﬁ", "a\x01b \x01 \x01\x01 c\x01"]
     rnd = random.Random(3)
     alphabet = "aAbB'sStT1 \n\té́.,#$ĳΣςİ "
     odd += ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(400)]
