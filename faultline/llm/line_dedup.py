@@ -2,7 +2,8 @@
 
 1. Each text's lines (parted by \\n) become 64-bit hashes; blank lines have none.
 2. Two kinds of keys find overlaps. A line that 2 to `rare` texts hold is rare and
-   a key by itself. Lines of any frequency are keys in pairs: two neighbouring
+   a key by itself, and so is a long line (LONG_WORDS words or LONG_BYTES bytes) at
+   any frequency. Lines of any frequency are keys in pairs: two neighbouring
    lines (blank ones skipped) that two texts share, or a text's only line with its
    borders; so groups of thousands of copies, whose lines are not rare, are found
    too, while lone boilerplate lines are not.
@@ -13,7 +14,7 @@
    anchor it (longest increasing subsequence), the gaps between anchors are
    aligned alike, and without unique lines repeated ones count by occurrence.
 5. An aligned block is a run of lines consecutive in both (blank lines between
-   ignored). Blocks with a rare line, or of two lines or more, or that are a whole
+   ignored). Blocks with a rare or long line, or of two lines or more, or that are a whole
    text, are deleted from the later document. All pairs are judged on the input; the first
    holder of a line keeps it, so no line is lost from the corpus.
 
@@ -38,6 +39,8 @@ from faultline.llm.textkit import U, mix
 
 RARE = 20
 MIN_BLOCK = 2
+#: A line of so many words, or so many bytes where blanks are few, is long.
+LONG_WORDS, LONG_BYTES = 20, 120
 _PAIR, _ONE = U(0x9FB21C651E98DF25), U(0xD1B54A32D192ED03)
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[10] = True
@@ -47,13 +50,20 @@ textkit.STYLES["line"] = (_NEWLINE, _VALUES)
 
 
 def line_hashes(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each row the numbers (from 0) and hashes of its lines with a word."""
+    """For each row the numbers (from 0) and hashes of its lines with a word; a hash's last bit tells whether the line is long."""
     starts, ends, at = textkit.spans(data, offsets, "line")
     if not len(starts):
         return [(np.zeros(0, np.int64), np.zeros(0, U))] * (len(offsets) - 1)
     h = textkit.hashes(data, starts, ends, "line")
-    inked = np.append(0, np.cumsum(~textkit.STYLES["space"][0][data]))
+    ink = ~textkit.STYLES["space"][0][data]
+    inked = np.append(0, np.cumsum(ink))
     solid = inked[ends] > inked[starts]
+    opens = ink.copy()
+    opens[1:] &= ~ink[:-1]
+    opens[starts] = ink[starts]
+    opened = np.append(0, np.cumsum(opens))
+    long = (opened[ends] - opened[starts] >= LONG_WORDS) | (ends - starts >= LONG_BYTES)
+    h = h & ~U(1) | long.astype(U)
     breaks = np.append(0, np.cumsum(data == 10))
     out = []
     for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
@@ -200,7 +210,7 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, min_block: int = MIN_BLOCK) -
     first = (
         keys.groupBy(F.col("key").alias("k"), F.col("pair").alias("p"))
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("df"))
-        .where(F.expr(f"first < last and (p or df <= {int(rare)})"))
+        .where(F.expr(f"first < last and (p or df <= {int(rare)} or k & 1 = 1)"))
         .select("k", "p", "first")
     )
     met = keys.join(first, (F.col("key") == F.col("k")) & (F.col("pair") == F.col("p"))).where("doc_id > first")

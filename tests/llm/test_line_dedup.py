@@ -69,3 +69,13 @@ def test_edges(spark):
     found = sorted(((r.doc_id, r.kept_text, r.n_removed) for r in got.select("doc_id", "kept_text", "n_removed").collect()), key=str)
     assert found == sorted([(5, text, 0), (5, text, 0), (6, "", 3), (7, "x\n\ny", 2), (None, None, 0), (None, text, 0)], key=str)
     assert dedup_lines(df.limit(0)).count() == 0
+
+
+def test_frequent_long_lines(spark):
+    """A long line goes at any frequency, a short one only as part of a block."""
+    words, glued, short = " ".join(f"w{k}" for k in range(20)), "語" * 40, " ".join(f"w{k}" for k in range(19))
+    rows = [(d, f"a{d}\n{words}\nb{d}\n{glued}\nc{d}\n{short}\nd{d}") for d in range(50)]
+    df = spark.createDataFrame([(*r, 1, "t", "l") for r in rows], SCHEMA)
+    got = {r.doc_id: r.kept_text for r in dedup_lines(df).collect()}
+    assert got[0] == rows[0][1]
+    assert all(got[d] == f"a{d}\nb{d}\nc{d}\n{short}\nd{d}" for d in range(1, 50))
