@@ -19,7 +19,9 @@ entities share, or that are some entity's real form, move to another attempt,
 until none is left. Only entities with attempts beyond the first have to be sent
 back to their documents; that table is written first, so that Spark broadcasts it
 only if its known size allows. Where a form has too few values for all entities
-after `max_rounds`, the attempt's number is appended: distinct, but longer.
+after `max_rounds`, the attempt's number is appended: distinct, but longer. Those
+who lose a form then take numbers no other entity of that form has had, so the
+rounds end: of those still moving, one with the longest form meets no other's.
 
 Nulls: a null text stays null without entities. Rows are changed one by one, by
 their text alone; repeated rows change alike and null doc_ids matter nothing.
@@ -28,7 +30,9 @@ Other columns stay as they are; helper columns begin with `s__`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.checkpoints import cut
@@ -210,19 +214,27 @@ def attempts(docs: DataFrame, key: str, max_rounds: int) -> DataFrame:
     """(kind, normal form, attempt) of every entity whose first surrogate would collide."""
     spelled = docs.select(F.explode(_found(F.col("text"))).alias("v"))
     # one spelling stands for each entity; surrogates agree in normal form
-    known = cut(spelled.groupBy(kind(F.col("v")).alias("kind"), normal(F.col("v")).alias("normal")).agg(F.min("v").alias("v")).withColumn("attempt", F.lit(0)))
+    known = cut(spelled.groupBy(kind(F.col("v")).alias("kind"), normal(F.col("v")).alias("normal")).agg(F.min("v").alias("v")).withColumn("attempt", F.lit(0)).withColumn("base", F.lit(None).cast("string")))
     real = known.select(F.col("kind").alias("r_kind"), F.col("normal").alias("r_normal"))
-    for _ in range(max_rounds + 2):
+    for done in count():
         # written first: a join's filters on `made` would unfold the long expression several times
         formed = cut(known.withColumn("s__made", surrogate(F.col("v"), key, F.col("attempt"), max_rounds)))
         made = cut(formed.withColumn("made", normal(F.col("s__made"))).drop("s__made"))
         first = made.groupBy(F.col("kind").alias("f_kind"), F.col("made").alias("f_made")).agg(F.count("*").alias("n"), F.min(F.struct("attempt", "normal")).alias("owner")).where("n > 1")
         shared = made.join(first, (F.col("kind") == F.col("f_kind")) & (F.col("made") == F.col("f_made")), "left").join(real, (F.col("kind") == F.col("r_kind")) & (F.col("made") == F.col("r_normal")), "left")
         loses = (F.col("owner").isNotNull() & (F.struct("attempt", "normal") != F.col("owner"))) | F.col("r_kind").isNotNull()
-        judged = cut(shared.select("kind", "normal", "v", "attempt", loses.alias("loses")))
+        # the form that numbers are appended to
+        base = F.when(F.col("attempt") == max_rounds, F.col("made")).otherwise(F.col("base"))
+        judged = cut(shared.select("kind", "normal", "v", "attempt", base.alias("base"), loses.alias("loses")))
         if judged.where("loses").isEmpty():
             break
-        known = judged.select("kind", "normal", "v", (F.col("attempt") + F.col("loses").cast("int")).alias("attempt"))
+        early = judged.where(F.col("attempt") < max_rounds).withColumn("attempt", F.col("attempt") + F.col("loses").cast("int"))
+        known = early.drop("loses")
+        if done >= max_rounds:
+            same = Window.partitionBy("kind", "base")
+            rank = F.row_number().over(Window.partitionBy("kind", "base", "loses").orderBy("normal"))
+            late = judged.where(F.col("attempt") >= max_rounds).withColumn("top", F.max("attempt").over(same)).withColumn("rank", rank)
+            known = known.unionByName(late.withColumn("attempt", F.when(F.col("loses"), F.col("top") + F.col("rank")).otherwise(F.col("attempt"))).drop("loses", "top", "rank"))
     return cut(known.where("attempt > 0").select("kind", "normal", "attempt"))
 
 

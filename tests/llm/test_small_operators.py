@@ -81,3 +81,13 @@ def test_surrogates_stay_distinct(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
     got = [r.clean_text for r in surrogates.replace_entities(df, "k", max_rounds=4).collect()]
     assert len(set(got)) == len(values) and not set(got) & set(values)
+
+
+def test_surrogates_of_small_spaces(spark):
+    """Two hundred addresses have 32 forms: numbers tell them apart, from real ones with such a number too."""
+    values = [f"{chr(0x4E00 + k)}@x.org" for k in range(200)]
+    for _ in range(2):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
+        got = [r.clean_text for r in surrogates.replace_entities(df, "k", max_rounds=1).collect()]
+        assert len(set(got)) == len(values) and not set(got) & set(values)
+        values += [v for v in got if v[-1].isdigit()][:20]
