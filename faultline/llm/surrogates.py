@@ -82,7 +82,7 @@ NUMBER = r"(?<![\p{L}\p{N}])\d(?:[ \-]?\d){6,18}(?![\p{L}\p{N}]|[ \-]\d)|(?<![\p
 NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}{_NAME}(?: {_NAME})?"
 PATTERN = "|".join([EMAIL, SECRET, PHONE, IP, NUMBER, NAME])
 #: Texts without any of these have no entity; it spares them the long pattern.
-HINT = rf"[@0-9]|(?:{_TITLES})\.?[  ]\p{{Lu}}"
+HINT = rf"[@0-9]|{_TITLE}\p{{Lu}}"
 
 
 def kind(v: Column) -> Column:
