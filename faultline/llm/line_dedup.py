@@ -7,9 +7,12 @@
    lines (blank ones skipped) that two texts share, or a text's only line with its
    borders; so groups of thousands of copies, whose lines are not rare, are found
    too, while lone boilerplate lines are not.
-3. Each key links its documents to the first one (least doc_id) that holds it, not
-   to each other; a document is then compared with every first document of its
-   keys. No bucket is capped and no partner is dropped, and links stay linear.
+3. Each key links its documents to the first one (least doc_id) that holds it; a
+   document is then compared with every first document of its keys. With `every`,
+   a key of `rare` holders or fewer links each of them to every earlier one, as
+   the first may hold the shared parts in another order. More frequent keys link
+   to the first one only, so links stay linear; where it has another order, a
+   block that a later holder shares in the same order stays.
 4. A patience diff aligns the line hashes of each linked pair: lines unique in both
    anchor it (longest increasing subsequence), the gaps between anchors are
    aligned alike, and without unique lines repeated ones count by occurrence.
@@ -201,7 +204,7 @@ def _align(batches, least: int):
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int32()))], names=["g_id", "g_tag", "gone"])
 
 
-def dedup_lines(docs: DataFrame, rare: int = RARE, min_block: int = MIN_BLOCK) -> DataFrame:
+def dedup_lines(docs: DataFrame, rare: int = RARE, min_block: int = MIN_BLOCK, every: bool = False) -> DataFrame:
     """The rows of docs with `kept_text` (null if the text is null), `n_lines` and `n_removed` (lines, blank ones not counted) added."""
     tagged = docs.withColumn("tag__", F.xxhash64("text"))
     lines = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("tag")).mapInArrow(_lines, "doc_id long, tag long, numbers array<int>, lines array<long>"))
@@ -211,9 +214,15 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, min_block: int = MIN_BLOCK) -
         keys.groupBy(F.col("key").alias("k"), F.col("pair").alias("p"))
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("df"))
         .where(F.expr(f"first < last and (p or df <= {int(rare)} or k & 1 = 1)"))
-        .select("k", "p", "first")
+        .select("k", "p", "first", "df")
     )
-    met = keys.join(first, (F.col("key") == F.col("k")) & (F.col("pair") == F.col("p"))).where("doc_id > first")
+    held = keys.join(first, (F.col("key") == F.col("k")) & (F.col("pair") == F.col("p")))
+    met = held.where("doc_id > first").select("doc_id", "first", "key", "pair", "df")
+    if every:
+        few = held.where(F.col("df") <= rare).groupBy("key", "pair").agg(F.collect_set("doc_id").alias("holders"))
+        each = few.select("key", "pair", "holders", F.explode("holders").alias("doc_id"))
+        earlier = each.select("doc_id", F.explode(F.filter("holders", lambda f: f < F.col("doc_id"))).alias("first"), "key", "pair")
+        met = met.where(F.col("df") > rare).drop("df").unionByName(earlier)
     linked = met.groupBy(F.col("doc_id").alias("d"), F.col("first").alias("f")).agg(F.collect_set(F.when(~F.col("pair"), F.col("key"))).alias("rare"))
     of_first = judged.groupBy(F.col("doc_id").alias("f_id")).agg(F.min_by("lines", F.struct("tag", F.size("lines"))).alias("first_lines"))
     pairs = linked.join(judged, F.col("d") == F.col("doc_id")).join(of_first, F.col("f") == F.col("f_id"))
@@ -235,5 +244,5 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, min_block: int = MIN_BLOCK) -
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = dedup_lines(docs)
+    found = dedup_lines(docs, every=True)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))

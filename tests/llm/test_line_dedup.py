@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from faultline.llm.line_dedup import blocks, dedup_lines, patience
+from faultline.llm.line_dedup import blocks, dedup_lines, op1_line_dedup, patience
 
 SCHEMA = "doc_id long, text string, n int, tag string, lines string"
 
@@ -79,3 +79,13 @@ def test_frequent_long_lines(spark):
     got = {r.doc_id: r.kept_text for r in dedup_lines(df).collect()}
     assert got[0] == rows[0][1]
     assert all(got[d] == f"a{d}\nb{d}\nc{d}\n{short}\nd{d}" for d in range(1, 50))
+
+
+def test_every_holder(spark, tmp_path):
+    """A block goes if any earlier holder has it in the same order, though the first has another one."""
+    texts = ["p1 p2 q1 q2 q3", "b1 p1 p2 b2", "q1 q2 q3 c1 p1 p2"]
+    df = spark.createDataFrame([(d, "\n".join(t.split()), 1, "t", "l") for d, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.kept_text.split("\n") for r in dedup_lines(df, every=True).collect()}
+    assert got == {0: texts[0].split(), 1: ["b1", "b2"], 2: ["c1"]}
+    df.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in op1_line_dedup(spark, str(tmp_path)).collect()} == {0: 0, 1: 2, 2: 5}
