@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 
 from faultline.llm.components import components
-from faultline.llm.ngram_join import bands_for, near_duplicates
+from faultline.llm.ngram_join import _nodes, bands_for, keep_first, near_duplicates
 
 SCHEMA = "doc_id long, text string, n long, rep_id string"
 
@@ -41,7 +41,7 @@ def brute(rows, threshold=0.8):
     return sorted((d, root(rep[s]), rep[s], count[rep[s]]) if s else (d, d, d, 0) for d, s in sets.items())
 
 
-@pytest.mark.parametrize("blocks", [(1_000_000, 2_000), (900, 4)])
+@pytest.mark.parametrize("blocks", [(1_000_000, 600), (900, 4)])
 def test_against_brute_force(spark, blocks):
     rnd = random.Random(9)
     vocab = [f"W{i}" for i in range(300)]
@@ -68,6 +68,41 @@ def test_edges(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_doc_id(spark):
+    a, b = ("p q r s t u v w x y z " * 4 + "one two").split(), [f"u{i}" for i in range(40)]
+    near_a, near_b = [*a[:-1], "three"], [*b[:-1], "else"]
+
+    def run(rows):
+        df = spark.createDataFrame([(d, " ".join(w), 1, "") for d, w in rows], SCHEMA)
+        return [(r.doc_id, r.class_id, r.rep_id, r.n_links) for r in near_duplicates(df, recall=0.999999, max_hashes=400).collect()], keep_first(df)
+
+    got, kept = run([(3, a), (3, a), (4, near_a)])
+    assert sorted(got) == [(3, 3, 3, 1), (3, 3, 3, 1), (4, 3, 4, 1)]
+    assert [r.doc_id for r in kept.collect()] == [3]
+    got, kept = run([(3, a), (3, b), (4, near_a), (5, near_b)])
+    assert [r[3] for r in got] == [1, 1, 1, 1]
+    by = {d: c for d, c, _, _ in got if d != 3}
+    assert by[4] != by[5] and {c for d, c, _, _ in got if d == 3} == {by[4], by[5]} and 3 in by.values()
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(3, " ".join(a)), (3, " ".join(b))])
+    got, kept = run([(7, a), (7, b)])
+    assert len({c for _, c, _, _ in got}) == 2 and kept.count() == 2
+
+
+def test_keep_first_edges(spark):
+    rows = [(None, "a b c", 1, ""), (None, None, 2, ""), (1, None, 3, ""), (1, "", 4, ""), (2, "a b c", 5, "x"), (2, "a b c", 6, "y"), (9, " ".join(f"w{i}" for i in range(30_000)), 7, "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = keep_first(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id for r in got.collect()), key=str) == [1, 1, 2, 9, None, None]
+    assert keep_first(df.limit(0)).count() == 0
+
+
+def test_equal_first_hashes(spark):
+    rows = [(1, 10, 3, 77, 1, [1, 2]), (2, 20, 3, 77, 2, [3, 4]), (3, 10, 3, 77, 1, [1, 2])]
+    got = _nodes(spark.createDataFrame(rows, "doc_id long, tag long, n long, h1 long, h2 long, bands array<long>")).collect()
+    assert len(got) == 2 and len({r.node for r in got}) == 2 and 77 in {r.node for r in got}
+
+
 def test_bands():
     bands, rows = bands_for(0.8, 0.999, 150)
     assert bands * rows <= 150 and 1 - (1 - 0.8**rows) ** bands >= 0.999

