@@ -1,9 +1,10 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
-all but the last return the columns of documents. Nulls: rows with a null doc_id
-pass line dedup and near duplicates untouched; null texts have no words, so the
-quality rules reject them.
+all but the last return the columns of documents, without any further ones. Nulls:
+rows with a null doc_id pass line dedup and near duplicates untouched; null texts
+have no words, so the quality rules reject them. Rows of one doc_id with different
+texts are documents of their own in every stage. A very long text is a row like any other.
 """
 
 from __future__ import annotations
@@ -31,13 +32,7 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of least doc_id, of each class of near duplicates."""
-    stay = ngram_join.near_duplicates(docs).where("doc_id = class_id").select(F.col("class_id").alias("stay")).distinct()
-    kept = docs.join(stay.hint("merge"), F.col("doc_id") == F.col("stay"), "left_semi")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = kept
-    else:
-        named = kept.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    return ngram_join.keep_first(docs.select(*COLUMNS))
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
