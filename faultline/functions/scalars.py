@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Fragments of names of environment variables that look secret.
 SECRET = ["KEY", "TOKEN", "SECRET", "PASSWORD", "PASSWD", "PWD", "CREDENTIAL", "CRED", "AUTH", "PRIVATE", "SESSION", "COOKIE", "SIGNATURE", "CERT", "SALT", "BEARER", "ACCESS", "APIKEY", "LICENSE"]
 #: Code fence languages by extension.
-FENCES = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "ts": "typescript", "tsx": "tsx", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "scala": "scala", "json": "json", "toml": "toml", "yaml": "yaml", "yml": "yaml", "md": "markdown"}
+FENCES = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "ts": "typescript", "tsx": "tsx", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "scala": "scala", "json": "json", "sh": "bash", "toml": "toml", "yaml": "yaml", "yml": "yaml"}
 #: Language tags of stack lines.
 TAGS = {"node": " (node)", "rust": " (rust)", "go": " (go)", "jvm": " (jvm)"}
 #: Reasons by rank.
@@ -95,7 +95,18 @@ def changed_files(diff_names: Column, status: Column) -> Column:
 
 
 def utc_second(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    """A timestamp's second in UTC, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def tidy(segments: Column) -> Column:
+    """A path from segments, with each `..` taken back; null where that leaves the repository."""
+
+    def step(held, x):
+        up = F.when(F.size(held) > 0, F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0))))
+        return F.when(held.isNull(), held).when(x == "..", up).otherwise(F.concat(held, F.array(x)))
+
+    return F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
 
 
 def parts(path: Column) -> Column:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.scalars import REASONS, literal_map, parts
+from faultline.functions.scalars import REASONS, literal_map, parts, tidy
 from faultline.operators.parse import JS_EXTENSIONS
-from faultline.operators.resolve import skipped_dir
+from faultline.operators.resolve import resolve, skipped_dir
 
 #: Manifests looked for from the working directory upwards.
 MANIFESTS = ["Cargo.toml", "Pipfile", "go.mod", "package.json", "pyproject.toml", "requirements.txt", "setup.py"]
 #: Extensions of files that a command may name as tests.
-TEST_EXTENSIONS = ["py", "js", "mjs", "cjs", "ts", "tsx", "jsx", "go"]
+TEST_EXTENSIONS = ["py", "js", "mjs", "ts", "go", "rs", "java", "kt"]
 MAX_SIZE = 512_000
 
 
@@ -24,42 +24,47 @@ def _dir(rel):
     return F.regexp_extract(rel, r"^(.*)/[^/]*$", 1)
 
 
+def _root(runs: DataFrame):
+    """The repository's absolute path, where the runs' table has it."""
+    return (F.col("root") if "root" in runs.columns else F.lit(None).cast("string")).alias("root")
+
+
 def _at(base, name):
     return F.when(base == "", name).otherwise(F.concat(base, F.lit("/"), name))
 
 
-def _tidy(path):
-    """Resolves . and .. segments; null where they leave the repository."""
-    step = lambda acc, x: F.when(acc.isNull(), acc).when(x == "..", F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))).otherwise(F.concat(acc, F.array(x)))
-    return F.array_join(F.aggregate(parts(path), F.array().cast("array<string>"), step), "/")
+def imported(files: DataFrame, repo_files: DataFrame) -> DataFrame:
+    """(repo_id, source, target): one hop from `files` (repo_id, rel) by local imports, and to Go files of the same package.
 
-
-def import_edges(repo_files: DataFrame) -> DataFrame:
-    """(repo_id, source, target): one hop of local imports and Go package siblings."""
-    files = rankable(repo_files)
-    known = files.select(F.col("repo_id").alias("k_repo"), F.col("rel").alias("k_rel"))
-    py = files.where("rel like '%.py' or rel like '%.pyi'").withColumn("base", _dir(F.col("rel")))
+    Only the sources' texts are read; a package's files travel as one array per directory.
+    """
+    known = rankable(repo_files).select(F.col("repo_id").alias("k_repo"), F.col("rel").alias("k_rel"))
+    asked = files.select(F.col("repo_id").alias("a_repo"), F.col("rel").alias("a_rel")).distinct()
+    same = (F.col("repo_id") == F.col("a_repo")) & (F.col("rel") == F.col("a_rel"))
+    texts = rankable(repo_files).join(asked, same, "left_semi").withColumn("base", _dir(F.col("rel")))
+    py = texts.where(F.col("rel").rlike(r"[^/]\.pyw?$"))
     froms = F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*from[ \t]+([A-Za-z_][\w.]*)[ \t]+import\b"), F.lit(1))
     plain = F.flatten(F.transform(F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*import[ \t]+([\w., \t]+)"), F.lit(1)), lambda x: F.transform(F.split(x, ","), lambda m: F.regexp_extract(m, r"^\s*([\w.]+)", 1))))
     module = py.select("repo_id", "rel", "base", F.explode(F.array_distinct(F.filter(F.concat(froms, plain), lambda m: m != ""))).alias("m"))
     slashed = F.replace(F.col("m"), F.lit("."), F.lit("/"))
-    bases = [F.lit(""), F.lit("src"), F.col("base")]
-    places = [_at(b, F.concat(slashed, F.lit(end))) for b in bases for end in (".py", "/__init__.py")]
-    js = files.where(" or ".join(f"rel like '%{e}'" for e in JS_EXTENSIONS)).withColumn("base", _dir(F.col("rel")))
-    spec = F.regexp_extract_all("content", F.lit(r"""(?:require\(\s*|from\s+|import\s+)['"](\.{1,2}/[^'"]+)['"]"""), F.lit(1))
-    wanted = js.select("repo_id", "rel", "base", F.explode(F.array_distinct(spec)).alias("m"))
-    target = _tidy(_at(F.col("base"), F.col("m")))
-    js_places = [F.when(F.col("m").rlike(r"\.[A-Za-z]+$"), target), *[F.concat(target, F.lit(e)) for e in JS_EXTENSIONS], *[F.concat(target, F.lit(f"/index{e}")) for e in JS_EXTENSIONS]]
+    py_places = [_at(b, F.concat(slashed, F.lit(end))) for b in (F.lit(""), F.lit("src"), F.col("base")) for end in (".py", "/__init__.py")]
+    js = texts.where(" or ".join(f"rel like '%{e}'" for e in JS_EXTENSIONS))
+    # a quoted path that begins with a dot, after one of the words that load modules
+    named = F.regexp_extract_all("content", F.lit(r"""\b(?:import|from|require)\b[\s(]*(["'])(\.\.?/.*?)\1"""), F.lit(2))
+    wanted = js.select("repo_id", "rel", "base", F.explode(F.array_distinct(named)).alias("m"))
+    whole = tidy(parts(_at(F.col("base"), F.col("m"))))
+    stem = F.regexp_replace(whole, r"(?<=[^/])\.[^./]+$", "")
+    js_places = [F.when(whole != stem, whole), *[F.concat(stem, F.lit(e)) for e in JS_EXTENSIONS], *[F.concat(whole, F.lit(f"/index{e}")) for e in JS_EXTENSIONS]]
 
     def first(asked: DataFrame, options: list) -> DataFrame:
         tried = asked.select("repo_id", "rel", "m", F.posexplode(F.array(*options)).alias("prio", "place")).where("place is not null")
         met = tried.join(known, (F.col("repo_id") == F.col("k_repo")) & (F.col("place") == F.col("k_rel")))
         return met.groupBy("repo_id", "rel", "m").agg(F.min_by("place", "prio").alias("target")).select("repo_id", F.col("rel").alias("source"), "target")
 
-    go = files.where("rel like '%.go'").select("repo_id", "rel", _dir(F.col("rel")).alias("d"))
-    other = go.where("rel not like '%\\_test.go'").select(F.col("repo_id").alias("o_repo"), F.col("rel").alias("target"), F.col("d").alias("o_d"))
-    siblings = go.join(other, (F.col("repo_id") == F.col("o_repo")) & (F.col("d") == F.col("o_d")) & (F.col("rel") != F.col("target"))).select("repo_id", F.col("rel").alias("source"), "target")
-    return first(module, places).unionByName(first(wanted, js_places)).unionByName(siblings).where("source <> target").distinct()
+    go = texts.where("rel like '%.go'").select("repo_id", "rel", "base")
+    packages = known.where("k_rel like '%.go' and k_rel not like '%\\_test.go'").groupBy("k_repo", _dir(F.col("k_rel")).alias("dir")).agg(F.collect_list("k_rel").alias("members"))
+    siblings = go.join(packages, (F.col("repo_id") == F.col("k_repo")) & (F.col("base") == F.col("dir"))).select("repo_id", F.col("rel").alias("source"), F.explode("members").alias("target"))
+    return first(module, py_places).unionByName(first(wanted, js_places)).unionByName(siblings).where("source <> target").distinct()
 
 
 def manifests(runs: DataFrame, repo_files: DataFrame) -> DataFrame:
@@ -71,15 +76,23 @@ def manifests(runs: DataFrame, repo_files: DataFrame) -> DataFrame:
 
 
 def failing_tests(parsed: DataFrame, runs: DataFrame, repo_files: DataFrame) -> DataFrame:
-    """(run_id, rel): test files that the output or the command names and the repository holds."""
-    said = parsed.select("run_id", F.explode("failed_tests.path").alias("rel"))
-    word = runs.select("run_id", F.explode("command").alias("w")).select("run_id", F.regexp_extract("w", r"^(.*?)(?:::.*)?$", 1).alias("rel"))
-    name = F.lower(F.element_at(F.split("rel", "/"), -1))
-    asked = word.where(F.lower(F.regexp_extract("rel", r"\.([^./]+)$", 1)).isin(TEST_EXTENSIONS) & name.rlike("test|spec"))
-    both = said.unionByName(asked).distinct().join(runs.select(F.col("run_id").alias("r_id"), "repo_id", "cwd"), F.col("run_id") == F.col("r_id"))
-    at = both.withColumn("rel", F.array_join(F.concat(parts(F.coalesce("cwd", F.lit(""))), parts(F.col("rel"))), "/"))
+    """(run_id, rel): test files that the output names, and those under the working directory that the command does.
+
+    What the output names is placed like a frame's path, by the longest tail if need be.
+    """
+    where = runs.select(F.col("run_id").alias("r_id"), "repo_id", "cwd", _root(runs))
+    said = parsed.select("run_id", F.explode("failed_tests.path").alias("path"))
+    word = runs.select("run_id", F.explode("command").alias("w")).select("run_id", F.substring_index("w", "::", 1).alias("path"))
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    asked = word.where(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1).isin(TEST_EXTENSIONS) & name.rlike("test|spec"))
+    at = asked.join(where, F.col("run_id") == F.col("r_id")).withColumn("under", tidy(F.concat(parts(F.coalesce("cwd", F.lit(""))), parts(F.col("path")))))
     known = repo_files.select(F.col("repo_id").alias("k_repo"), F.col("rel").alias("k_rel"))
-    return at.join(known, (F.col("repo_id") == F.col("k_repo")) & (F.col("rel") == F.col("k_rel")), "left_semi").select("run_id", "rel")
+    there = at.join(known, (F.col("repo_id") == F.col("k_repo")) & (F.col("under") == F.col("k_rel")), "left_semi").select("run_id", "path")
+    both = said.unionByName(there).distinct().join(where, F.col("run_id") == F.col("r_id"))
+    paths = both.select("run_id", "repo_id", "cwd", "root", "path", F.lit(None).cast("string").alias("path_hint"), F.lit(False).alias("vendored"))
+    placed = resolve(paths, repo_files).where("resolved is not null").select(F.col("repo_id").alias("p_repo"), F.col("cwd").alias("p_cwd"), F.col("root").alias("p_root"), F.col("path").alias("p_path"), F.col("resolved").alias("rel"))
+    same = (F.col("repo_id") == F.col("p_repo")) & (F.col("path") == F.col("p_path")) & F.col("cwd").eqNullSafe(F.col("p_cwd")) & F.col("root").eqNullSafe(F.col("p_root"))
+    return paths.join(placed, same).select("run_id", "rel").distinct()
 
 
 def rank_files(runs: DataFrame, parsed: DataFrame, resolved: DataFrame, repo_files: DataFrame, changed: DataFrame | None = None) -> DataFrame:
@@ -89,7 +102,7 @@ def rank_files(runs: DataFrame, parsed: DataFrame, resolved: DataFrame, repo_fil
     one = resolved.select("run_id", "rel", F.lit(1).alias("rank"), F.col("line").cast("int").alias("line"))
     two = failing_tests(parsed, runs, repo_files).select("run_id", "rel", F.lit(2).alias("rank"), none.alias("line"))
     seeds = one.unionByName(two).select("run_id", "rel").distinct().join(repo_of, F.col("run_id") == F.col("q_id"))
-    edges = import_edges(repo_files).select(F.col("repo_id").alias("e_repo"), "source", "target")
+    edges = imported(seeds.select(F.col("q_repo").alias("repo_id"), "rel"), repo_files).select(F.col("repo_id").alias("e_repo"), "source", "target")
     three = seeds.join(edges, (F.col("q_repo") == F.col("e_repo")) & (F.col("rel") == F.col("source"))).select("run_id", F.col("target").alias("rel"), F.lit(3).alias("rank"), none.alias("line"))
     all_ = one.unionByName(two).unionByName(three)
     if changed is not None:

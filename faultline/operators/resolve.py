@@ -1,8 +1,8 @@
 """Frame paths to repository files, never by guess.
 
 Distinct (path, hint, vendored) triples are resolved once. A path that names a
-repository file (under the run's cwd, then from the root) is `direct`; a vendored
-one is `vendored`; an absolute one that exists elsewhere is `outside-repo`; else
+repository file (under the run's cwd, then from the root; an absolute one under the
+repository's own path) is `direct`; a vendored one is `vendored`; an absolute one that exists elsewhere is `outside-repo`; else
 the file with the longest matching tail of segments is `suffix`, if it is the only
 one at that depth, and `ambiguous` otherwise. Candidates meet by an equi-join on
 the file's name; Spark picks a broadcast only if the catalogue is known to be small.
@@ -10,10 +10,11 @@ the file's name; Spark picks a broadcast only if the catalogue is known to be sm
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.scalars import parts
+from faultline.functions.scalars import parts, tidy
+from faultline.operators.parse import VENDORED
 
 #: Directories that are never looked into.
 SKIPPED = [".eggs", ".faultline", ".git", ".hg", ".idea", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".svn", ".tox", ".venv", ".vscode", "__pycache__", "build", "dist", "htmlcov", "node_modules", "venv"]
@@ -25,29 +26,43 @@ def skipped_dir(path_parts):
 
 
 def file_index(repo_files: DataFrame, cap: int = INDEX_CAP) -> DataFrame:
-    """repo_id, rel, name, path_parts: the first `cap` files of each repository by path. The cap is the operator's own limit."""
-    from pyspark.sql import Window
+    """repo_id, rel, name, path_parts: the first `cap` files of each repository by path. The cap is the operator's own limit.
 
+    Only repositories beyond the cap have their files numbered.
+    """
     base = repo_files.select("repo_id", "rel", parts(F.col("rel")).alias("path_parts")).where(~skipped_dir(F.col("path_parts")))
-    ranked = base.withColumn("n", F.row_number().over(Window.partitionBy("repo_id").orderBy("rel"))).where(F.col("n") <= cap)
-    return ranked.select("repo_id", "rel", F.element_at("path_parts", -1).alias("name"), "path_parts")
+    large = base.groupBy(F.col("repo_id").alias("l_repo")).count().where(F.col("count") > cap).select("l_repo")
+    over = base.join(large, F.col("repo_id") == F.col("l_repo"), "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("repo_id").orderBy("rel"))).where(F.col("n") <= cap).drop("n")
+    all_ = base.join(large, F.col("repo_id") == F.col("l_repo"), "left_anti").unionByName(over)
+    return all_.select("repo_id", "rel", F.element_at("path_parts", -1).alias("name"), "path_parts")
+
+
+def _vendored(path):
+    padded = F.concat(F.lit("/"), F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/+|/+$", ""), F.lit("/"))
+    return F.exists(F.array(*map(F.lit, VENDORED)), lambda m: F.contains(padded, m))
 
 
 def resolve(frames: DataFrame, repo_files: DataFrame, host_files: DataFrame | None = None) -> DataFrame:
-    """frames: repo_id, cwd (from the root), path, path_hint, vendored -> these with how, resolved, candidates."""
-    keys = ["repo_id", "cwd", "path", "path_hint", "vendored"]
+    """frames: repo_id, cwd (from the root), root (the repository's absolute path, may be null or absent), path, path_hint, vendored -> these with how, resolved, candidates."""
+    keys = ["repo_id", "cwd", "root", "path", "path_hint", "vendored"]
+    if "root" not in frames.columns:
+        frames = frames.withColumn("root", F.lit(None).cast("string"))
     asked = frames.select(*keys).distinct()
-    norm = F.array_join(parts(F.col("path")), "/")
-    absolute = F.col("path").rlike(r"^/|^[A-Za-z]:")
-    asked = asked.withColumn("plain", norm).withColumn("absolute", absolute).withColumn("under", F.array_join(F.concat(parts(F.coalesce("cwd", F.lit(""))), parts(F.col("path"))), "/"))
+    absolute = F.col("path").rlike(r"^/|^[A-Za-z]:[/\\]")
+    own = F.concat(tidy(parts(F.col("root"))), F.lit("/"))
+    full = tidy(parts(F.col("path")))
+    inside = F.when(F.startswith(full, own), full.substr(F.length(own) + 1, F.length(full)))
+    asked = asked.withColumn("absolute", absolute).withColumn("first", F.when(F.col("absolute"), inside).otherwise(tidy(F.concat(parts(F.coalesce("cwd", F.lit(""))), parts(F.col("path"))))))
+    asked = asked.withColumn("second", F.when(~F.col("absolute"), full))
     index = file_index(repo_files)
-    exact = index.select(F.col("repo_id").alias("x_repo"), F.col("rel").alias("x_rel"))
+    # the cap limits the search by tails, not paths that name a file outright
+    exact = repo_files.where(~skipped_dir(parts(F.col("rel")))).select(F.col("repo_id").alias("x_repo"), F.col("rel").alias("x_rel"))
     cwd_hit = exact.select(F.col("x_repo").alias("c_repo"), F.col("x_rel").alias("c_rel"))
     direct = (
-        asked.join(cwd_hit, (F.col("repo_id") == F.col("c_repo")) & (F.col("under") == F.col("c_rel")) & ~F.col("absolute"), "left")
-        .join(exact, (F.col("repo_id") == F.col("x_repo")) & (F.col("plain") == F.col("x_rel")) & ~F.col("absolute"), "left")
+        asked.join(cwd_hit, (F.col("repo_id") == F.col("c_repo")) & (F.col("first") == F.col("c_rel")), "left")
+        .join(exact, (F.col("repo_id") == F.col("x_repo")) & (F.col("second") == F.col("x_rel")), "left")
         .withColumn("direct", F.coalesce("c_rel", "x_rel"))
-        .select(*keys, "absolute", "direct")
+        .select(*keys, (F.col("vendored") | _vendored(F.col("path"))).alias("foreign"), "absolute", "direct")
     )
     if host_files is not None:
         outside = host_files.select(F.col("path").alias("h_path")).distinct()
@@ -55,7 +70,7 @@ def resolve(frames: DataFrame, repo_files: DataFrame, host_files: DataFrame | No
     else:
         direct = direct.withColumn("elsewhere", F.lit(False))
     hints = F.filter(F.array(F.struct(F.lit(0).alias("prio"), F.col("path_hint").alias("hint")), F.struct(F.lit(1).alias("prio"), F.col("path").alias("hint"))), lambda h: h["hint"].isNotNull())
-    open_ = direct.where("direct is null and not vendored and not elsewhere")
+    open_ = direct.where("direct is null and not foreign and not elsewhere")
     tried = open_.select(*keys, F.explode(hints).alias("h")).select(*keys, "h.prio", parts(F.col("h.hint")).alias("hint_parts")).where("size(hint_parts) > 0")
     named = tried.withColumn("name", F.element_at("hint_parts", -1))
     files = index.select(F.col("repo_id").alias("f_repo"), "rel", F.col("name").alias("f_name"), "path_parts")
@@ -70,7 +85,7 @@ def resolve(frames: DataFrame, repo_files: DataFrame, host_files: DataFrame | No
         same = one if same is None else same & one
     joined = direct.join(found, same, "left")
     how = (
-        F.when(F.col("direct").isNotNull(), "direct").when(F.col("vendored"), "vendored").when(F.col("elsewhere"), "outside-repo").when(F.size("rels") == 1, "suffix").when(F.size("rels") > 1, "ambiguous").otherwise("unresolved")
+        F.when(F.col("direct").isNotNull(), "direct").when(F.col("foreign"), "vendored").when(F.col("elsewhere"), "outside-repo").when(F.size("rels") == 1, "suffix").when(F.size("rels") > 1, "ambiguous").otherwise("unresolved")
     )
     return joined.select(
         *keys, how.alias("how"), F.coalesce("direct", F.when(F.size("rels") == 1, F.get("rels", 0))).alias("resolved"),

@@ -21,16 +21,20 @@ def clamp(budget: int) -> int:
 
 
 def windowed(content: Column, refs: Column, context: int = CONTEXT) -> Column:
-    """The lines around the referenced ones, with a mark at each gap; all of it without references."""
+    """The lines around the referenced ones, with a mark at each gap; all of it without references.
+
+    A reference up to `context` lines beyond the end still shows the last lines; farther ones show nothing.
+    """
 
     def around(rows: Column) -> Column:
         n = F.size(rows)
-        spans = F.transform(F.filter(refs, lambda r: (r >= 1) & (r <= n)), lambda r: F.sequence(F.greatest(F.lit(1), r - context), F.least(n, r + context)))
+        near = F.filter(F.transform(refs, lambda r: F.struct(F.greatest(F.lit(1), r - context).alias("low"), F.least(n, r + context).alias("high"))), lambda s: s["low"] <= s["high"])
+        spans = F.transform(near, lambda s: F.sequence(s["low"], s["high"]))
         return let(F.array_sort(F.array_distinct(F.flatten(spans))), lambda near: joined(rows, near))
 
     def joined(rows: Column, near: Column) -> Column:
         kept = F.transform(near, lambda i, k: F.concat(F.when((k > 0) & (F.get(near, k - 1) < i - 1), F.lit(GAP + "\n")).otherwise(F.lit("")), F.get(rows, i - 1)))
-        return F.when(F.size(near) > 0, F.array_join(kept, "\n")).otherwise(content)
+        return F.array_join(kept, "\n")
 
     return F.when(F.size(refs) > 0, let(split_lines(content), around)).otherwise(content)
 
@@ -45,9 +49,8 @@ def char_cap(budget: Column) -> Column:
 
 
 def trim(content: Column, refs: Column, budget: Column, context: int = CONTEXT) -> Column:
-    """The windowed text, cut to the budget's characters."""
-    text, cap = windowed(content, refs, context), char_cap(budget)
-    return F.when(F.length(text) > cap, F.concat(text.substr(F.lit(1), cap), F.lit(TRAILER))).otherwise(text)
+    """The windowed text, cut to the budget's characters, and a line that says so, cut or not."""
+    return F.concat(windowed(content, refs, context).substr(F.lit(1), char_cap(budget)), F.lit(TRAILER))
 
 
 def fold_budget(files: Column, budget: int) -> Column:
@@ -61,8 +64,8 @@ def fold_budget(files: Column, budget: int) -> Column:
         whole, some = f["cost"] <= acc["left"], acc["left"] >= LEAST_TO_TRIM
         state = F.when(whole, "whole").when(some, "trim").otherwise("omit")
         cap = char_cap(acc["left"])
-        part = F.floor((F.when(f["window"] > cap, cap + len(TRAILER)).otherwise(f["window"]) + 3) / 4)
-        left = F.when(whole, acc["left"] - f["cost"]).when(some, acc["left"] - part).otherwise(acc["left"]).cast("long")
+        part = F.floor((F.least(f["window"], cap) + len(TRAILER) + 3) / 4)
+        left = F.when(whole, acc["left"] - f["cost"]).when(some, F.greatest(F.lit(0), acc["left"] - part)).otherwise(acc["left"]).cast("long")
         return F.struct(left.alias("left"), F.concat(acc["out"], F.array(F.struct(state.alias("state"), acc["left"].alias("room")))).alias("out"))
 
     return F.aggregate(files, start, step)["out"]
@@ -78,7 +81,7 @@ def select_files(ranked: DataFrame, repo_files: DataFrame, runs: DataFrame, budg
     priced = ranked.join(repo_of, F.col("run_id") == F.col("q_id")).join(costs, (F.col("q_repo") == F.col("k_repo")) & (F.col("rel") == F.col("k_rel")))
     priced = priced.withColumn("window", F.when(F.col("cost") > LEAST_TO_TRIM, F.length(windowed(F.col("k_content"), F.col("lines")))).otherwise(F.length("k_content")))
     listed = priced.groupBy("run_id", "q_repo").agg(F.array_sort(F.collect_list(F.struct("rank", "rel", "cost", "reason", "lines", "window"))).alias("files"))
-    folded = listed.withColumn("fate", fold_budget(F.col("files"), clamp(budget)))
+    folded = listed.withColumn("fate", fold_budget(F.col("files"), budget))
     rows = folded.select("run_id", "q_repo", F.posexplode(F.arrays_zip("files", "fate")).alias("pos", "x")).select("run_id", "q_repo", "pos", "x.files.*", "x.fate.*")
     texts = repo_files.select(F.col("repo_id").alias("t_repo"), F.col("rel").alias("t_rel"), F.col("content").alias("full_content"))
     held = rows.join(texts, (F.col("q_repo") == F.col("t_repo")) & (F.col("rel") == F.col("t_rel")))

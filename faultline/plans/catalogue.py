@@ -13,6 +13,7 @@ from faultline.functions import scalars
 from faultline.operators.parse import distilled_failure, parse_runs, root_cause, unique_frames
 from faultline.operators.select import fold_budget
 from faultline.plans import packet, synth
+from faultline.sources import ingest
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +65,7 @@ def rank_files(spark, sf_dir):
 
 def packet_summary(spark, sf_dir):
     """One row per run: what failed, where, and how much was packed."""
-    built = packet.build(_runs(spark, sf_dir), synth.repo_files(spark))
+    built = packet.build(_runs(spark, sf_dir), synth.repo_files(spark), created_at=F.timestamp_seconds(F.lit(0)))
     files = built["files"].groupBy(F.col("run_id").alias("f_id")).agg(F.count_if("included").alias("n_files"))
     return built["packets"].join(files, F.col("run_id") == F.col("f_id"), "left").select("run_id", "failure", F.coalesce("n_files", F.lit(0)).alias("n_files"), "packet_tokens", "repo_tokens", "markdown", "json")
 
@@ -84,8 +85,9 @@ def token_estimate(spark, sf_dir):
 
 
 def repo_tokens(spark, sf_dir):
-    size = F.octet_length("text").cast("long")
-    return _docs(spark, sf_dir).where((size > 0) & (size <= 20_000)).groupBy("lang").agg(F.sum(scalars.byte_tokens(size)).alias("tokens"))
+    """The token scan, with each language as a repository and each document as a text file."""
+    files = _docs(spark, sf_dir).select(F.col("lang").alias("repo_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel"), F.octet_length("text").cast("long").alias("size_bytes"))
+    return ingest.repo_tokens(files).select(F.col("repo_id").alias("lang"), F.col("repo_tokens").alias("tokens"))
 
 
 def secret_filter(spark, sf_dir):
@@ -172,8 +174,34 @@ _ORACLES = {
         when k in (0, 1, 3, 6) then replace(path, './', '')
         when k = 2 then replace(path, '/srv/app/', 'web/') when k = 4 then replace(path, '/build/', '') else 'java/com/example/shop/' || path end as resolved,
       cast(case when k = 2 and pos = 0 and f % 5 = 0 then 2 else 0 end as bigint) as n_candidates from fr""",
+    "rank_files": _E
+    + """, t(k, rel, rank, line_of) as (values
+ (0, 'app/main{f}.py', 1, 'l'), (0, 'app/lib{f}.py', 1, 'u'), (1, 'app/main{f}.py', 1, 'l'), (1, 'app/lib{f}.py', 3, ''), (1, 'tests/test_{f}.py', 1, 'u'),
+ (2, 'web/lib{f}.js', 1, 'l'), (2, 'web/main{f}.js', 1, 'u'), (3, 'src/lib{f}.rs', 1, 'l'), (3, 'src/main{f}.rs', 1, 'u'), (4, 'cart/lib{f}.go', 1, 'l'), (4, 'main{f}.go', 1, 'u'),
+ (5, 'java/com/example/shop/Main{f}.java', 1, 'l'), (5, 'java/com/example/shop/Lib{f}.java', 1, 'u'), (6, 'src/main{f}.rs', 1, 'l'), (6, 'src/lib{f}.rs', 1, 'u')),
+ named as (select run_id, e.k, replace(rel, '{f}', cast(f as varchar)) as rel, rank, case line_of when 'l' then cast(l as varchar) when 'u' then cast(u as varchar) else '' end as lines
+   from e join t using (k) where not (k = 2 and line_of = 'l' and f % 5 = 0)
+   union all select run_id, k, 'tests/test_' || f || '.py', 2, '' from e where k <> 1
+   union all select run_id, k, d || n || '.go', 3, '' from e cross join range(50) as r(n) cross join (values ('cart/lib'), ('main')) as p(d) where k = 4 and n <> f
+   union all select run_id, k, 'pyproject.toml', 5, '' from e)
+ select run_id, rel, cast(rank as integer) as rank, case rank when 1 then case k when 6 then 'compiler diagnostic' else 'in stack trace' end when 2 then 'failing test'
+   when 3 then 'imported by or same package as a stack-trace file' else 'dependency manifest' end as reason, lines from named""",
+    "budget_select": """with recursive d as (select source, doc_id, 2 - coalesce(quality, -1) as rank, (length(text) + 3) // 4 as cost, length(text) as chars from documents left join labels using (doc_id)),
+      o as (select *, row_number() over (partition by source order by rank, doc_id, cost, chars) as p from d),
+      f(source, p, room, state, rest) as (
+        select source, cast(0 as bigint), cast(null as bigint), cast(null as varchar), cast(8000 as bigint) from o group by source
+        union all
+        select o.source, o.p, f.rest, case when cost <= f.rest then 'whole' when f.rest >= 300 then 'trim' else 'omit' end,
+          case when cost <= f.rest then f.rest - cost when f.rest >= 300 then greatest(0, f.rest - (least(chars, greatest(f.rest * 4 - 80, 200)) + 14 + 3) // 4) else f.rest end
+        from f join o on o.source = f.source and o.p = f.p + 1)
+      select source, count(*) filter (where state = 'whole') as n_whole, min(room) as least_room, count(*) as n from f where p > 0 group by source""",
+    "dedupe_first": """with s as (select doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]') as parts from documents where text is not null),
+      l as (select doc_id, case when parts[-1] = '' then parts[:-2] else parts end as rows from s),
+      u as (select doc_id, unnest(rows) as line, unnest(range(len(rows))) as n from l),
+      f as (select doc_id, line, min(n) as n from u group by doc_id, line)
+      select doc_id, count(*) as n_lines, cast(sum(n) as bigint) as places from f group by doc_id""",
     "token_estimate": "select doc_id, cast((length(text) + 3) // 4 as bigint) as tokens, cast((strlen(text) + 3) // 4 as bigint) as byte_tokens from documents",
-    "repo_tokens": "select lang, cast(sum((strlen(text) + 3) // 4) as bigint) as tokens from documents where strlen(text) between 1 and 20000 group by lang",
+    "repo_tokens": "select lang, cast(sum((strlen(text) + 3) // 4) as bigint) as tokens from documents where strlen(text) between 1 and 1000000 group by lang",
     "secret_filter": "select distinct name from (select unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as name from documents) where regexp_matches(name, '(?i)" + "|".join(scalars.SECRET) + "')",
     "cap_text": "select doc_id, sha256(case when length(text) > 20000 then left(text, 20000) || chr(10) || '... [truncated]' else text end) as sha, length(text) > 20000 as capped from documents",
     "turn_blocks": "select conv_id, turn, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as block from conversations",

@@ -7,19 +7,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators.parse import parse_runs, unique_frames
-from faultline.operators.rank import rank_files
+from faultline.operators.rank import _root, rank_files
 from faultline.operators.render import packets
 from faultline.operators.resolve import resolve
-from faultline.operators.select import DEFAULT_BUDGET, select_files
+from faultline.operators.select import DEFAULT_BUDGET, clamp, select_files
 from faultline.sources.ingest import repo_tokens
 
 
 def placed_frames(runs: DataFrame, parsed: DataFrame, repo_files: DataFrame) -> DataFrame:
     """Unique frames with how, resolved and candidates."""
-    where = runs.select(F.col("run_id").alias("w_id"), "repo_id", "cwd")
+    where = runs.select(F.col("run_id").alias("w_id"), "repo_id", "cwd", _root(runs))
     frames = unique_frames(parsed).join(where, F.col("run_id") == F.col("w_id")).drop("w_id")
     known = resolve(frames, repo_files)
-    keys = ["repo_id", "cwd", "path", "path_hint", "vendored"]
+    keys = ["repo_id", "cwd", "root", "path", "path_hint", "vendored"]
     other = known.select(*[F.col(k).alias(f"n_{k}") for k in keys], "how", "resolved", "candidates")
     same = None
     for k in keys:
@@ -28,12 +28,12 @@ def placed_frames(runs: DataFrame, parsed: DataFrame, repo_files: DataFrame) ->
     return frames.join(other, same, "left").drop(*[f"n_{k}" for k in keys])
 
 
-def build(runs: DataFrame, repo_files: DataFrame, changed: DataFrame | None = None, git=None, environment=None, budget: int = DEFAULT_BUDGET) -> dict[str, DataFrame]:
+def build(runs: DataFrame, repo_files: DataFrame, changed: DataFrame | None = None, git=None, environment=None, budget: int = DEFAULT_BUDGET, created_at=None) -> dict[str, DataFrame]:
     """parsed, frames, ranked, files and packets of the runs."""
     parsed = parse_runs(runs).persist(StorageLevel.DISK_ONLY)  # read by five branches; a lost part is parsed again
     frames = placed_frames(runs, parsed, repo_files).persist(StorageLevel.DISK_ONLY)
     found = frames.where("resolved is not null").select("run_id", F.col("resolved").alias("rel"), "line")
     ranked = rank_files(runs, parsed, found, repo_files, changed).persist(StorageLevel.DISK_ONLY)
-    files = select_files(ranked, repo_files, runs, budget).persist(StorageLevel.DISK_ONLY)
+    files = select_files(ranked, repo_files, runs, clamp(budget)).persist(StorageLevel.DISK_ONLY)
     places = frames.select("run_id", "path", "path_hint", "vendored", "how", "resolved", "candidates").dropDuplicates(["run_id", "path", "path_hint", "vendored"])
-    return {"parsed": parsed, "frames": frames, "ranked": ranked, "files": files, "packets": packets(runs, parsed, places, files, repo_tokens(repo_files), git, environment)}
+    return {"parsed": parsed, "frames": frames, "ranked": ranked, "files": files, "packets": packets(runs, parsed, places, files, repo_tokens(repo_files), git, environment, created_at)}
