@@ -1,3 +1,6 @@
+import hashlib
+import itertools
+import random
 import re
 
 import numpy as np
@@ -68,7 +71,7 @@ def test_surrogates(spark):
     card = re.search(r"pay ([\d ]+);", clean)[1]
     digits = [int(c) for c in card.replace(" ", "")][::-1]
     assert len(card) == 19 and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits)) % 10 == 0
-    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", clean) and re.search(r"Frau [A-Z][a-z]+ met Mr\. [А-ЯЁ][а-яё]+\.", clean) and "No 123456" in clean
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", clean) and re.search(r"Frau [A-Z][a-zø-ÿ]+ met Mr\. [А-ЯЁ][а-яё]+\.", clean) and "No 123456" in clean
     assert surrogates.replace_entities(df.limit(0), "k1").count() == 0
     assert surrogates.replace_entities(df, "k2").where("doc_id = 1").first().clean_text != clean
     plan = out._jdf.queryExecution().executedPlan().toString()
@@ -93,6 +96,62 @@ def test_surrogates_of_small_spaces(spark):
         values += [v for v in got if v[-1].isdigit()][:20]
 
 
+def brute_digits(digits, tag):
+    """The keyed permutation of a string of digits, written out."""
+
+    def moved(by, x, n, low=0):
+        return (x - low + by) % n + low
+
+    def number(*parts):
+        return int(hashlib.sha256("\x1f".join(parts).encode()).hexdigest()[:15], 16)
+
+    d = list(digits)
+    z = str(moved(1 + number(tag, "last", "\x1f".join(d[:-1])) % 9, int(d[-1]), 10))
+    return "".join(str(moved(number(tag, z, "\x1f".join(d[:i])), int(c), 10)) for i, c in enumerate(d[:-1])) + z
+
+
+def test_surrogates_against_brute_force(spark):
+    rnd = random.Random(3)
+    numbers = sorted({str(rnd.randrange(10**6, 10**10)) for _ in range(300)})
+    tag = hashlib.sha256("\x1f".join(["k", "number", "0"]).encode()).hexdigest()
+    want = {n: brute_digits(n, tag + "|") for n in numbers}
+    assert len(set(want.values())) == len(numbers) and not any(a == b for a, b in want.items())
+    df = spark.createDataFrame([(i, f"no {n} so") for i, n in enumerate(numbers)], "doc_id long, text string")
+    got = {r.text[3:-3]: r.clean_text[3:-3] for r in surrogates.replace_entities(df, "k").collect()}
+    free = {n for n in numbers if want[n] not in want}  # the others moved on to another attempt
+    assert all(got[n] == want[n] for n in free) and len(set(got.values())) == len(numbers) and not set(got.values()) & set(numbers)
+
+
+def test_surrogates_of_a_full_space(spark):
+    """All addresses of four octets from 1 to 9: no free form is left, yet all differ and none stays."""
+    values = [".".join(map(str, o)) for o in itertools.product(range(1, 10), repeat=4)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
+    got = {r.text: r.clean_text for r in surrogates.replace_entities(df, "k", max_rounds=1).collect()}
+    assert len(set(got.values())) == 6561 and not any(a == b for a, b in got.items())
+
+
+def test_surrogates_of_names(spark):
+    texts = ["Mr. John Smith", "Dr. John Smith", "Mr. Smith", "Ms. Robin Old", "Mr. Robin Smith", "Mr. Γιώργος Παππάς", "Dr. Anne-Marie O'Neil", "Mr. John Smyth", "Mrs. ՀԱՅ Սմիթ", "+1 (212) 555-7890", "+12125557890", "2001:DB8:0:0:8:800:200C:417A", "fe80::1:2ff", "at 12:30:45 x::y"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "doc_id long, text string")
+    got = {r.text: r.clean_text for r in surrogates.replace_entities(df, "k").collect()}
+    (mr, first, last), (dr, again, same) = got["Mr. John Smith"].split(), got["Dr. John Smith"].split()
+    assert (mr, dr) == ("Mr.", "Dr.") and (first, last) == (again, same) and got["Mr. Smith"] == f"Mr. {last}" and got["Mr. Robin Smith"].endswith(last)
+    assert first.split("-")[0] in surrogates.NAMES["male", "latin"] and got["Mr. John Smyth"] != got["Mr. John Smith"]
+    robins = {got[x].split()[1] for x in ("Ms. Robin Old", "Mr. Robin Smith")}
+    assert len(robins) == 1 and robins.pop().split("-")[0] in surrogates.NAMES["neutral", "latin"]
+    assert re.fullmatch(r"Mr\. [Α-Ωα-ωά-ώ]+-[Α-Ωα-ωά-ώ]+ [Α-Ωα-ωά-ώ]+", got["Mr. Γιώργος Παππάς"]) and re.fullmatch(r"Mrs\. [Ա-Ֆ]{3} [Ա-Ֆ][ա-ֆ]{3}", got["Mrs. ՀԱՅ Սմիթ"])
+    assert re.sub(r"\D", "", got["+1 (212) 555-7890"]) == re.sub(r"\D", "", got["+12125557890"]) and got["+12125557890"].startswith("+1")
+    assert re.fullmatch(r"\d{4}:[A-F]{2}\d:\d:\d:\d:\d{3}:\d{3}[A-F]:\d{3}[A-F]", got["2001:DB8:0:0:8:800:200C:417A"])
+    assert re.fullmatch(r"[\da-f]{4}::\d:\d[a-f]{2}", got["fe80::1:2ff"]) and got["at 12:30:45 x::y"] == "at 12:30:45 x::y"
+
+
+def test_surrogates_of_long_and_odd_texts(spark):
+    rows = [(1, "ann@mail.org " * 20_000, 1), (1, "ann@mail.org " * 20_000, 1), (2, "", 2), (2, None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, clean_kind int")
+    got = surrogates.replace_entities(df, "k").collect()
+    assert sorted(r.n_entities for r in got) == [0, 0, 20_000, 20_000] and len({r.clean_text for r in got if r.n_entities}) == 1
+
+
 def test_surrogates_without_digits(spark):
     """The cheap filter lets through whatever an alternative of the pattern finds."""
     blanks = [" ", "  ", "\u00a0", " \u00a0 "]
