@@ -2,21 +2,26 @@
 
 Benchmark texts are lower-cased (A-Z), reduced to words and cut into windows of
 `window` consecutive words; a shorter item is one window. All windows go into
-one automaton, which scans each normalised document once. A hit's place in the
-normalised text gives its words, and their places in the original text give
-character spans.
+one automaton over numbers of words (those of no window are one number), which
+scans each normalised document once. A hit's place gives its words, and their
+places in the original text give character spans.
 
-The automaton is built on the driver and sent to the tasks, so the benchmark
-must be small: more than `max_items` items or `max_bytes` of text is an error,
+The items are broadcast; each worker process builds the automaton once and
+keeps the last one. A window costs it about 0.8 KB, so the benchmark
+must be small: more than `max_items` items or `max_windows` windows is an error,
 never a truncation. Split such a benchmark and union the hits.
 
 Nulls: a null text has no words. An item without words is ignored; rows with a
-null item_id are ignored. Repeated item_ids count as one item. Empty tables give
-no hits or no rows; extra columns are ignored.
+null item_id are ignored. Repeated item_ids count as one item. Repeated rows and
+texts of one doc_id are judged each for itself. A very long text is scanned whole, with
+memory in proportion to its length. Empty tables give no hits or no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,60 +36,82 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(textkit.ALNUM_FOLD).split()
 
 
-def windows(items: list[tuple[int, str]], window: int) -> tuple[dict[str, tuple[int, ...]], list[int]]:
-    """Window text -> numbers of the items that hold it, and the item of each number."""
-    found: dict[str, set[int]] = {}
+def windows(items: list[tuple[int, str]], window: int) -> tuple[dict[tuple[int, ...], list[int]], dict[bytes, int], list[int]]:
+    """Window in word numbers -> numbers of the items that hold it; words' numbers, from 1; the item of each number."""
     ids = sorted({i for i, _ in items})
     number = {i: k for k, i in enumerate(ids)}
+    words: dict[bytes, int] = {}
+    found: dict[tuple[int, ...], list[int]] = {}
     for i, text in items:
-        w = normal_words(text)
+        w = [words.setdefault(x, len(words) + 1) for x in normal_words(text)]
         for p in range(max(1, len(w) - window + 1)) if w else ():
-            found.setdefault(b" ".join([b"", *w[p : p + window], b""]).decode(), set()).add(number[i])
-    return {k: tuple(sorted(v)) for k, v in found.items()}, ids
+            held = found.setdefault(tuple(w[p : p + window]), [])
+            if number[i] not in held[-1:]:
+                held.append(number[i])
+    return found, words, ids
 
 
-def read_items(benchmark: DataFrame, max_items: int, max_bytes: int) -> list[tuple[int, str]]:
+def read_items(benchmark: DataFrame, window: int, max_items: int, max_windows: int) -> list[tuple[int, str]]:
+    """All items, if their number and the blanks between their words, at most, are within the limits."""
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    if n > max_items or size > max_bytes:
-        raise ValueError(f"the benchmark has {n} items of {size} bytes; at most {max_items} and {max_bytes} go into one automaton")
-    return [(r[0], r[1]) for r in rows.collect()]
-
-
-def _scan(batches, patterns, spans: bool):
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    for text, items in patterns.items():
-        automaton.add_word(text, (text.count(" ") - 1, items))
-    if patterns:
-        automaton.make_automaton()
+    most = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / 2) - window + 1)  # a word and its blank take two bytes at least
+    n, bytes_, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(most), F.lit(0))).first()
+    if n > max_items or bytes_ > 64 * max_windows:
+        raise ValueError(f"the benchmark has {n} items of {bytes_} bytes; at most {max_items} and {64 * max_windows} go into one automaton")
+    items = [(r[0], r[1]) for r in rows.collect()]
+    if size > max_windows:
+        size = sum(max(1, len(normal_words(t)) - window + 1) for _, t in items)
+    if size > max_windows:
+        raise ValueError(f"the benchmark has {size} windows; at most {max_windows} go into one automaton")
+    return items
+
+
+#: The last automaton that this worker process built, by the broadcast's number and the window.
+_BUILT: dict[tuple[str, int], tuple] = {}
+
+
+def _automaton(token: str, items: list[tuple[int, str]], window: int) -> tuple:
+    """(automaton, words' numbers, length and items of each window, item ids)"""
+    if (token, window) not in _BUILT:
+        import ahocorasick
+
+        _BUILT.clear()
+        found, words, ids = windows(items, window)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for k, key in enumerate(found):
+            automaton.add_word(key, k)
+        if found:
+            automaton.make_automaton()
+        _BUILT[token, window] = automaton, words, [(len(key), who) for key, who in found.items()], ids
+    return _BUILT[token, window]
+
+
+def _scan(batches, token: str, sent, window: int, spans: bool):
+    automaton, words, windows_, ids = _automaton(token, sent.value, window)
+    known = words.get
     for batch in batches:
         out: list[list] = [[] for _ in range(5)]
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            raw = (text or "").encode()
-            word = raw.translate(textkit.ALNUM_FOLD).split()
+        for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+            text = text.as_py() or ""
+            word = tuple([known(w, 0) for w in normal_words(text)])
             n, hit, items = len(word), 0, set()
             places: list[tuple[int, int]] = []
-            if n and patterns:
-                joined = b" ".join([b"", *word, b""]).decode()
-                found = list(automaton.iter(joined))
-                if found:
-                    blanks = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32)
-                    edge = np.zeros(n + 1, np.int64)
-                    stops = np.searchsorted(blanks, [e for e, _ in found])
-                    for stop, (_, (size, who)) in zip(stops.tolist(), found, strict=True):
-                        edge[stop - size] += 1
-                        edge[stop] -= 1
-                        items.update(who)
-                    covered = np.cumsum(edge[:n]) > 0
-                    hit = int(covered.sum())
-                    if spans:
-                        places = original_spans(text, covered)
-            for column, value in zip(out, (doc_id, n, hit, sorted(items), [{"start": a, "end": b} for a, b in places]), strict=True):
+            found = list(automaton.iter(word)) if n and windows_ else []
+            if found:
+                edge = np.zeros(n + 1, np.int64)
+                for last, k in found:
+                    size, who = windows_[k]
+                    edge[last + 1 - size] += 1
+                    edge[last + 1] -= 1
+                    items.update(who)
+                covered = np.cumsum(edge[:n]) > 0
+                hit = int(covered.sum())
+                if spans:
+                    places = original_spans(text, covered)
+            for column, value in zip(out, (doc_id.as_py(), n, hit, [ids[k] for k in sorted(items)], [{"start": a, "end": b} for a, b in places]), strict=True):
                 column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "n_words", "n_hit", "numbers", "spans"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
 
 def original_spans(text: str, covered: np.ndarray) -> list[tuple[int, int]]:
@@ -96,23 +123,12 @@ def original_spans(text: str, covered: np.ndarray) -> list[tuple[int, int]]:
     return [(int(chars[starts[a]]), int(chars[ends[b - 1]])) for a, b in zip(np.flatnonzero(on == 1), np.flatnonzero(on == -1), strict=True)]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = True, max_items: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = True, max_items: int = 200_000, max_windows: int = 250_000) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids found, ascending), spans (character ranges hit; empty unless `spans`)."""
-    patterns, ids = windows(read_items(benchmark, max_items, max_bytes), window)
+    sent = docs.sparkSession.sparkContext.broadcast(read_items(benchmark, window, max_items, max_windows))
+    token = uuid.uuid4().hex
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(lambda batches: _scan(batches, patterns, spans), "doc_id long, n_words long, n_hit long, numbers array<int>, spans array<struct<start: long, end: long>>")
-    return _with_ids(found, ids)
-
-
-def _with_ids(found: DataFrame, ids: list[int]) -> DataFrame:
-    def name(batches):
-        table = np.array(ids, np.int64)
-        for batch in batches:
-            numbers = batch.column("numbers")
-            flat = pa.array(table[np.asarray(numbers.values)] if len(ids) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), batch.column("n_hit"), pa.ListArray.from_arrays(numbers.offsets, flat), batch.column("spans")], names=["doc_id", "n_words", "n_hit", "items", "spans"])
-
-    return found.mapInArrow(name, "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start: long, end: long>>")
+    return rows.mapInArrow(lambda batches: _scan(batches, token, sent, window, spans), "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start: long, end: long>>")
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
