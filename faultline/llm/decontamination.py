@@ -86,6 +86,7 @@ def _automaton(token: str, items: list[tuple[int, str]], window: int) -> tuple:
     return _BUILT[token, window]
 
 
+@textkit.lean
 def _scan(batches, token: str, sent, window: int, spans: bool):
     automaton, words, windows_, ids = _automaton(token, sent.value, window)
     known = words.get

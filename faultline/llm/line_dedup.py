@@ -75,6 +75,7 @@ def line_hashes(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray,
     return out
 
 
+@textkit.lean
 def _lines(batches):
     for batch in batches:
         data, offsets = textkit.buffers(batch.column("text"))
@@ -92,6 +93,7 @@ def _lines(batches):
         )
 
 
+@textkit.lean
 def _keys(batches):
     """Distinct keys of each row: single lines (pair false) and neighbours (pair true)."""
     for batch in batches:
@@ -193,6 +195,7 @@ def blocks(a: list[int], b: list[int], rare: set[int], least: int) -> list[int]:
     return gone
 
 
+@textkit.lean
 def _align(batches, least: int):
     for batch in batches:
         rows: list[list] = [[], [], []]

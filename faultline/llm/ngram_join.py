@@ -83,6 +83,7 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]
     return out
 
 
+@textkit.lean
 def _sign(batches, n: int, bands: int, rows: int):
     """Size, two sums and the bands of each row's set; a batch for each slice of texts, whose sets then go."""
     rnd = np.random.Generator(np.random.PCG64(77))
@@ -218,6 +219,7 @@ def _block(members: list[tuple[int, int, str]], first: int, second: int, n: int,
     )
 
 
+@textkit.lean
 def _verify(batches, n: int, threshold: float):
     key, held = None, []
     for batch in batches:

@@ -39,7 +39,7 @@ from faultline.llm.textkit import U
 
 SIZE = 2048
 #: Units remembered with their ids by each worker: 32 bytes each at 16-bit ids, 48 at 32-bit ones.
-CACHE_WORDS = 1 << 21
+CACHE_WORDS = 1 << 20
 #: Ids of a remembered unit; one with more is encoded whenever it comes up.
 WIDTH = 8
 #: Bytes of text looked at together.
@@ -317,6 +317,7 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
+@textkit.lean
 def _tokenise(batches, path: str, size: int, keep: bool):
     nth = 0
     for batch in batches:
@@ -392,6 +393,7 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> np.ndarray:
     return np.array(runs, np.int64).reshape(-1, 6)
 
 
+@textkit.lean
 def _place(batches, runs: np.ndarray):
     order = np.lexsort((runs[:, 1], runs[:, 0])) if len(runs) else []
     runs = runs[order] if len(runs) else runs

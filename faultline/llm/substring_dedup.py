@@ -144,6 +144,7 @@ def _owners(name, offset, prints, doc_id):
     return key, least
 
 
+@textkit.lean
 def _file(batches, window: int, rounds: int):
     """Rows to send: windows by name, and, by document, windows known to be repeats already (body empty name: key of the place)."""
     for batch in batches:
@@ -192,6 +193,7 @@ _MARKS_DDL = "doc_id long, loc long, bits binary"
 _MARKS = pa.schema([("doc_id", pa.int64()), ("loc", pa.int64()), ("bits", pa.binary())])
 
 
+@textkit.lean
 def _meet(batches):
     """Rows sorted by key and document -> for each row with repeats, a byte per window: 1 if an earlier document has it."""
     held_name, held_key, held_least = None, np.zeros(0, U), np.zeros(0, np.int64)
@@ -255,6 +257,7 @@ def _one(doc_id, loc, n: int) -> pa.RecordBatch:
 _OUT_DDL = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
 
+@textkit.lean
 def _cut(batches, window: int, texts: bool):
     for batch in batches:
         ids, data, marks = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("marks").to_pylist()

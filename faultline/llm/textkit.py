@@ -7,6 +7,10 @@ depends on its bytes alone, so it is the same in every batch, task and run.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import sys
+
 import numpy as np
 import pyarrow as pa
 
@@ -147,3 +151,17 @@ def ngrams(word: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def lean(step):
+    """A worker's generator that gives freed memory back to the system at its end, as an idle worker keeps it else."""
+
+    @functools.wraps(step)
+    def run(*args, **named):
+        yield from step(*args, **named)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+        if trim is not None:
+            trim(0)
+
+    return run
