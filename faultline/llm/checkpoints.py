@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, as in tests, a local one."""
+    """The folder of spark.checkpoint.dir; where that is unset, a local one, but only if Spark itself is local, as in tests."""
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    folder = context.getConf().get("spark.checkpoint.dir") or os.path.join(os.environ.get("TMPDIR", "/tmp"), "faultline-checkpoints")
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = os.path.join(os.environ.get("TMPDIR", "/tmp"), "faultline-checkpoints")
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 

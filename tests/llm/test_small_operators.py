@@ -38,6 +38,23 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_base_phrases_against_brute_force(spark):
+    rnd = random.Random(6)
+    bits = ["CC", "by", "cc-by", "general", "Public", "license", "all rights reserved", "All", "rights", "x1", "é", "MIT", "under"]
+    rows = [(d, rnd.choice([" ", ", ", "\n", "—"]).join(rnd.choice(bits) for _ in range(rnd.randint(0, 60)))) for d in range(80)] + [(900, None), (901, "word " * 30_000 + "cc by"), (5, "cc by"), (5, "cc by")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_base string")
+
+    def brute(doc, text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        at = [(p, label) for phrase, label in license_scan.PHRASES for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()]
+        places = [p for p, _ in at]
+        return doc, len(w), len(at), min(places, default=None), max(places, default=None), sorted({x for _, x in at})
+
+    got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, list(r.base_labels)) for r in license_scan.scan_licenses(df).collect()]
+    assert sorted(got, key=str) == sorted((brute(*r) for r in rows), key=str)
+
+
 def test_classifier(spark):
     good = [(i, f"Plain words make text number {i} easy to read and to keep.\nAnother line follows here." + " more" * (i % 7)) for i in range(0, 120, 2)]
     bad = [(i, "BUY!! NOW!! ###  $$$ " * (3 + i % 5)) for i in range(1, 120, 2)]
