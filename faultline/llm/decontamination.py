@@ -4,7 +4,8 @@ Benchmark texts are lower-cased (A-Z), reduced to words and cut into windows of
 `window` consecutive words; a shorter item is one window. All windows go into
 one automaton over numbers of words (those of no window are one number), which
 scans each normalised document once. A hit's place gives its words, and their
-places in the original text give character spans.
+places in the original text give character spans [start, end), counted in code
+points from 0; the query returns them as `start-end`, comma-joined.
 
 The items are broadcast; each worker process builds the automaton once and
 keeps the last one. A window costs it about 0.8 KB, so the benchmark
@@ -135,9 +136,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = find_leaks(docs, benchmark, spans=False)
+    found = find_leaks(docs, benchmark)
     names = F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), spans.alias("spans"))
 
 
 ORACLE = r"""
@@ -147,9 +149,14 @@ d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, '')
 sizes as (select distinct k from bw),
 dw as (select doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as p from d, sizes where len(w) >= k)),
 m as (select dw.doc_id, dw.p, dw.k, bw.item_id from dw join bw on dw.g = bw.g and dw.k = bw.k),
-h as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + k)) as q from m) group by doc_id),
+hit as (select distinct doc_id, q from (select doc_id, unnest(range(p, p + k)) as q from m)),
+h as (select doc_id, count(*) as n_hit from hit group by doc_id),
+piece as (select doc_id, unnest(pieces) as x, unnest(range(1, len(pieces) + 1)) as q from (select doc_id, regexp_extract_all(text, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as pieces from documents where doc_id in (select doc_id from h))),
+place as (select doc_id, q, x, cast(sum(length(x)) over (partition by doc_id order by q) as bigint) as stop from piece),
+run as (select doc_id, q - row_number() over (partition by doc_id order by q) as island, stop - length(regexp_replace(x, '^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', '')) as start, stop from hit join place using (doc_id, q)),
+s as (select doc_id, string_agg(a || '-' || b, ',' order by a) as spans from (select doc_id, min(start) as a, max(stop) as b from run group by doc_id, island) group by doc_id),
 i as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as names from (select distinct doc_id, cast(item_id as varchar) as s from m) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
-  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join h on d.doc_id = h.doc_id left join i on d.doc_id = i.doc_id
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(spans, '') as spans
+from d left join h on d.doc_id = h.doc_id left join i on d.doc_id = i.doc_id left join s on d.doc_id = s.doc_id
 """
