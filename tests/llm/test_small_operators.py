@@ -38,6 +38,23 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_whole_licenses(spark):
+    text = {label: body for label, body, _ in license_scan.TEMPLATES}  # the last, whole one of each label
+    rows = [(i, "head words " * i + body + "\ntail") for i, body in enumerate(text.values())]
+    twice = text["isc"] + " filler " * 3000 + text["mit"]
+    shuffled = " ".join(sorted(text["mit"].split()))
+    rows += [(100, twice), (100, twice), (101, shuffled), (102, text["bsd-3-clause"].replace("binary", "other")), (103, text["agpl-3.0"].replace("Affero", "Other"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.scan_licenses(df).collect()
+    by_id = {r.doc_id: r for r in got}
+    assert all(label in by_id[i].labels and by_id[i].score > 0.999 for i, label in enumerate(text)) and len(got) == len(rows)
+    assert [r.labels for r in got if r.doc_id == 100] == [["isc", "mit"]] * 2
+    assert by_id[101].labels == [] and by_id[101].score < 0.5  # the words are there, but not in place
+    assert "bsd-3-clause" in by_id[102].labels and 0.8 < by_id[102].score < 1  # a few other words
+    assert "agpl-3.0" not in by_id[103].labels  # no key phrase
+    assert "gpl-2.0" not in by_id[list(text).index("gpl-3.0")].labels
+
+
 def test_base_phrases_against_brute_force(spark):
     rnd = random.Random(6)
     bits = ["CC", "by", "cc-by", "general", "Public", "license", "all rights reserved", "All", "rights", "x1", "é", "MIT", "under"]
