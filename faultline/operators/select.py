@@ -71,19 +71,36 @@ def fold_budget(files: Column, budget: int) -> Column:
     return F.aggregate(files, start, step)["out"]
 
 
-def select_files(ranked: DataFrame, repo_files: DataFrame, runs: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
-    """run_id, rel, rank, reason, included, trimmed, tokens, content, full_content in order (pos).
+def window_length(line_lengths: Column, refs: Column, context: int = CONTEXT) -> Column:
+    """The characters of windowed(), from the lengths of the lines: kept lines, a line break between each two, and a mark with its break at each gap."""
+    n = F.size(line_lengths)
+    near = F.filter(F.transform(refs, lambda r: F.struct(F.greatest(F.lit(1), r - context).alias("low"), F.least(n, r + context).alias("high"))), lambda s: s["low"] <= s["high"])
+    kept = F.array_sort(F.array_distinct(F.flatten(F.transform(near, lambda s: F.sequence(s["low"], s["high"])))))
 
-    Contents are joined only to ranked files, after the fold; the fold itself carries costs.
-    """
+    def total(at: Column) -> Column:
+        gaps = F.size(F.filter(at, lambda i, k: (k > 0) & (F.get(at, k - 1) < i - 1)))
+        chars = F.aggregate(at, F.lit(0), lambda a, i: a + F.get(line_lengths, i - 1))
+        return F.when(F.size(at) == 0, 0).otherwise(chars + F.size(at) - 1 + gaps * (len(GAP) + 1))
+
+    return let(kept, total)
+
+
+def choose_files(ranked: DataFrame, repo_files: DataFrame, runs: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
+    """run_id, q_repo, pos, rel, rank, cost, reason, lines, window, state, room: the fold over each run's files. No text travels, only lengths of lines."""
     repo_of = runs.select(F.col("run_id").alias("q_id"), F.col("repo_id").alias("q_repo"))
-    costs = repo_files.select(F.col("repo_id").alias("k_repo"), F.col("rel").alias("k_rel"), tokens(F.col("content")).alias("cost"), F.col("content").alias("k_content")).where("cost is not null")
+    sizes = F.transform(split_lines(F.col("content")), F.length)
+    costs = repo_files.select(F.col("repo_id").alias("k_repo"), F.col("rel").alias("k_rel"), tokens(F.col("content")).alias("cost"), F.length("content").alias("chars"), F.when(tokens(F.col("content")) > LEAST_TO_TRIM, sizes).alias("sizes")).where("cost is not null")
     priced = ranked.join(repo_of, F.col("run_id") == F.col("q_id")).join(costs, (F.col("q_repo") == F.col("k_repo")) & (F.col("rel") == F.col("k_rel")))
-    priced = priced.withColumn("window", F.when(F.col("cost") > LEAST_TO_TRIM, F.length(windowed(F.col("k_content"), F.col("lines")))).otherwise(F.length("k_content")))
-    listed = priced.groupBy("run_id", "q_repo").agg(F.array_sort(F.collect_list(F.struct("rank", "rel", "cost", "reason", "lines", "window"))).alias("files"))
+    # a file of at most LEAST_TO_TRIM tokens is whole or omitted, never trimmed
+    windows = F.when((F.col("cost") > LEAST_TO_TRIM) & (F.size("lines") > 0), window_length(F.col("sizes"), F.col("lines"))).otherwise(F.col("chars"))
+    listed = priced.withColumn("window", windows).groupBy("run_id", "q_repo").agg(F.array_sort(F.collect_list(F.struct("rank", "rel", "cost", "reason", "lines", "window"))).alias("files"))
     folded = listed.withColumn("fate", fold_budget(F.col("files"), budget))
-    rows = folded.select("run_id", "q_repo", F.posexplode(F.arrays_zip("files", "fate")).alias("pos", "x")).select("run_id", "q_repo", "pos", "x.files.*", "x.fate.*")
+    return folded.select("run_id", "q_repo", F.posexplode(F.arrays_zip("files", "fate")).alias("pos", "x")).select("run_id", "q_repo", "pos", "x.files.*", "x.fate.*")
+
+
+def with_texts(chosen: DataFrame, repo_files: DataFrame) -> DataFrame:
+    """run_id, rel, rank, reason, included, trimmed, tokens, content, full_content in order (pos)."""
     texts = repo_files.select(F.col("repo_id").alias("t_repo"), F.col("rel").alias("t_rel"), F.col("content").alias("full_content"))
-    held = rows.join(texts, (F.col("q_repo") == F.col("t_repo")) & (F.col("rel") == F.col("t_rel")))
+    held = chosen.join(texts, (F.col("q_repo") == F.col("t_repo")) & (F.col("rel") == F.col("t_rel")))
     content = F.when(F.col("state") == "whole", F.col("full_content")).when(F.col("state") == "trim", trim(F.col("full_content"), F.col("lines"), F.col("room")))
     return held.select("run_id", "pos", "rel", "rank", "reason", (F.col("state") != "omit").alias("included"), (F.col("state") == "trim").alias("trimmed"), tokens(content).alias("tokens"), content.alias("content"), "full_content")

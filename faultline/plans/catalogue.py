@@ -60,13 +60,14 @@ def resolve_paths(spark, sf_dir):
 
 
 def rank_files(spark, sf_dir):
-    return packet.build(_runs(spark, sf_dir), synth.repo_files(spark))["ranked"].select("run_id", "rel", "rank", "reason", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
+    _, _, ranked = packet.ranked_files(_runs(spark, sf_dir), synth.repo_files(spark))
+    return ranked.select("run_id", "rel", "rank", "reason", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
 
 
 def packet_summary(spark, sf_dir):
     """One row per run: what failed, where, and how much was packed."""
     built = packet.build(_runs(spark, sf_dir), synth.repo_files(spark), created_at=F.timestamp_seconds(F.lit(0)))
-    files = built["files"].groupBy(F.col("run_id").alias("f_id")).agg(F.count_if("included").alias("n_files"))
+    files = built["chosen"].groupBy(F.col("run_id").alias("f_id")).agg(F.count_if(F.col("state") != "omit").alias("n_files"))
     return built["packets"].join(files, F.col("run_id") == F.col("f_id"), "left").select("run_id", "failure", F.coalesce("n_files", F.lit(0)).alias("n_files"), "packet_tokens", "repo_tokens", "markdown", "json")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +9,9 @@ from faultline.operators.parse import parse_runs, unique_frames
 from faultline.operators.rank import _root, rank_files
 from faultline.operators.render import packets
 from faultline.operators.resolve import resolve
-from faultline.operators.select import DEFAULT_BUDGET, clamp, select_files
+from faultline.operators.select import DEFAULT_BUDGET, choose_files, clamp, with_texts
 from faultline.sources.ingest import repo_tokens
+from faultline.sources.staging import staged
 
 
 def placed_frames(runs: DataFrame, parsed: DataFrame, repo_files: DataFrame) -> DataFrame:
@@ -28,12 +28,19 @@ def placed_frames(runs: DataFrame, parsed: DataFrame, repo_files: DataFrame) ->
     return frames.join(other, same, "left").drop(*[f"n_{k}" for k in keys])
 
 
-def build(runs: DataFrame, repo_files: DataFrame, changed: DataFrame | None = None, git=None, environment=None, budget: int = DEFAULT_BUDGET, created_at=None) -> dict[str, DataFrame]:
-    """parsed, frames, ranked, files and packets of the runs."""
-    parsed = parse_runs(runs).persist(StorageLevel.DISK_ONLY)  # read by five branches; a lost part is parsed again
-    frames = placed_frames(runs, parsed, repo_files).persist(StorageLevel.DISK_ONLY)
+def ranked_files(runs: DataFrame, repo_files: DataFrame, changed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """parsed, frames and ranked files of the runs; the first two as written tables, as several branches read them."""
+    parsed = staged(parse_runs(runs))
+    frames = staged(placed_frames(runs, parsed, repo_files))
     found = frames.where("resolved is not null").select("run_id", F.col("resolved").alias("rel"), "line")
-    ranked = rank_files(runs, parsed, found, repo_files, changed).persist(StorageLevel.DISK_ONLY)
-    files = select_files(ranked, repo_files, runs, clamp(budget)).persist(StorageLevel.DISK_ONLY)
+    return parsed, frames, rank_files(runs, parsed, found, repo_files, changed)
+
+
+def build(runs: DataFrame, repo_files: DataFrame, changed: DataFrame | None = None, git=None, environment=None, budget: int = DEFAULT_BUDGET, created_at=None) -> dict[str, DataFrame]:
+    """parsed, frames, ranked, chosen, files and packets of the runs; all but the last two are written tables."""
+    parsed, frames, ranked = ranked_files(runs, repo_files, changed)
+    ranked = staged(ranked)
+    chosen = staged(choose_files(ranked, repo_files, runs, clamp(budget)))
+    files = with_texts(chosen, repo_files)
     places = frames.select("run_id", "path", "path_hint", "vendored", "how", "resolved", "candidates").dropDuplicates(["run_id", "path", "path_hint", "vendored"])
-    return {"parsed": parsed, "frames": frames, "ranked": ranked, "files": files, "packets": packets(runs, parsed, places, files, repo_tokens(repo_files), git, environment, created_at)}
+    return {"parsed": parsed, "frames": frames, "ranked": ranked, "chosen": chosen, "files": files, "packets": packets(runs, parsed, places, files, repo_tokens(repo_files), git, environment, created_at)}

@@ -93,6 +93,10 @@ def test_trim_and_budget(spark):
         assert row.t.endswith(select.TRAILER)
         body = row.t.removesuffix(select.TRAILER)
         assert len(body.split("\n") if body else []) == n, refs
+    ragged = "\n".join("x" * (n % 7) for n in range(1, 201)) + "\n\n"
+    sizes = F.transform(scalars.lines(F.col("c")), F.length)
+    both = spark.createDataFrame([(t, refs) for t in (text, ragged, "a\r\nb\x0bc", "", "\n") for refs in ([100], [1, 200], [220], [400], [5, 70, 71, 190])], "c string, refs array<int>")
+    assert all(x.a == x.b for x in both.select(F.length(select.windowed(F.col("c"), F.col("refs"))).alias("a"), select.window_length(sizes, F.col("refs")).alias("b")).collect())
     files = spark.createDataFrame([([(100, 400), (6750, 27_000), (500, 2_000)],)], "files array<struct<cost: long, window: long>>")
     fate = files.select(select.fold_budget(F.col("files"), 450).alias("f")).first().f
     assert [x.state for x in fate] == ["whole", "trim", "omit"] and [x.room for x in fate] == [450, 350, 16]
