@@ -23,8 +23,10 @@
 
 Nulls: a null text has no lines; a row with a null doc_id is kept as it is.
 Rows with one doc_id: neither is later, so they do not touch each other; a row's
-deletions go by doc_id and text. Extra columns are ignored; an empty table gives
-no rows.
+deletions go by doc_id and text. Extra columns stay, whatever their names; those
+called like a result give way to it. A very long text is a row like any other: its
+line hashes travel, and the diff takes memory in proportion to its lines. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import textkit
 from faultline.llm.checkpoints import cut
+from faultline.llm.columns import set_aside
 from faultline.llm.textkit import U, mix
 
 RARE = 20
@@ -209,7 +212,8 @@ def _align(batches, least: int):
 
 def dedup_lines(docs: DataFrame, rare: int = RARE, min_block: int = MIN_BLOCK, every: bool = False) -> DataFrame:
     """The rows of docs with `kept_text` (null if the text is null), `n_lines` and `n_removed` (lines, blank ones not counted) added."""
-    tagged = docs.withColumn("tag__", F.xxhash64("text"))
+    apart, back = set_aside(docs, {"tag__", "lines__", "gone__", "n__", "c_id__", "c_tag__", "g_id", "g_tag"}.__contains__)
+    tagged = apart.withColumn("tag__", F.xxhash64("text"))
     lines = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("tag")).mapInArrow(_lines, "doc_id long, tag long, numbers array<int>, lines array<long>"))
     judged = lines.where("doc_id is not null and size(lines) > 0")
     keys = judged.select("doc_id", "lines").mapInArrow(_keys, "doc_id long, key long, pair boolean")
@@ -237,12 +241,14 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, min_block: int = MIN_BLOCK, e
     parted = joined.withColumn("lines__", F.when(F.col("gone__").isNotNull(), F.split(F.col("text"), "\n", -1)))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines__") - 1), F.col("gone__"))
     kept = F.array_join(F.transform(left, lambda i: F.col("lines__")[i]), "\n")
-    return parted.select(
-        *docs.columns,
+    results = ["kept_text", "n_lines", "n_removed"]
+    made = parted.select(
+        *[F.col("`" + c.replace("`", "``") + "`") for c in apart.columns if c.lower() not in results],
         F.when(F.col("gone__").isNull(), F.col("text")).otherwise(kept).alias("kept_text"),
         F.coalesce("n__", F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.when(F.col("gone__").isNotNull(), F.size("gone__")), F.lit(0)).cast("long").alias("n_removed"),
     )
+    return made.select(*[c for name, c in back.items() if name.lower() not in results], *results)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import textkit
 from faultline.llm.checkpoints import cut
+from faultline.llm.columns import set_aside
 from faultline.llm.components import components
 from faultline.llm.textkit import U, mix
 
@@ -291,9 +292,10 @@ def keep_first(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     _, known = _judge(docs, n, threshold, recall, max_hashes, BLOCK_GRAMS, BLOCK_TEXTS)
     stay = known.groupBy("class").agg(F.min(F.struct("rep_id", "rep_tag")).alias("first")).select(F.col("first.rep_id").alias("nj__first"), F.col("first.rep_tag").alias("nj__of"))
     judged = F.coalesce(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
+    docs, back = set_aside(docs, lambda c: c.startswith("nj__"))
     marked = docs.where(judged).withColumn("nj__id", F.col("doc_id").cast("long")).withColumn("nj__tag", F.xxhash64("text"))
     kept = marked.join(stay.hint("merge"), (F.col("nj__id") == F.col("nj__first")) & (F.col("nj__tag") == F.col("nj__of")), "left_semi")
-    return kept.dropDuplicates(["nj__id", "nj__tag"]).drop("nj__id", "nj__tag").unionByName(docs.where(~judged))
+    return kept.dropDuplicates(["nj__id", "nj__tag"]).drop("nj__id", "nj__tag").unionByName(docs.where(~judged)).select(*back.values())
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ returns four measures of every row, so only the work of the other rules is skipp
 Words are runs of anything but ASCII white space. Repeats are windows of five
 words that occur twice in one text, found by sorting 64-bit hashes with their
 places. Nulls: a null text has no words. Rows are judged one by one; repeated
-rows, null doc_ids and clashing other columns need nothing else (helper columns
-begin with `q__`; columns of docs must not). A very long text is a row like any other;
+rows and null doc_ids need nothing else. Other columns stay as they are, whatever
+their names; only one called `rejected_by` gives way to cascade()'s. A very long text is a row like any other;
 its words and windows are arrays of that row. An empty table gives no rows.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.checkpoints import cut
+from faultline.llm.columns import set_aside
 
 SAMPLE_ROWS = 500
 Step = tuple[str, Callable[[], Column]]
@@ -156,15 +157,17 @@ def judged(docs: DataFrame, rules: list[Rule], whole: list[str] | None = None) -
 
 def cascade(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """docs with `rejected_by`: the first rule in the given order that rejects the row, else null."""
+    apart, back = set_aside(docs, lambda c: c.startswith("q__"))
     # Not deterministic for Catalyst, so that a filter on it isn't pushed below the guarded columns, which would unfold them.
     verdict = F.when(F.spark_partition_id() >= 0, _c("verdict"))
-    return judged(docs, rules).select(*[F.col(f"`{c}`") for c in docs.columns], verdict.alias("rejected_by"))
+    return judged(apart, rules).withColumn("q__verdict", verdict).select(*[c for name, c in back.items() if name.lower() != "rejected_by"], _c("verdict").alias("rejected_by"))
 
 
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """The rows that no rule rejects, by the planned cascade."""
     order = [rule for rule, _, _ in plan(docs, rules or [*BASE, *OWN])]
-    return cascade(docs, order).where("rejected_by is null").drop("rejected_by")
+    apart, back = set_aside(docs, lambda c: c == "rejected_by")
+    return cascade(apart, order).where("rejected_by is null").select(*back.values())
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -89,3 +89,16 @@ def test_every_holder(spark, tmp_path):
     assert got == {0: texts[0].split(), 1: ["b1", "b2"], 2: ["c1"]}
     df.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.n_removed for r in op1_line_dedup(spark, str(tmp_path)).collect()} == {0: 0, 1: 2, 2: 5}
+
+
+def test_clashing_columns_and_long_text(spark):
+    long = "\n".join(f"line {k} of a very long text" for k in range(50_000))
+    rows = [(1, "a b\nc d\nown one"), (2, "x\na b\nc d"), (2, "x\na b\nc d"), (3, long), (4, "first\n" + long), (None, "a b\nc d"), (5, None), (6, "")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    df = plain.selectExpr("doc_id", "text", "7 as tag__", "'q' as LINES__", "8 as gone__", "9 as n__", "10 as n_lines", "11 as c_id__")
+    found = dedup_lines(df)
+    assert found.columns == ["doc_id", "text", "tag__", "LINES__", "gone__", "n__", "c_id__", "kept_text", "n_lines", "n_removed"]
+    got = found.collect()
+    assert {(r.tag__, r.LINES__, r.gone__, r.n__, r.c_id__) for r in got} == {(7, "q", 8, 9, 11)}
+    assert sorted((str(r.doc_id), str(r.kept_text)[:20], r.n_lines, r.n_removed) for r in got) == sorted((str(r.doc_id), str(r.kept_text)[:20], r.n_lines, r.n_removed) for r in dedup_lines(plain).collect())
+    assert {r.doc_id: r.kept_text for r in got}[4] == "first" and [r.kept_text for r in got if r.doc_id == 2] == ["x", "x"]

@@ -97,6 +97,14 @@ def test_keep_first_edges(spark):
     assert keep_first(df.limit(0)).count() == 0
 
 
+def test_keep_first_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(1, text, 5, "a"), (2, text, 6, "b"), (3, "other words", 7, "c"), (None, text, 8, "d"), (4, None, 9, "e")], "doc_id long, text string, nj__id int, NJ__of string")
+    kept = keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.nj__id, r.NJ__of) for r in kept.collect()) == [("1", 5, "a"), ("3", 7, "c"), ("4", 9, "e"), ("None", 8, "d")]
+
+
 def test_equal_first_hashes(spark):
     rows = [(1, 10, 3, 77, 1, [1, 2]), (2, 20, 3, 77, 2, [3, 4]), (3, 10, 3, 77, 1, [1, 2])]
     got = _nodes(spark.createDataFrame(rows, "doc_id long, tag long, n long, h1 long, h2 long, bands array<long>")).collect()

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from faultline.llm import quality_rules as q
 
 SCHEMA = "doc_id long, text string, q__words int, n_words int"
@@ -63,6 +65,16 @@ def test_order_changes_nothing(spark):
     assert q.keep_good(df.limit(0)).count() == 0
 
 
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(i, t, i * 10, "mine") for i, t in enumerate(TEXTS)] * 2 + [(None, TEXTS[4], 7, "mine")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, q__words int, rejected_by string").withColumn("Q__verdict", F.lit(1)).withColumn("own_q__words", F.lit(2))
+    got = q.cascade(df, [*q.BASE, *q.OWN]).collect()
+    assert sorted((str(r.doc_id), r.q__words, r.Q__verdict, r.own_q__words, r.rejected_by is None) for r in got) == sorted((str(i), n, 1, 2, brute_kept(t)) for i, t, n, _ in rows)
+    kept = q.keep_good(df)
+    assert kept.columns == df.columns and {r.rejected_by for r in kept.collect()} == {"mine"}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, t, _, _ in rows if brute_kept(t))
+
+
 def test_native(spark):
     df = spark.createDataFrame([(1, "x", 1, 2)], SCHEMA).drop("q__words")
     plan = q.cascade(df, [*q.BASE, *q.OWN])._jdf.queryExecution().executedPlan().toString()
