@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faultline.llm import decontamination, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, surrogates, url_filter
+from faultline.llm import decontamination, html_extraction, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, spelling_variants, substring_dedup, surrogates, url_filter, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_packing": packing.op9_packing,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "op11_html_extraction": html_extraction.op11_html_extraction,
+        "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
@@ -26,4 +29,7 @@ def oracle_sql() -> dict:
         "op7_decontamination": decontamination.ORACLE,
         "op8_quality_rules": quality_rules.ORACLE,
         "op10_substring_dedup": substring_dedup.ORACLE,
+        "op11_html_extraction": html_extraction.ORACLE,
+        "op12_spelling_variants": spelling_variants.ORACLE,
+        "op13_vector_codes": vector_codes.ORACLE,
     }
