@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import scalars
+from faultline.operators.longruns import parse_parts
 from faultline.operators.parse import distilled_failure, parse_runs, root_cause, unique_frames
 from faultline.operators.select import fold_budget
 from faultline.plans import packet, synth
@@ -36,6 +37,14 @@ def failure_line(spark, sf_dir):
     return _parsed(spark, sf_dir).select("run_id", distilled_failure().alias("failure"), root_cause().alias("root_cause"))
 
 
+def session_frames(spark, sf_dir):
+    """Frames of long runs: all outputs of every twentieth user as one, read in parts."""
+    outputs = synth.runs(spark.read.parquet(f"{sf_dir}/events.parquet")).select((F.col("user_id") % 20).alias("run_id"), F.floor(F.col("run_id") / 5_000).alias("stretch"), F.struct(F.col("run_id").alias("at"), "stdout").alias("one"))
+    listed = outputs.groupBy("run_id", "stretch").agg(F.array_sort(F.collect_list("one")).alias("all"))
+    parts = listed.select("run_id", (F.col("stretch") * 5_000).alias("at"), F.concat(F.array_join("all.stdout", "\n"), F.lit("\n")).alias("text"))
+    return unique_frames(parse_parts(parts, spacing=5_000)).select("run_id", "pos", "path", "line", "function", "language", "vendored")
+
+
 def frames_by_language(spark, sf_dir):
     return unique_frames(_parsed(spark, sf_dir)).groupBy("language").agg(F.count("*").alias("n_frames"), F.countDistinct("run_id").alias("n_runs"))
 
@@ -132,7 +141,7 @@ def dedupe_first(spark, sf_dir):
     return lines.groupBy("doc_id", "line").agg(F.min("line_no").alias("line_no")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("line_no").cast("long").alias("places"))
 
 
-_QUERIES = [parse_frames, failure_line, frames_by_language, stack_order, diagnostics_first, failed_tests, resolve_paths, rank_files, packet_summary, budget_select, token_estimate, repo_tokens, secret_filter, cap_text, turn_blocks, suffix_urls, top3_per_group, error_sessions, dedupe_first]
+_QUERIES = [parse_frames, session_frames, failure_line, frames_by_language, stack_order, diagnostics_first, failed_tests, resolve_paths, rank_files, packet_summary, budget_select, token_estimate, repo_tokens, secret_filter, cap_text, turn_blocks, suffix_urls, top3_per_group, error_sessions, dedupe_first]
 
 
 def queries() -> dict:
@@ -155,6 +164,11 @@ fr as (select run_id, e.k, e.f, pos, replace(path, '{f}', cast(f as varchar)) as
 
 _ORACLES = {
     "parse_frames": _E + _FRAMES + "select run_id, cast(pos as integer) as pos, path, line, function, language, vendored from fr",
+    "session_frames": _E.replace("event_id as run_id,", "event_id as run_id, user_id % 20 as sid,")
+    + _FRAMES.replace("select run_id, e.k,", "select run_id, sid, e.k,")
+    + """, placed as (select sid, row_number() over (partition by sid order by k >= 3, run_id, pos) - 1 as seat, path, line, function, language, vendored from fr),
+      first as (select *, row_number() over (partition by sid, regexp_replace(path, '^\\./', ''), line order by seat) as nth from placed)
+      select sid as run_id, cast(seat as integer) as pos, path, line, function, language, vendored from first where nth = 1""",
     "failure_line": _E
     + """select run_id, case k when 0 then 'KeyError: ''k' || event_id || '''' when 1 then 'AssertionError: assert ' || u || ' == ' || l when 2 then 'TypeError: bad value ' || event_id
       when 3 then 'missing key ' || event_id when 4 then 'panic: index ' || event_id || ' out of range' when 5 then 'java.lang.NullPointerException: inner ' || event_id

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators.parse import parse_runs, unique_frames
+from faultline.operators.longruns import parse_any
+from faultline.operators.parse import unique_frames
 from faultline.operators.rank import _root, rank_files
 from faultline.operators.render import packets
 from faultline.operators.resolve import resolve
@@ -30,7 +31,7 @@ def placed_frames(runs: DataFrame, parsed: DataFrame, repo_files: DataFrame) ->
 
 def ranked_files(runs: DataFrame, repo_files: DataFrame, changed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """parsed, frames and ranked files of the runs; the first two as written tables, as several branches read them."""
-    parsed = staged(parse_runs(runs))
+    parsed = staged(parse_any(runs))
     frames = staged(placed_frames(runs, parsed, repo_files))
     found = frames.where("resolved is not null").select("run_id", F.col("resolved").alias("rel"), "line")
     return parsed, frames, rank_files(runs, parsed, found, repo_files, changed)

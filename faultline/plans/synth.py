@@ -21,7 +21,7 @@ FILES = 50
 def runs(events: DataFrame) -> DataFrame:
     """run_id, dialect, repo_id, command, exit_code, stdout, stderr, cwd: a run per error event."""
     e = events.where("event_type = 'error'").select(
-        "event_id", (F.col("event_id") % 7).cast("int").alias("dialect"), (F.col("event_id") % 400 + 1).alias("l"), (F.col("user_id") % 900 + 500).alias("u"), (F.col("event_id") % FILES).alias("f")
+        "event_id", "user_id", (F.col("event_id") % 7).cast("int").alias("dialect"), (F.col("event_id") % 400 + 1).alias("l"), (F.col("user_id") % 900 + 500).alias("u"), (F.col("event_id") % FILES).alias("f")
     )
     text = F.lit(None).cast("string")
     for k, template in TEMPLATES.items():
@@ -31,7 +31,7 @@ def runs(events: DataFrame) -> DataFrame:
         text = F.when(F.col("dialect") == k, made).otherwise(text)
     return e.select(
         F.col("event_id").alias("run_id"), "dialect", F.lit("shop").alias("repo_id"), F.array(F.lit("run"), F.concat(F.lit("tests/test_"), "f", F.lit(".py::x"))).alias("command"),
-        F.lit(1).alias("exit_code"), text.alias("stdout"), F.lit("").alias("stderr"), F.lit("").alias("cwd"), "l", "u", "f",
+        F.lit(1).alias("exit_code"), text.alias("stdout"), F.lit("").alias("stderr"), F.lit("").alias("cwd"), "l", "u", "f", "user_id",
     )
 
 

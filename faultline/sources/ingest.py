@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.scalars import byte_tokens, parts
+from faultline.operators.longruns import PART
 from faultline.operators.resolve import skipped_dir
 
 #: Extensions counted as source, and lock files that aren't.
@@ -21,6 +23,35 @@ def runs_from_logs(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
     return read.select("run_id", F.lit(repo_id).alias("repo_id"), F.array().cast("array<string>").alias("command"), F.lit(1).alias("exit_code"), "stdout", F.lit("").alias("stderr"), F.lit("").alias("cwd"))
 
 
+def _lines_to_parts(batches, size: int):
+    """Lines of a file's splits, in order, as parts of about `size` characters; a part's place is its split's start and what was read since."""
+    held: list[str] = []
+    key, at, length = None, 0, 0
+
+    def part():
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([at], pa.int64()), pa.array(["\n".join(held) + "\n"], pa.string())], names=["run_id", "at", "text"])
+
+    for batch in batches:
+        columns = [batch.column(n).to_pylist() for n in ("run_id", "start", "value")]
+        for run, start, line in zip(*columns, strict=True):
+            if held and ((run, start) != key or length >= size):
+                yield part()
+                at += length
+                held, length = [], 0
+            if (run, start) != key:
+                key, at = (run, start), start
+            held.append(line)
+            length += len(line.encode()) + 1
+    if held:
+        yield part()
+
+
+def log_parts(spark: SparkSession, path: str, size: int = PART) -> DataFrame:
+    """run_id, at, text for parse_parts: a run per text file, of any size; a file's splits are read by tasks of their own."""
+    read = spark.read.text(path).select(F.xxhash64(F.col("_metadata.file_path")).alias("run_id"), F.col("_metadata.file_block_start").alias("start"), "value")
+    return read.mapInArrow(lambda batches: _lines_to_parts(batches, size), "run_id long, at long, text string")
+
+
 def repo_tree(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     """repo_id, rel, size_bytes, content of a tree; bytes that aren't UTF-8 become replacement characters."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
