@@ -1,7 +1,9 @@
 """Personal data replaced by keyed surrogates, with built-in functions only.
 
-One pattern finds e-mail addresses, secrets (long tokens with a digit), phone
-numbers, IPv4 and IPv6 addresses, long numbers (cards among them) and titled names.
+One pattern finds e-mail addresses, bank accounts (IBAN), secrets (long tokens with a
+digit), phone numbers, IPv4 and IPv6 addresses, long numbers (cards among them) and
+titled names: one or more titles, initials, and one or two names in any script. After a
+title in lower case with a full stop, names in lower case count, but for COMMON words.
 Each entity is normalised (addresses and names in lower case, names without their
 title, numbers as digits), and the normal form goes through a keyed permutation of
 its own format, so one entity gets one surrogate in every document and spelling
@@ -15,14 +17,16 @@ from the result, so it is a permutation, and no form stays as it is. Of each typ
 
 * letters stay in script and case, digits are digits, other characters stay; a
   secret's letters a-f and g-z stay apart, so one of hexadecimal digits remains one;
-* a phone number keeps its country code, an address its top-level domain, and
-  equal domains stay equal;
+* a phone number with a plus sign keeps its country code, an address its top-level
+  domain, and equal domains stay equal; a number is the same with brackets and without;
+* a bank account keeps its country, and its check digits are right or wrong as they were;
 * the octets of an IPv4 address stay in range and length;
 * a number that passes the Luhn check still passes it, another one still fails it;
-* a name keeps its title. Its surname is permuted by vowels and consonants, alike with
-  and without a given name. A given name becomes a listed one of its gender and script
-  and, after a hyphen, its own permutation. Its gender is that of the
-  titles that it stands with anywhere; under titles of both, it is neutral.
+* a name keeps its titles and is told apart without them and without initials, which
+  become others. Its surname is permuted by vowels and consonants, alike with
+  and without a given name. A given name becomes a listed one of its gender and script,
+  never itself, and, after a hyphen, its own permutation. Its gender is that of the
+  first titles that it stands with anywhere; under titles of both, it is neutral.
 
 Collision check: over the distinct entities of the whole table, a surrogate that is
 some entity's real form, or that two entities share, moves to another attempt (another
@@ -34,9 +38,9 @@ have to be sent back to their documents; where there are none, that join is left
 
 Nulls: a null text stays null without entities. Rows are changed one by one, by
 their text alone; repeated rows change alike and null doc_ids matter nothing. A very
-long text is a row like any other. Other columns stay as they are; helper columns
-begin with `s__`. An empty table gives no rows. Characters beyond the Basic
-Multilingual Plane stay as they are.
+long text is a row like any other. Other columns stay as they are, whatever their
+names; one called like a column of the result gives way to it. An empty table gives no
+rows. Characters beyond the Basic Multilingual Plane stay as they are.
 """
 
 from __future__ import annotations
@@ -47,10 +51,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.checkpoints import cut
+from faultline.llm.columns import set_aside
 
 #: Titles by gender.
-MALE = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Don", "Господин", "Κύριος"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Doña", "Госпожа", "Κυρία"]
+MALE = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Don", "Господин", "Κύριος", "السيد", "מר"]
+FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Doña", "Госпожа", "Κυρία", "السيدة", "גברת"]
 NEUTRAL = ["Dr", "Prof", "Mx"]
 #: Given names by gender and script.
 NAMES = {
@@ -78,9 +83,22 @@ SECRET_RANGES = [(0x30, 0x39), (0x61, 0x66), (0x67, 0x7A), (0x41, 0x46), (0x47,
 #: Country codes of one and of two digits; all others have three.
 SHORT_COUNTRIES = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 
-_TITLES = "|".join([*MALE, *FEMALE, *NEUTRAL])
-_TITLE = rf"(?:{_TITLES})\.?[  ]+"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+#: Titles that may stand in lower case, with a full stop, and words after them that aren't names.
+LOWER_TITLES = ["mr", "mrs", "ms", "dr", "prof"]
+COMMON = "a about after also an and are as asked at be been but by called came can could did do for from gave got had has have he her here his how i in is it its knows made met my not of on or our said saw says she so that the their them then there they this to told took was we went were what when where which who will with would wrote you your der die das und ist war hat le la les et est de du el los y es".split()
+
+_BLANK = "[ \\u00A0]"
+_TITLES = "|".join(sorted({w for t in (*MALE, *FEMALE, *NEUTRAL) for w in (t, t.upper())}, key=lambda w: (-len(w), w)))
+_TITLE = rf"(?:(?:{_TITLES})(?:\.{_BLANK}*|{_BLANK}+))"
+_LOWER_TITLE = rf"(?:(?:{'|'.join(LOWER_TITLES)})\.{_BLANK}*)"
+#: What stands in front of a name: titles, then initials.
+_BEFORE = rf"{_TITLE}+(?:\p{{Lu}}\.{_BLANK}*)*+"
+_BEFORE_LOWER = rf"{_LOWER_TITLE}+(?:\p{{Ll}}\.{_BLANK}*)*+"
+#: A capitalised name, or one of a script without cases.
+_CAPITAL = r"\p{Lu}[\p{L}\p{M}'’-]+"
+_CASELESS = r"\p{IsHan}{2,4}|\p{IsHangul}{2,4}|[\p{IsKatakana}\p{IsHiragana}ー・]{2,}|[\p{L}\p{M}&&[^\p{Lu}\p{Ll}\p{Lt}\p{IsHan}\p{IsHangul}\p{IsKatakana}\p{IsHiragana}]]{2,}"
+_NAME = rf"(?!{_TITLE})(?:{_CAPITAL}|{_CASELESS})"
+_LOWER_NAME = rf"(?!(?:{'|'.join(COMMON)})(?![\p{{L}}\p{{M}}]))\p{{Ll}}[\p{{Ll}}\p{{M}}'’-]+"
 _LOCAL = r"[\p{L}\p{N}._%+\-]"
 EMAIL = rf"(?<!{_LOCAL}){_LOCAL}++@[\p{{L}}\p{{N}}\-]++(?:\.[\p{{L}}\p{{N}}\-]++)++"
 SECRET = r"(?<![\p{L}\p{N}_\-])(?=[A-Za-z_\-]*+[0-9])(?=[0-9_\-]*+[A-Za-z])[A-Za-z0-9_\-]{20,}+(?![\p{L}\p{N}])"
@@ -89,10 +107,13 @@ IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\
 _HEX = "[0-9A-Fa-f]{1,4}"
 IP6 = rf"(?<![\p{{L}}\p{{N}}:])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}:])"
 NUMBER = r"(?<![\p{L}\p{N}])\d(?:[ \-]?\d){6,18}(?![\p{L}\p{N}]|[ \-]\d)|(?<![\p{L}\p{N}])\d{7,}+(?![\p{L}\p{N}])"
-NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}{_NAME}(?: {_NAME})?"
-PATTERN = "|".join([EMAIL, SECRET, PHONE, IP6, IP, NUMBER, NAME])
+IBAN = rf"(?<![\p{{L}}\p{{N}}])[A-Z]{{2}}\d{{2}}(?:{_BLANK}?[A-Z0-9]{{4}}){{2,7}}(?:{_BLANK}?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}])"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_BEFORE}{_NAME}(?: {_NAME})?|{_BEFORE_LOWER}{_LOWER_NAME}(?: {_LOWER_NAME})?)"
+PATTERN = "|".join([EMAIL, IBAN, SECRET, PHONE, IP6, IP, NUMBER, NAME])
 #: Texts without any of these have no entity; it spares them the long pattern.
-HINT = rf"[@0-9]|::|[A-Fa-f]:[A-Fa-f]|{_TITLE}\p{{Lu}}"
+HINT = rf"[@0-9]|::|[A-Fa-f]:[A-Fa-f]|{_TITLE}|{_LOWER_TITLE}"
+#: Put around entities; where texts have it, it is written as MASK and a letter meanwhile.
+MARK, MASK = "\uFDD0", "\uFDD1"
 
 
 def let(value: Column, use: Callable) -> Column:
@@ -103,11 +124,12 @@ def let(value: Column, use: Callable) -> Column:
 def kind(v: Column) -> Column:
     return (
         F.when(v.contains("@"), "email")
-        .when(v.rlike(rf"^(?:{_TITLE})"), "name")
+        .when(v.rlike(rf"^(?:{_TITLE}|{_LOWER_TITLE})"), "name")
+        .when(v.rlike(rf"^{IBAN}$"), "iban")
         .when(v.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip")
         .when(v.rlike("^[0-9A-Fa-f:]+$") & v.contains(":"), "ip6")
         .when(v.rlike(r"^[A-Za-z0-9_\-]{20,}$") & v.rlike("[A-Za-z]"), "secret")
-        .when(v.rlike(r"^\+|\("), "phone")
+        .when(v.startswith("+"), "phone")
         .otherwise("number")
     )
 
@@ -115,7 +137,7 @@ def kind(v: Column) -> Column:
 def normal(v: Column) -> Column:
     k = kind(v)
     digits = F.concat(F.when(v.startswith("+"), "+").otherwise(""), F.regexp_replace(v, "[^0-9]", ""))
-    return F.when(k.isin("email", "ip6"), F.lower(v)).when(k == "name", F.lower(_untitled(v))).when(k.isin("phone", "number"), digits).otherwise(v)
+    return F.when(k.isin("email", "ip6"), F.lower(v)).when(k == "name", F.lower(_untitled(v))).when(k == "iban", F.regexp_replace(v, _BLANK, "")).when(k.isin("phone", "number"), digits).otherwise(v)
 
 
 def form(n: Column) -> Column:
@@ -127,12 +149,18 @@ def form(n: Column) -> Column:
 
 
 def _untitled(v: Column) -> Column:
-    return F.regexp_replace(v, rf"^{_TITLE}", "")
+    """A name without titles and initials."""
+    return F.regexp_replace(v, rf"^(?:{_BEFORE}|{_BEFORE_LOWER})", "")
 
 
 def gender(v: Column) -> Column:
+    """That of the first title that tells one."""
+
+    def spelled(words):
+        return "|".join([*words, *(t.upper() for t in words), *(t for t in LOWER_TITLES if t.capitalize() in words)])
+
     def any_of(words):
-        return v.rlike(rf"^(?:{'|'.join(words)})\.?[  ]")
+        return v.rlike(rf"^(?:(?:{spelled(NEUTRAL)})(?:\.{_BLANK}*|{_BLANK}+))*(?:{spelled(words)})(?:\.|{_BLANK})")
 
     return F.when(any_of(MALE), "male").when(any_of(FEMALE), "female").otherwise("neutral")
 
@@ -228,7 +256,43 @@ def _listed(word: Column, of: Column, tag: Column) -> Column:
     for name, pattern in SCRIPTS:
         script = script.when(word.rlike(pattern), name)
     lists = F.create_map(*[x for (g, name), names in NAMES.items() for x in (F.lit(f"{g} {name}"), F.array(*map(F.lit, names)))])
-    return let(F.try_element_at(lists, F.concat(of, F.lit(" "), script)), lambda names: F.coalesce(F.concat(F.get(names, F.pmod(_hash(tag, F.lit("list"), word), F.size(names)).cast("int")), F.lit("-")), F.lit("")))
+    return let(F.filter(F.try_element_at(lists, F.concat(of, F.lit(" "), script)), lambda n: F.lower(n) != word), lambda names: F.coalesce(F.concat(F.get(names, F.pmod(_hash(tag, F.lit("list"), word), F.size(names)).cast("int")), F.lit("-")), F.lit("")))
+
+
+def _like(made: Column, word: Column) -> Column:
+    """made in capitals or small letters if the word is."""
+    return F.when(word == F.lower(word), F.lower(made)).when((word == F.upper(word)) & (F.length(word) > 1), F.upper(made)).otherwise(made)
+
+
+def _initialled(before: Column, tag: Column) -> Column:
+    """Titles and initials, with each initial of A to Z moved on by one keyed number of places."""
+    by = 1 + F.pmod(_hash(tag, F.lit("initials")), F.lit(25)).cast("int")
+
+    def moved(x: Column, a: str) -> Column:
+        return F.concat(F.chr(F.pmod(F.ascii(x) - ord(a) + by, F.lit(26)) + ord(a)), F.substring(x, F.lit(2), F.length(x)))
+
+    pieces = F.regexp_extract_all(before, F.lit(rf"{_TITLE}|{_LOWER_TITLE}|.\.?{_BLANK}*"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(r"^[A-Z]\."), moved(x, "A")).when(x.rlike(r"^[a-z]\."), moved(x, "a")).otherwise(x)), "")
+
+
+def _mod97(text: Column) -> Column:
+    """The number that digits and letters (10 to 35) spell, modulo 97."""
+    worth = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55))
+    return F.aggregate(worth, F.lit(0), lambda a, w: F.pmod(a * F.when(w > 9, 100).otherwise(10) + w, F.lit(97)))
+
+
+def _iban(v: Column, body: Column) -> Column:
+    """v with another account, spaced as it was; check digits are off by as much, modulo 97, as they were."""
+    bare = F.regexp_replace(v, _BLANK, "")
+    country = F.substring(bare, 1, 2)
+
+    def check(account: Column) -> Column:
+        return 98 - _mod97(F.concat(account, country, F.lit("00")))
+
+    off = F.substring(bare, 3, 2).cast("int") - check(F.substring(bare, 5, 40))
+    made = F.concat(country, F.lpad((2 + F.pmod(check(body) - 2 + off, F.lit(97))).cast("string"), 2, "0"), body)
+    nth = lambda i: F.length(F.regexp_replace(F.substring(v, F.lit(1), i + 1), _BLANK, ""))
+    return F.array_join(F.transform(F.filter(F.split(v, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike(_BLANK), c).otherwise(F.substring(made, nth(i), F.lit(1)))), "")
 
 
 def surrogate(v: Column, key: str, attempt: Column, of: Column) -> Column:
@@ -250,6 +314,7 @@ def surrogate(v: Column, key: str, attempt: Column, of: Column) -> Column:
             .when(k == "ip", F.array(field(b["v"], "", "ip")))
             .when(k == "ip6", F.array(field(low, "", "hex")))
             .when(k == "secret", F.array(field(b["v"], "", "hex")))
+            .when(k == "iban", F.array(F.struct(F.substring(F.regexp_replace(b["v"], _BLANK, ""), 5, 40).alias("text"), F.substring(b["v"], 1, 2).alias("part"), F.lit("text").alias("mode"))))
             .when(card, F.array(field(F.substring(raw, F.lit(1), F.length(raw) - 1), "card", "text")))
             .otherwise(F.array(F.struct(F.substring(raw, F.length(code) + 1, F.length(raw)).alias("text"), code.alias("part"), F.lit("text").alias("mode"))))
         )
@@ -259,15 +324,17 @@ def surrogate(v: Column, key: str, attempt: Column, of: Column) -> Column:
     def written(b: Column) -> Column:
         v, k, one, two = b["v"], b["kind"], F.get(b["made"], 0), F.get(b["made"], 1)
         rest = _untitled(v)
-        title, first, last = v.substr(F.lit(1), F.length(v) - F.length(rest)), F.substring_index(rest, " ", 1), F.substring_index(rest, " ", -1)
+        title = _initialled(v.substr(F.lit(1), F.length(v) - F.length(rest)), b["tag"])
+        first, last = F.substring_index(rest, " ", 1), F.substring_index(rest, " ", -1)
         # of 12 to 19 digits the last one keeps or, in another way, misses the Luhn check
         off = F.pmod(F.substring(b["raw"], F.length(b["raw"]), F.lit(1)).cast("int") - _check(F.substring(b["raw"], F.lit(1), F.length(b["raw"]) - 1)), F.lit(10))
         ends = F.pmod(_check(one) + F.when(off == 0, 0).otherwise(1 + F.pmod(off - 1 + _hash(b["tag"]), F.lit(9))), F.lit(10)).cast("int").cast("string")
         return (
             F.when(k == "email", _cased(F.concat(one, F.lit("@"), two, F.regexp_extract(F.lower(v), r"(\.[^.]*)$", 1)), v))
-            .when((k == "name") & two.isNotNull(), F.concat(title, _listed(F.lower(first), b["of"], b["tag"]), _cased(two, first), F.lit(" "), _cased(one, last)))
+            .when((k == "name") & two.isNotNull(), F.concat(title, _like(_listed(F.lower(first), b["of"], b["tag"]), first), _cased(two, first), F.lit(" "), _cased(one, last)))
             .when(k == "name", F.concat(title, _cased(one, rest)))
             .when(k.isin("ip", "secret"), one)
+            .when(k == "iban", _iban(v, one))
             .when(k == "ip6", _cased(one, v))
             .otherwise(_spelled(F.concat(b["code"], one, F.when(b["card"], ends).otherwise("")), v))
         )
@@ -309,14 +376,24 @@ def genders(spelled: DataFrame) -> DataFrame:
     return seen.select("token", F.when(F.col("m") == F.col("f"), "neutral").when(F.col("m") == 1, "male").otherwise("female").alias("of"))
 
 
+def _pieces(text: Column) -> Column:
+    """The text cut into what lies between entities (even places) and entities (odd ones); null where it can't have any."""
+    masked = F.when(text.rlike(f"[{MARK}{MASK}]"), F.replace(F.replace(text, F.lit(MASK), F.lit(MASK + "b")), F.lit(MARK), F.lit(MASK + "a"))).otherwise(text)
+    return F.when(text.rlike(HINT), F.split(F.regexp_replace(masked, f"({PATTERN})", f"{MARK}$1{MARK}"), MARK, -1))
+
+
+def _unmasked(text: Column) -> Column:
+    return F.when(text.contains(MASK), F.replace(F.replace(text, F.lit(MASK + "a"), F.lit(MARK)), F.lit(MASK + "b"), F.lit(MASK))).otherwise(text)
+
+
 def replace_entities(docs: DataFrame, key: str, max_rounds: int = 6) -> DataFrame:
     """docs with `clean_text` and `n_entities` added."""
-    own = docs.columns
-    # the texts' entities, found once
+    docs, back = set_aside(docs.drop("clean_text", "n_entities"), lambda name: name.startswith("s__"))
+    # the texts' entities: found here, and once more where they are replaced
     spelled = cut(docs.select(F.xxhash64("text").alias("t"), F.explode(F.array_distinct(_found(F.col("text")))).alias("v")))
     known = cut(spelled.groupBy(kind(F.col("v")).alias("kind"), normal(F.col("v")).alias("normal")).agg(F.min("v").alias("v")))  # one spelling stands for each entity
     again, mixed = attempts(known, key, max_rounds), cut(genders(spelled))
-    marked = docs.withColumn("s__found", _found(F.col("text")))
+    marked = docs.withColumn("s__pieces", _pieces(F.col("text")))
     none = F.lit(None)
     if again.isEmpty() and mixed.isEmpty():
         joined = marked.withColumn("s__tries", none.cast("map<string,int>")).withColumn("s__of", none.cast("map<string,string>"))
@@ -335,9 +412,10 @@ def replace_entities(docs: DataFrame, key: str, max_rounds: int = 6) -> DataFram
         of = F.when(F.col("s__of").isNotNull(), F.element_at("s__of", given(v)))
         return surrogate(v, key, F.coalesce(tries, F.lit(0)), F.coalesce(of, gender(v)))
 
-    parts = F.split(F.col("text"), PATTERN, -1)
-    clean = F.array_join(F.zip_with(parts, F.transform("s__found", one), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    return joined.select(*[F.col(f"`{c}`") for c in own], F.when(F.size("s__found") > 0, clean).otherwise(F.col("text")).alias("clean_text"), F.coalesce(F.when(F.size("s__found") > 0, F.size("s__found")), F.lit(0)).cast("long").alias("n_entities"))
+    clean = F.array_join(F.transform("s__pieces", lambda p, i: F.when(i % 2 == 1, one(p)).otherwise(p)), "")
+    n = F.coalesce(F.when(F.col("s__pieces").isNotNull(), F.floor(F.size("s__pieces") / 2)), F.lit(0)).cast("long")
+    done = joined.withColumns({"s__clean": F.when(F.size("s__pieces") > 1, _unmasked(clean)).otherwise(F.col("text")), "s__n": n})
+    return done.select(*back.values(), F.col("s__clean").alias("clean_text"), F.col("s__n").alias("n_entities"))
 
 
 def op3_surrogates(spark, sf_dir: str) -> DataFrame:

@@ -130,30 +130,123 @@ def test_surrogates_of_small_spaces(spark):
         values += [v for v in got if v[-1].isdigit()][:20]
 
 
-def brute_digits(digits, tag):
-    """The keyed permutation of a string of digits, written out."""
+def number(*parts):
+    return int(hashlib.sha256("\x1f".join(parts).encode()).hexdigest()[:15], 16)
 
-    def moved(by, x, n, low=0):
-        return (x - low + by) % n + low
 
-    def number(*parts):
-        return int(hashlib.sha256("\x1f".join(parts).encode()).hexdigest()[:15], 16)
+def brute(text, tag, mode="text"):
+    """The keyed permutation of a form, written out: each symbol moves within its class."""
+    sounds = "".join(surrogates.SOUNDS)
+    parts = text.split(".") if mode == "ip" else list(text)
 
-    d = list(digits)
-    z = str(moved(1 + number(tag, "last", "\x1f".join(d[:-1])) % 9, int(d[-1]), 10))
-    return "".join(str(moved(number(tag, z, "\x1f".join(d[:i])), int(c), 10)) for i, c in enumerate(d[:-1])) + z
+    def around(c):
+        """The symbols of c's class, in order."""
+        if mode == "ip":
+            return [c] if c.startswith("0") else [str(n) for n in range(1, 256) if len(str(n)) == len(c)]
+        if mode == "name" and c in sounds:
+            return next(list(x) for x in surrogates.SOUNDS if c in x)
+        for low, high in surrogates.SECRET_RANGES if mode == "hex" else surrogates.RANGES:
+            if low <= ord(c) <= high:
+                return [chr(x) for x in range(low, high + 1)]
+        return [chr(x) for x in range(ord(c) // 16 * 16, ord(c) // 16 * 16 + 16)] if c.isalpha() else [c]
+
+    def moved(c, by):
+        return around(c)[(around(c).index(c) + by) % len(around(c))]
+
+    free = [i for i, c in enumerate(parts) if len(around(c)) > 1]
+    if not free:
+        return text
+    last = free[-1]
+    z = moved(parts[last], 1 + number(tag, "last", "\x1f".join(parts[:last] + parts[last + 1 :])) % (len(around(parts[last])) - 1))
+    out = [moved(c, number(tag, z, "\x1f".join(parts[:i]))) if i < last else z if i == last else c for i, c in enumerate(parts)]
+    return (".".join if mode == "ip" else "".join)(out)
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
 def test_surrogates_against_brute_force(spark):
     rnd = random.Random(3)
-    numbers = sorted({str(rnd.randrange(10**6, 10**10)) for _ in range(300)})
-    tag = hashlib.sha256("\x1f".join(["k", "number", "0"]).encode()).hexdigest()
-    want = {n: brute_digits(n, tag + "|") for n in numbers}
-    assert len(set(want.values())) == len(numbers) and not any(a == b for a, b in want.items())
-    df = spark.createDataFrame([(i, f"no {n} so") for i, n in enumerate(numbers)], "doc_id long, text string")
-    got = {r.text[3:-3]: r.clean_text[3:-3] for r in surrogates.replace_entities(df, "k").collect()}
-    free = {n for n in numbers if want[n] not in want}  # the others moved on to another attempt
-    assert all(got[n] == want[n] for n in free) and len(set(got.values())) == len(numbers) and not set(got.values()) & set(numbers)
+
+    def word(letters, n):
+        return "".join(rnd.choice(letters) for _ in range(n))
+
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    made = {
+        "number": [rnd.choice("123456789") + word(digits, rnd.randint(6, 10)) for _ in range(60)],
+        "email": [f"{word(small, 7)}@{word(small, 9)}.org" for _ in range(60)],
+        "phone": [f"+1 {word(digits, 3)} {word(digits, 3)} {word(digits, 4)}" for _ in range(60)],
+        "ip": [".".join(str(rnd.randint(0, 255)) for _ in range(4)) for _ in range(60)],
+        "ip6": [":".join(word("0123456789abcdef", 4) for _ in range(8)) for _ in range(40)],
+        "secret": [word("0123456789abcdef", 30) + "1f" for _ in range(40)],
+        "name": [f"Mr. {word(small, 7).title()}" for _ in range(60)] + [f"Frau Dr. {word('бвгджзаеиоу', 8).title()}" for _ in range(30)],
+        "iban": [f"DE{word(digits, 20)}" for _ in range(30)],
+    }
+
+    def want(kind, v):
+        tag = hashlib.sha256("\x1f".join(["k", kind, "0"]).encode()).hexdigest()
+        bare = re.sub(r"\D", "", v)
+        if kind == "number":
+            return brute(v, tag + "|")
+        if kind == "email":
+            local, domain = v.removesuffix(".org").split("@")
+            return f"{brute(local, tag + '|local')}@{brute(domain, tag + '|domain')}.org"
+        if kind == "phone":
+            to = iter("1" + brute(bare[1:], tag + "|1"))
+            return "".join(next(to) if c.isdigit() else c for c in v)
+        if kind == "name":
+            before, name = v.rsplit(" ", 1)
+            return f"{before} {brute(name.lower(), tag + '|surname', 'name').title()}"
+        if kind == "iban":
+            return v[:2], brute(v[4:], tag + "|DE")
+        return brute(v, tag + "|", {"ip": "ip", "ip6": "hex", "secret": "hex"}[kind])
+
+    rows = [(kind, v) for kind, values in made.items() for v in sorted(set(values))]
+    df = spark.createDataFrame([(i, f"so {v} ok") for i, (_, v) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.clean_text[3:-3] for r in surrogates.replace_entities(df, "k").collect()}
+    real = {v for _, v in rows}
+    for i, (kind, v) in enumerate(rows):
+        expected = want(kind, v)
+        if kind == "iban":
+            assert (got[i][:2], got[i][4:]) == expected and mod97(got[i]) == mod97(v) or got[i] in real, (v, got[i])
+        else:
+            assert got[i] == expected or expected in real, (kind, v, got[i], expected)
+    assert len(set(got.values())) == len(rows) and not set(got.values()) & real
+
+
+def test_surrogates_of_cards_and_accounts(spark):
+    values = ["4539 1488 0343 6467", "4539148803436468", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "GB83WEST12345698765433"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
+    got = {r.text: r.clean_text for r in surrogates.replace_entities(df, "k").collect()}
+    for v, out in got.items():
+        assert out != v and [c.isdigit() for c in out] == [c.isdigit() for c in v] and [c == " " for c in out] == [c == " " for c in v]
+        bare, old = out.replace(" ", ""), v.replace(" ", "")
+        assert luhn(bare) == luhn(old) if bare.isdigit() else bare[:2] == old[:2] and (mod97(bare) == 1) == (mod97(old) == 1)
+
+
+def test_surrogates_leave_no_name(spark):
+    said = {
+        "Herr Dr. Klaus Weber kam": "Klaus Weber", "Prof. Dr. Anna Schmidt": "Anna Schmidt", "Frau Prof. Meyer ging": "Meyer", "Mr. J. R. Smith left": "J. R. Smith", "Mr.John Smith": "John Smith", "Mr. 王小明 said": "王小明",
+        "السيد محمد علي هنا": "محمد علي", "Mr. משה כהן": "משה כהן", "mr. john smith went": "john smith", "prof. dr. anna": "anna", "Mr. Иван Петров": "Иван Петров", "MR. JOHN SMITH": "JOHN SMITH", "Ms. Élodie O'Brien-Smith Xu": "Élodie O'Brien-Smith",
+    }
+    plain = ["dr. who knows", "Mr. Dr. and", "Dr.", "a prof. of it", "\ufdd0 a \ufdd1b"]
+    df = spark.createDataFrame([(i, v, "x", 7, 1) for i, v in enumerate([*said, *plain])], "doc_id long, text string, s__found string, s__tries int, n_entities int")
+    got = {r.text: r for r in surrogates.replace_entities(df, "k").collect()}
+    for text, name in said.items():
+        assert got[text].n_entities == 1 and all(w not in got[text].clean_text for w in name.split() if len(w) > 2), got[text]
+        assert got[text].clean_text.split()[0] == text.split()[0] or text.startswith("Mr.John")
+        assert (got[text].s__found, got[text].s__tries) == ("x", 7)
+    assert all(got[t].clean_text == t and got[t].n_entities == 0 for t in plain)
+    assert not got["Mr. Иван Петров"].clean_text.startswith("Mr. Иван") and got["mr. john smith went"].clean_text.islower() and got["MR. JOHN SMITH"].clean_text.isupper()
+    mixed = spark.createDataFrame([(1, "\ufdd0 ann@x.org \ufdd1a (212) 555-7890 and 2125557890 \ufdd0")], "doc_id long, text string")
+    row = surrogates.replace_entities(mixed, "k").first()
+    assert row.n_entities == 3 and row.clean_text.startswith("\ufdd0 ") and "@" in row.clean_text and row.clean_text.endswith(" \ufdd0") and " \ufdd1a (" in row.clean_text
+    assert re.sub(r"\D", "", row.clean_text[:-15]) == re.sub(r"\D", "", row.clean_text[-15:])
 
 
 def test_surrogates_of_a_full_space(spark):
