@@ -1,4 +1,4 @@
-"""Benchmark decontamination with one Aho-Corasick automaton.
+"""Benchmark decontamination with one Aho-Corasick automaton (or several, one after another).
 
 Benchmark texts are lower-cased (A-Z), reduced to words and cut into windows of
 `window` consecutive words; a shorter item is one window. All windows go into
@@ -8,9 +8,11 @@ places in the original text give character spans [start, end), counted in code
 points from 0; the query returns them as `start-end`, comma-joined.
 
 The items are broadcast; each worker process builds the automaton once and
-keeps the last one. A window costs it about 0.8 KB, so the benchmark
-must be small: more than `max_items` items or `max_windows` windows is an error,
-never a truncation. Split such a benchmark and union the hits.
+keeps the last one. A window costs it about 0.8 KB. Items are cut into segments of a
+bounded number of windows; a benchmark of more than `max_windows` is dealt to several
+automata by a hash of its segments, and the documents are scanned once for each, one
+automaton after another, so neither the driver nor a worker holds more than one. What
+they hit is joined on document and text, and a last pass counts it as if one had found it.
 
 Nulls: a null text has no words. An item without words is ignored; rows with a
 null item_id are ignored. Repeated item_ids count as one item. Repeated rows and
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import textkit
+from faultline.llm.checkpoints import cut
 
 WINDOW = 10
 
@@ -52,19 +55,31 @@ def windows(items: list[tuple[int, str]], window: int) -> tuple[dict[tuple[int,
     return found, words, ids
 
 
-def read_items(benchmark: DataFrame, window: int, max_items: int, max_windows: int) -> list[tuple[int, str]]:
-    """All items, if their number and the blanks between their words, at most, are within the limits."""
+def _segments(batches, window: int, most: int):
+    """Items' words, joined by blanks, in stretches of up to `most` windows."""
+    for batch in batches:
+        for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = normal_words(text)
+            starts = range(0, max(1, len(words) - window + 1), most) if words else ()
+            parts = [words[p : p + most + window - 1] for p in starts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([item] * len(parts), pa.int64()), pa.array([max(1, len(w) - window + 1) for w in parts], pa.int64()), pa.array([b" ".join(w).decode() for w in parts], pa.string())],
+                names=["item_id", "n_windows", "text"],
+            )
+
+
+def groups_of(benchmark: DataFrame, window: int, max_windows: int) -> list[DataFrame]:
+    """(item_id, text) of the items' segments, in as many groups as keep to max_windows each."""
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    most = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / 2) - window + 1)  # a word and its blank take two bytes at least
-    n, bytes_, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(most), F.lit(0))).first()
-    if n > max_items or bytes_ > 64 * max_windows:
-        raise ValueError(f"the benchmark has {n} items of {bytes_} bytes; at most {max_items} and {64 * max_windows} go into one automaton")
-    items = [(r[0], r[1]) for r in rows.collect()]
-    if size > max_windows:
-        size = sum(max(1, len(normal_words(t)) - window + 1) for _, t in items)
-    if size > max_windows:
-        raise ValueError(f"the benchmark has {size} windows; at most {max_windows} go into one automaton")
-    return items
+    most = max(1, max_windows // 8)
+    segments = cut(rows.mapInArrow(lambda batches: _segments(batches, window, most), "item_id long, n_windows long, text string").distinct())
+    n = 1
+    while True:
+        placed = segments.withColumn("g", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+        largest = placed.groupBy("g").agg(F.sum("n_windows").alias("w")).agg(F.max("w")).first()[0] or 0
+        if largest <= max_windows:
+            return [placed.where(F.col("g") == g).select("item_id", "text") for g in range(n)]
+        n = max(n + 1, n * largest // max_windows)
 
 
 #: The last automaton that this worker process built, by the broadcast's number and the window.
@@ -125,12 +140,73 @@ def original_spans(text: str, covered: np.ndarray) -> list[tuple[int, int]]:
     return [(int(chars[starts[a]]), int(chars[ends[b - 1]])) for a, b in zip(np.flatnonzero(on == 1), np.flatnonzero(on == -1), strict=True)]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = True, max_items: int = 200_000, max_windows: int = 250_000) -> DataFrame:
+def _covered(n: int, runs: list[dict]) -> np.ndarray:
+    edge = np.zeros(n + 1, np.int64)
+    for r in runs:
+        edge[r["start"]] += 1
+        edge[r["end"]] -= 1
+    return np.cumsum(edge[:n]) > 0
+
+
+@textkit.lean
+def _runs(batches, token: str, sent, window: int):
+    """(doc_id, tag, items, runs of covered words) of the texts that this automaton finds something in."""
+    automaton, words, windows_, ids = _automaton(token, sent.value, window)
+    known = words.get
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for doc_id, tag, text in zip(batch.column("doc_id"), batch.column("tag"), batch.column("text"), strict=True):
+            word = tuple([known(w, 0) for w in normal_words(text.as_py())])
+            found = [(last, *windows_[k]) for last, k in automaton.iter(word)] if word and windows_ else []
+            if found:
+                on = np.diff(np.concatenate([[0], _covered(len(word), [{"start": last + 1 - size, "end": last + 1} for last, size, _ in found]).astype(np.int8), [0]]))
+                runs = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(on == 1), np.flatnonzero(on == -1), strict=True)]
+                for column, value in zip(out, (doc_id.as_py(), tag.as_py(), sorted({ids[i] for _, _, who in found for i in who}), runs), strict=True):
+                    column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "tag", "items", "runs"])
+
+
+@textkit.lean
+def _settle(batches, spans: bool):
+    """Words, hit words and character spans of each row, from the runs that all automata found."""
+    for batch in batches:
+        out: list[list] = [[], [], []]
+        for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
+            text, runs = text.as_py() or "", runs.as_py() or []
+            n = len(normal_words(text))
+            covered = _covered(n, runs)
+            places = original_spans(text, covered) if spans and runs else []
+            for column, value in zip(out, (n, int(covered.sum()), [{"start": a, "end": b} for a, b in places]), strict=True):
+                column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        n_words, n_hit, places = (pa.array(c, t) for c, t in zip(out, kinds, strict=True))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_words, n_hit, batch.column("items"), places], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = True, max_windows: int = 250_000) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids found, ascending), spans (character ranges hit; empty unless `spans`)."""
-    sent = docs.sparkSession.sparkContext.broadcast(read_items(benchmark, window, max_items, max_windows))
-    token = uuid.uuid4().hex
+    context, result = docs.sparkSession.sparkContext, "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start: long, end: long>>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(lambda batches: _scan(batches, token, sent, window, spans), "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start: long, end: long>>")
+    groups = groups_of(benchmark, window, max_windows)
+
+    def send(group: DataFrame):
+        return uuid.uuid4().hex, context.broadcast([(r[0], r[1]) for r in group.collect()])
+
+    if len(groups) == 1:
+        token, sent = send(groups[0])
+        return rows.mapInArrow(lambda batches: _scan(batches, token, sent, window, spans), result)
+    tagged = rows.withColumn("tag", F.xxhash64("text"))
+    found = None
+    for group in groups:
+        token, sent = send(group)
+        kind = "doc_id long, tag long, items array<long>, runs array<struct<start: long, end: long>>"
+        one = cut(tagged.mapInArrow(lambda batches, token=token, sent=sent: _runs(batches, token, sent, window), kind).distinct())
+        sent.unpersist()
+        found = one if found is None else found.unionByName(one)
+    merged = found.groupBy(F.col("doc_id").alias("m_id"), F.col("tag").alias("m_tag")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("runs")).alias("runs"))
+    met = tagged.join(merged, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tag") == F.col("m_tag")), "left")
+    return met.select("doc_id", "text", F.coalesce("items", F.array().cast("array<long>")).alias("items"), "runs").mapInArrow(lambda batches: _settle(batches, spans), result)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -42,6 +42,9 @@ def test_against_brute_force(spark):
     bench = spark.createDataFrame([(*r, 1) for r in [*items, (None, "c3")]], "item_id long, text string, doc_id int")
     got = find_leaks(df, bench).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=str) == brute(docs, items)
+    rows = sorted(str(r) for r in got)
+    for max_windows in (60, 24):  # several automata, long items in segments
+        assert sorted(str(r) for r in find_leaks(df, bench, max_windows=max_windows).collect()) == rows
     by = dict(docs)
     for r in got:
         if r.doc_id not in (None, 92):
@@ -56,3 +59,14 @@ def test_offsets(spark):
     bench = spark.createDataFrame([(1, "the quick brown-fox")], "item_id long, text string")
     (r,) = find_leaks(df, bench).collect()
     assert [text[s.start : s.end] for s in r.spans] == ["The QUICK, brown fox"]
+
+
+def test_long_texts(spark):
+    """A text and an item of 200,000 words; a hit at the very end of each."""
+    long = " ".join(f"w{k}" for k in range(200_000))
+    df = spark.createDataFrame([(1, long, ""), (2, "a " * 200_000 + "w199990 w199991 w199992 w199993 w199994 w199995 w199996 w199997 w199998 w199999", ""), (3, "x" * 1_000_000, "")], SCHEMA)
+    bench = spark.createDataFrame([(7, long)], "item_id long, text string")
+    for max_windows in (250_000, 100_000):
+        got = {r.doc_id: r for r in find_leaks(df, bench, max_windows=max_windows).collect()}
+        assert [(got[d].n_words, got[d].n_hit, got[d]["items"]) for d in (1, 2, 3)] == [(200_000, 200_000, [7]), (200_010, 10, [7]), (1, 0, [])]
+        assert [(s.start, s.end) for s in got[1].spans] == [(0, len(long))] and len(got[2].spans) == 1

@@ -32,7 +32,7 @@ def test_quality_and_lines(spark, stages):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     good = [r for r in docs if rules.brute_kept(r[1])]
     assert sorted(stages[0][0]) == sorted(good)
-    want = [(d, text) for d, text, n, gone in lines.brute([r[:2] for r in good], 20, 2) if not gone or gone < n]
+    want = [(d, text) for d, text, n, gone in lines.brute([r[:2] for r in good], 20, 2, every=True) if not gone or gone < n]
     assert sorted(r[:2] for r in stages[1][0]) == sorted(want)
     assert all(r[4] == len(r[1]) for r in stages[1][0])
 
