@@ -25,7 +25,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of aligned blocks that an earlier one holds; those with no line left go."""
-    found = line_dedup.dedup_lines(docs)
+    found = line_dedup.dedup_lines(docs, every=True)
     kept = found.where("n_removed = 0 or n_removed < n_lines")
     return kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
