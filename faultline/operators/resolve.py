@@ -4,17 +4,24 @@ Distinct (path, hint, vendored) triples are resolved once. A path that names a
 repository file (under the run's cwd, then from the root; an absolute one under the
 repository's own path) is `direct`; a vendored one is `vendored`; an absolute one that exists elsewhere is `outside-repo`; else
 the file with the longest matching tail of segments is `suffix`, if it is the only
-one at that depth, and `ambiguous` otherwise. Candidates meet by an equi-join on
-the file's name; Spark picks a broadcast only if the catalogue is known to be small.
+one at that depth, and `ambiguous` otherwise. An index holds each tail of each file of
+an asked name once, with the number of its files, so whether a tail is unique is a
+lookup: a path meets one row for each of its own tails, however many files share its
+name. Candidates are listed once for each ambiguous tail.
+
+The search by tails sees the first `cap` files of a repository in the order of a sorted
+walk. Larger repositories are dealt out by range of that order; the cap falls into one
+range, and only that one's files are numbered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.scalars import parts, tidy
 from faultline.operators.parse import VENDORED
+from faultline.sources.staging import staged
 
 #: Directories that are never looked into.
 SKIPPED = [".eggs", ".faultline", ".git", ".hg", ".idea", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".svn", ".tox", ".venv", ".vscode", "__pycache__", "build", "dist", "htmlcov", "node_modules", "venv"]
@@ -25,16 +32,51 @@ def skipped_dir(path_parts):
     return F.arrays_overlap(F.slice(path_parts, F.lit(1), F.greatest(F.size(path_parts) - 1, F.lit(0))), F.array(*map(F.lit, SKIPPED)))
 
 
-def file_index(repo_files: DataFrame, cap: int = INDEX_CAP) -> DataFrame:
-    """repo_id, rel, name, path_parts: the first `cap` files of each repository by path. The cap is the operator's own limit.
+def walk_key(path_parts: Column) -> Column:
+    """Sorts as a walk goes that lists a directory's own files before its subdirectories, each by name."""
+    last = F.size(path_parts) - 1
+    return F.array_join(F.transform(path_parts, lambda x, i: F.concat(F.when(i == last, F.lit("\x01")).otherwise("\x02"), x)), "\x00")
+
+
+def sizes(repo_files: DataFrame, cap: int = INDEX_CAP) -> DataFrame:
+    """repo_id, n_files, truncated: how many files a walk meets, and whether the index leaves some out."""
+    seen = repo_files.where(~skipped_dir(parts(F.col("rel")))).groupBy("repo_id").agg(F.count("*").alias("n_files"))
+    return seen.withColumn("truncated", F.col("n_files") > cap)
+
+
+def _first_of_walk(files: DataFrame, cap: int) -> DataFrame:
+    """The first `cap` of each repository. Only counts of ranges are put in order, and the files of the range that the cap falls into."""
+    keyed = files.withColumn("walk", walk_key(F.col("path_parts")))
+    dealt = staged(keyed.repartitionByRange("repo_id", "walk").withColumn("range", F.spark_partition_id()))
+    ranges = dealt.groupBy(F.col("repo_id").alias("g_repo"), F.col("range").alias("g_range")).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("g_repo").orderBy("g_range").rowsBetween(Window.unboundedPreceding, -1)
+    counted = ranges.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where(F.col("before") < cap)
+    met = dealt.join(counted, (F.col("repo_id") == F.col("g_repo")) & (F.col("range") == F.col("g_range")))
+    whole = met.where(F.col("before") + F.col("n") <= cap)
+    split = met.where(F.col("before") + F.col("n") > cap).withColumn("nth", F.row_number().over(Window.partitionBy("repo_id", "range").orderBy("walk")))
+    return whole.select(*files.columns).unionByName(split.where(F.col("before") + F.col("nth") <= cap).select(*files.columns))
 
-    Only repositories beyond the cap have their files numbered.
-    """
+
+def file_index(repo_files: DataFrame, cap: int = INDEX_CAP) -> DataFrame:
+    """repo_id, rel, name, path_parts: the first `cap` files of each repository in walk order."""
     base = repo_files.select("repo_id", "rel", parts(F.col("rel")).alias("path_parts")).where(~skipped_dir(F.col("path_parts")))
-    large = base.groupBy(F.col("repo_id").alias("l_repo")).count().where(F.col("count") > cap).select("l_repo")
-    over = base.join(large, F.col("repo_id") == F.col("l_repo"), "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("repo_id").orderBy("rel"))).where(F.col("n") <= cap).drop("n")
-    all_ = base.join(large, F.col("repo_id") == F.col("l_repo"), "left_anti").unionByName(over)
-    return all_.select("repo_id", "rel", F.element_at("path_parts", -1).alias("name"), "path_parts")
+    large = sizes(repo_files, cap).where("truncated").select(F.col("repo_id").alias("l_repo"))
+    if not large.isEmpty():
+        is_large = F.col("repo_id") == F.col("l_repo")
+        base = base.join(large, is_large, "left_anti").unionByName(_first_of_walk(base.join(large, is_large, "left_semi"), cap))
+    return base.select("repo_id", "rel", F.element_at("path_parts", -1).alias("name"), "path_parts")
+
+
+def tails(path_parts: Column) -> Column:
+    """All tails of a path: (depth, tail)."""
+    n = F.size(path_parts)
+    return F.transform(F.sequence(F.lit(1), n), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(path_parts, n - d + 1, d), "/").alias("tail")))
+
+
+def tail_index(files: DataFrame) -> DataFrame:
+    """repo_id, tail, n (files that end so), only (the file, where it is one). files: as file_index."""
+    each = files.select("repo_id", "rel", F.explode(F.transform(tails(F.col("path_parts")), lambda t: t["tail"])).alias("tail"))
+    return each.groupBy("repo_id", "tail").agg(F.count("*").alias("n"), F.min("rel").alias("only"))
 
 
 def _vendored(path):
@@ -54,7 +96,6 @@ def resolve(frames: DataFrame, repo_files: DataFrame, host_files: DataFrame | No
     inside = F.when(F.startswith(full, own), full.substr(F.length(own) + 1, F.length(full)))
     asked = asked.withColumn("absolute", absolute).withColumn("first", F.when(F.col("absolute"), inside).otherwise(tidy(F.concat(parts(F.coalesce("cwd", F.lit(""))), parts(F.col("path"))))))
     asked = asked.withColumn("second", F.when(~F.col("absolute"), full))
-    index = file_index(repo_files)
     # the cap limits the search by tails, not paths that name a file outright
     exact = repo_files.where(~skipped_dir(parts(F.col("rel")))).select(F.col("repo_id").alias("x_repo"), F.col("rel").alias("x_rel"))
     cwd_hit = exact.select(F.col("x_repo").alias("c_repo"), F.col("x_rel").alias("c_rel"))
@@ -73,21 +114,26 @@ def resolve(frames: DataFrame, repo_files: DataFrame, host_files: DataFrame | No
     open_ = direct.where("direct is null and not foreign and not elsewhere")
     tried = open_.select(*keys, F.explode(hints).alias("h")).select(*keys, "h.prio", parts(F.col("h.hint")).alias("hint_parts")).where("size(hint_parts) > 0")
     named = tried.withColumn("name", F.element_at("hint_parts", -1))
-    files = index.select(F.col("repo_id").alias("f_repo"), "rel", F.col("name").alias("f_name"), "path_parts")
-    met = named.join(files, (F.col("repo_id") == F.col("f_repo")) & (F.col("name") == F.col("f_name")))
-    agree = F.zip_with(F.reverse("hint_parts"), F.reverse("path_parts"), lambda a, b: F.coalesce(a == b, F.lit(False)))
-    depth = F.when(F.array_position(agree, False) == 0, F.size(agree)).otherwise(F.array_position(agree, False) - 1)
-    best = met.withColumn("depth", depth.cast("int")).groupBy(*keys, "prio", "depth").agg(F.array_sort(F.collect_set("rel")).alias("rels")).groupBy(*keys).agg(F.min_by("rels", F.struct("prio", -F.col("depth"))).alias("rels"))
-    found = best.select(*[F.col(k).alias(f"b_{k}") for k in keys], "rels")
+    wanted = named.select(F.col("repo_id").alias("w_repo"), F.col("name").alias("w_name")).distinct()
+    files = file_index(repo_files).join(wanted, (F.col("repo_id") == F.col("w_repo")) & (F.col("name") == F.col("w_name")), "left_semi")
+    known = tail_index(files).select(F.col("repo_id").alias("i_repo"), F.col("tail").alias("i_tail"), "n", "only")
+    own = named.select(*keys, "prio", F.explode(tails(F.col("hint_parts"))).alias("t")).select(*keys, "prio", "t.*")
+    met = own.join(known, (F.col("repo_id") == F.col("i_repo")) & (F.col("tail") == F.col("i_tail")))
+    best = met.groupBy(*keys).agg(F.min_by(F.struct("tail", "n", "only"), F.struct("prio", -F.col("depth"))).alias("b")).select(*keys, "b.*")
+    many = best.where("n > 1").select(F.col("repo_id").alias("m_repo"), F.col("tail").alias("m_tail")).distinct()
+    ends = files.select("repo_id", "rel", F.explode(F.transform(tails(F.col("path_parts")), lambda t: t["tail"])).alias("tail"))
+    listed = ends.join(many, (F.col("repo_id") == F.col("m_repo")) & (F.col("tail") == F.col("m_tail"))).groupBy("m_repo", "m_tail").agg(F.array_sort(F.collect_list("rel")).alias("rels"))
+    alike = (F.col("repo_id") == F.col("m_repo")) & (F.col("tail") == F.col("m_tail"))
+    found = best.join(listed, alike, "left").select(*[F.col(k).alias(f"b_{k}") for k in keys], "n", "only", "rels")
     same = None
     for k in keys:
         one = F.col(k).eqNullSafe(F.col(f"b_{k}"))
         same = one if same is None else same & one
     joined = direct.join(found, same, "left")
     how = (
-        F.when(F.col("direct").isNotNull(), "direct").when(F.col("foreign"), "vendored").when(F.col("elsewhere"), "outside-repo").when(F.size("rels") == 1, "suffix").when(F.size("rels") > 1, "ambiguous").otherwise("unresolved")
+        F.when(F.col("direct").isNotNull(), "direct").when(F.col("foreign"), "vendored").when(F.col("elsewhere"), "outside-repo").when(F.col("n") == 1, "suffix").when(F.col("n") > 1, "ambiguous").otherwise("unresolved")
     )
     return joined.select(
-        *keys, how.alias("how"), F.coalesce("direct", F.when(F.size("rels") == 1, F.get("rels", 0))).alias("resolved"),
-        F.when((F.size("rels") > 1) & F.col("direct").isNull(), F.col("rels")).otherwise(F.array().cast("array<string>")).alias("candidates"),
+        *keys, how.alias("how"), F.coalesce("direct", F.when(F.col("n") == 1, F.col("only"))).alias("resolved"),
+        F.coalesce(F.when(F.col("direct").isNull(), F.col("rels")), F.array().cast("array<string>")).alias("candidates"),
     )

@@ -1,12 +1,14 @@
 """Resolution, ranking, selection and scalar functions on small fixtures."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from faultline.functions import scalars
 from faultline.operators import select
 from faultline.operators.parse import parse_runs
 from faultline.operators.rank import failing_tests, imported, manifests
-from faultline.operators.resolve import file_index, resolve
+from faultline.operators.resolve import SKIPPED, file_index, resolve, sizes, tail_index
 from faultline.plans import packet
 
 FILES = "repo_id string, rel string, size_bytes long, content string"
@@ -48,10 +50,48 @@ def test_resolve(spark):
     assert got["util_test.go", None, False, ""][2] == ["cart/util_test.go", "tests/util_test.go"]
 
 
-def test_index_cap(spark):
-    files = repo(spark, {f"d/f{n}.py": "x" for n in range(5)})
-    assert sorted(x.rel for x in file_index(files, 3).collect()) == ["d/f0.py", "d/f1.py", "d/f2.py"]
-    assert file_index(files, 5).count() == 5
+def walk(files, skipped):
+    """Paths in the order of a sorted walk, on a real tree of dictionaries."""
+    tree = {}
+    for f in files:
+        *dirs, name = f.split("/")
+        at = tree
+        for d in dirs:
+            at = at.setdefault(d, {})
+        at[name] = None
+
+    def go(at, base):
+        yield from (base + n for n in sorted(n for n, x in at.items() if x is None))
+        for d in sorted(d for d, x in at.items() if x is not None and d not in skipped):
+            yield from go(at[d], f"{base}{d}/")
+
+    return list(go(tree, ""))
+
+
+def test_index_in_walk_order(spark):
+    rnd = random.Random(8)
+    names = ["a", "a b", "a-b", "a.b", "B", "é", "z", "build", ".git"]
+    files = sorted({"/".join([*(rnd.choice(names) for _ in range(rnd.randint(0, 3))), f"{rnd.choice(names)}{rnd.randint(0, 4)}.py"]) for _ in range(300)})
+    order = walk(files, SKIPPED)
+    held = repo(spark, dict.fromkeys(files, "x")).unionByName(spark.createDataFrame([("small", "q.py", 1, "x")], FILES))
+    for cap in (1, 50, len(order) - 1, len(order)):
+        assert sorted(x.rel for x in file_index(held, cap).where("repo_id = 'r'").collect()) == sorted(order[:cap])
+        assert {x.repo_id: (x.n_files, x.truncated) for x in sizes(held, cap).collect()} == {"r": (len(order), cap < len(order)), "small": (1, False)}
+    assert file_index(held, 1).where("repo_id = 'small'").count() == 1
+
+
+def test_many_files_of_one_name(spark):
+    """20,000 namesakes: the index holds each tail once, and a path meets a row for each of its own tails only."""
+    n = 20_000
+    files = spark.range(n).select(F.lit("r").alias("repo_id"), F.format_string("p%d/m%d/__init__.py", F.col("id"), F.col("id") % 100).alias("rel"), F.lit(1).cast("long").alias("size_bytes"), F.lit("x").alias("content"))
+    asked = [(f"/elsewhere/p{k}/m{k % 100}/__init__.py", "suffix") for k in range(0, n, 2000)] + [("/x/m7/__init__.py", "ambiguous"), ("/x/y/__init__.py", "ambiguous"), ("/x/none.py", "unresolved")]
+    frames = spark.createDataFrame([("r", "", None, p, None, False) for p, _ in asked], FRAMES)
+    found = {x.path: x for x in resolve(frames, files).collect()}
+    assert {p: x.how for p, x in found.items()} == dict(asked)
+    assert found["/elsewhere/p2000/m0/__init__.py"].resolved == "p2000/m0/__init__.py"
+    assert len(found["/x/m7/__init__.py"].candidates) == 200 and len(found["/x/y/__init__.py"].candidates) == n
+    index = tail_index(file_index(files))
+    assert index.count() == n + 100 + 1 and index.agg(F.max("n")).first()[0] == n
 
 
 def test_imports_and_manifests(spark):
