@@ -12,7 +12,7 @@ FENCES = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascrip
 #: Language tags of stack lines.
 TAGS = {"node": " (node)", "rust": " (rust)", "go": " (go)", "jvm": " (jvm)"}
 #: Reasons by rank.
-REASONS = {1: "in stack trace", 2: "failing test", 3: "imported by or same package as a stack-trace file", 4: "changed in git diff", 5: "dependency manifest"}
+REASONS = {1: "stack trace", 2: "failing test", 3: "imported by, or in the same package as, a relevant file", 4: "in git diff", 5: "dependency manifest"}
 MAX_OUTPUT = 20_000
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
 

@@ -43,14 +43,18 @@ def imported(files: DataFrame, repo_files: DataFrame) -> DataFrame:
     same = (F.col("repo_id") == F.col("a_repo")) & (F.col("rel") == F.col("a_rel"))
     texts = rankable(repo_files).join(asked, same, "left_semi").withColumn("base", _dir(F.col("rel")))
     py = texts.where(F.col("rel").rlike(r"[^/]\.pyw?$"))
-    froms = F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*from[ \t]+([A-Za-z_][\w.]*)[ \t]+import\b"), F.lit(1))
-    plain = F.flatten(F.transform(F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*import[ \t]+([\w., \t]+)"), F.lit(1)), lambda x: F.transform(F.split(x, ","), lambda m: F.regexp_extract(m, r"^\s*([\w.]+)", 1))))
+    name = r"[A-Za-z_][\w.]*"
+    froms = F.regexp_extract_all("content", F.lit(rf"(?mU)^\s*from\s+({name})\s+import\s"), F.lit(1))
+    # a list of names ends at the first one that is renamed
+    lists = F.regexp_extract_all("content", F.lit(rf"(?mU)^\s*import\s+({name}(?:\s*,\s*{name})*)"), F.lit(1))
+    plain = F.flatten(F.transform(lists, lambda x: F.transform(F.split(x, r"\s*,\s*"), lambda m: F.trim(m))))
     module = py.select("repo_id", "rel", "base", F.explode(F.array_distinct(F.filter(F.concat(froms, plain), lambda m: m != ""))).alias("m"))
     slashed = F.replace(F.col("m"), F.lit("."), F.lit("/"))
     py_places = [_at(b, F.concat(slashed, F.lit(end))) for b in (F.lit(""), F.lit("src"), F.col("base")) for end in (".py", "/__init__.py")]
     js = texts.where(" or ".join(f"rel like '%{e}'" for e in JS_EXTENSIONS))
-    # a quoted path that begins with a dot, after one of the words that load modules
-    named = F.regexp_extract_all("content", F.lit(r"""\b(?:import|from|require)\b[\s(]*(["'])(\.\.?/.*?)\1"""), F.lit(2))
+    # a quoted path that begins with a dot, after "require(" or after "from" or "import" and a blank
+    leads = "|".join([r"require\(\s*", r"from\s+", r"import\s+"])
+    named = F.regexp_extract_all("content", F.lit(rf"(?:{leads})[\"'](\.\.?/[^\"']+)[\"']"), F.lit(1))
     wanted = js.select("repo_id", "rel", "base", F.explode(F.array_distinct(named)).alias("m"))
     whole = tidy(parts(_at(F.col("base"), F.col("m"))))
     stem = F.regexp_replace(whole, r"(?<=[^/])\.[^./]+$", "")

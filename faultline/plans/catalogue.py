@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import scalars
+from faultline.operators import ancestors
 from faultline.operators.longruns import parse_parts
 from faultline.operators.parse import distilled_failure, parse_runs, root_cause, unique_frames
 from faultline.operators.select import fold_budget
@@ -68,6 +69,17 @@ def resolve_paths(spark, sf_dir):
     return f.select("run_id", "path", "line", "how", "resolved", F.size("candidates").cast("long").alias("n_candidates"))
 
 
+def page_roots(spark, sf_dir):
+    """Pages as working directories: the nearest known root above each, and the packet that it finds."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_replace(F.regexp_replace("url", r"^[a-z]+:/", ""), r"[?#].*$", "").alias("cwd"))
+    up = lambda n: F.regexp_extract("cwd", rf"^(/[^/]+){'(?:/[^/]+)' * n}", 0)
+    roots = p.where("page_id % 5 = 0").select(up(1).alias("path")).unionByName(p.where("page_id % 7 = 0").select(up(0).alias("path"))).where("path <> ''")
+    found = ancestors.with_root(p, roots)
+    packets = p.where("page_id % 3 = 0").select(F.col("cwd").alias("dir"), F.col("page_id").alias("created_at"), F.concat(F.lit("packet "), "page_id").alias("markdown"))
+    packets = packets.unionByName(found.where("in_repo and page_id % 2 = 0").select(F.col("root").alias("dir"), F.col("page_id").alias("created_at"), F.concat(F.lit("root packet "), "page_id").alias("markdown")))
+    return ancestors.latest_packet(found, packets).select("page_id", "root", "in_repo", "found_in", "markdown")
+
+
 def rank_files(spark, sf_dir):
     _, _, ranked = packet.ranked_files(_runs(spark, sf_dir), synth.repo_files(spark))
     return ranked.select("run_id", "rel", "rank", "reason", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
@@ -141,7 +153,7 @@ def dedupe_first(spark, sf_dir):
     return lines.groupBy("doc_id", "line").agg(F.min("line_no").alias("line_no")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("line_no").cast("long").alias("places"))
 
 
-_QUERIES = [parse_frames, session_frames, failure_line, frames_by_language, stack_order, diagnostics_first, failed_tests, resolve_paths, rank_files, packet_summary, budget_select, token_estimate, repo_tokens, secret_filter, cap_text, turn_blocks, suffix_urls, top3_per_group, error_sessions, dedupe_first]
+_QUERIES = [parse_frames, session_frames, failure_line, frames_by_language, stack_order, diagnostics_first, failed_tests, resolve_paths, page_roots, rank_files, packet_summary, budget_select, token_estimate, repo_tokens, secret_filter, cap_text, turn_blocks, suffix_urls, top3_per_group, error_sessions, dedupe_first]
 
 
 def queries() -> dict:
@@ -189,6 +201,14 @@ _ORACLES = {
         when k in (0, 1, 3, 6) then replace(path, './', '')
         when k = 2 then replace(path, '/srv/app/', 'web/') when k = 4 then replace(path, '/build/', '') else 'java/com/example/shop/' || path end as resolved,
       cast(case when k = 2 and pos = 0 and f % 5 = 0 then 2 else 0 end as bigint) as n_candidates from fr""",
+    "page_roots": r"""with p as (select page_id, rtrim(regexp_replace(regexp_replace(url, '^[a-z]+:/', ''), '[?#].*$', ''), '/') as dir, regexp_replace(regexp_replace(url, '^[a-z]+:/', ''), '[?#].*$', '') as cwd from pages),
+      roots as (select distinct regexp_extract(cwd, '^/[^/]+/[^/]+') as path from p where page_id % 5 = 0 union select distinct regexp_extract(cwd, '^/[^/]+') from p where page_id % 7 = 0),
+      near as (select page_id, max(path) as path from (select page_id, arg_max(path, length(path)) as path from p join roots on path <> '' and (dir = path or starts_with(dir, path || '/')) group by page_id) group by page_id),
+      f as (select page_id, dir, coalesce(path, cwd) as root, path is not null as in_repo from p left join near using (page_id)),
+      k as (select dir, page_id, 'packet ' || page_id as markdown from p where page_id % 3 = 0 union all select rtrim(root, '/'), page_id, 'root packet ' || page_id from f where in_repo and page_id % 2 = 0),
+      newest as (select dir, arg_max(markdown, page_id) as markdown from k group by dir)
+      select page_id, root, in_repo, case when a.dir is not null then 'cwd' when b.dir is not null then 'root' end as found_in, case when a.dir is not null then a.markdown else b.markdown end as markdown
+      from f left join newest a on a.dir = f.dir left join newest b on b.dir = rtrim(root, '/')""",
     "rank_files": _E
     + """, t(k, rel, rank, line_of) as (values
  (0, 'app/main{f}.py', 1, 'l'), (0, 'app/lib{f}.py', 1, 'u'), (1, 'app/main{f}.py', 1, 'l'), (1, 'app/lib{f}.py', 3, ''), (1, 'tests/test_{f}.py', 1, 'u'),
@@ -199,8 +219,8 @@ _ORACLES = {
    union all select run_id, k, 'tests/test_' || f || '.py', 2, '' from e where k <> 1
    union all select run_id, k, d || n || '.go', 3, '' from e cross join range(50) as r(n) cross join (values ('cart/lib'), ('main')) as p(d) where k = 4 and n <> f
    union all select run_id, k, 'pyproject.toml', 5, '' from e)
- select run_id, rel, cast(rank as integer) as rank, case rank when 1 then case k when 6 then 'compiler diagnostic' else 'in stack trace' end when 2 then 'failing test'
-   when 3 then 'imported by or same package as a stack-trace file' else 'dependency manifest' end as reason, lines from named""",
+ select run_id, rel, cast(rank as integer) as rank, case rank when 1 then case k when 6 then 'compiler diagnostic' else 'stack trace' end when 2 then 'failing test'
+   when 3 then 'imported by, or in the same package as, a relevant file' else 'dependency manifest' end as reason, lines from named""",
     "budget_select": """with recursive d as (select source, doc_id, 2 - coalesce(quality, -1) as rank, (length(text) + 3) // 4 as cost, length(text) as chars from documents left join labels using (doc_id)),
       o as (select *, row_number() over (partition by source order by rank, doc_id, cost, chars) as p from d),
       f(source, p, room, state, rest) as (

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from faultline.functions import scalars
-from faultline.operators import select
+from faultline.operators import ancestors, select
 from faultline.operators.parse import parse_runs
 from faultline.operators.rank import failing_tests, imported, manifests
 from faultline.operators.resolve import SKIPPED, file_index, resolve, sizes, tail_index
@@ -96,13 +96,13 @@ def test_many_files_of_one_name(spark):
 
 def test_imports_and_manifests(spark):
     files = {
-        "app/main.py": "import app.lib, os\nfrom pkg import x\n", "app/lib.py": "x", "src/pkg/__init__.py": "x", "app/w.pyw": "import app.lib\n", "app/t.pyi": "import app.lib\n",
-        "web/a.ts": 'import x from "./foo.js"\nconst y = require("../lib/b")\nimport("./none")\nexport * from \'./dir\'\nlet z = "./c"', "web/foo.ts": "x", "lib/b.jsx": "x", "web/dir/index.mjs": "x", "web/c.js": "x",
+        "app/main.py": "import app.lib, os\nfrom pkg import x\n", "app/lib.py": "x", "src/pkg/__init__.py": "x", "app/w.pyw": "import app.lib\n", "app/t.pyi": "import app.lib\n", "app/r.py": "import os as o, app.lib\nfrom app.lib import(x)\nimport pkg , app.w\n",
+        "web/a.ts": 'import x from "./foo.js"\nconst y = require( "../lib/b")\nimport("./c")\nrequire "./c"\nimport * as q from "./foo.js"\nexport * from \'./dir\'\nlet z = "./c"', "web/foo.ts": "x", "lib/b.jsx": "x", "web/dir/index.mjs": "x", "web/c.js": "x",
         "p/a_test.go": "x", "p/a.go": "x", "p/b_test.go": "x", "p/sub/c.go": "x", "pyproject.toml": "x", "app/pyproject.toml": "x", "go.mod": "x", "other/package.json": "x",
     }
     held = repo(spark, files)
     got = {(x.source, x.target) for x in imported(held, held).collect()}
-    assert got == {("app/main.py", "app/lib.py"), ("app/main.py", "src/pkg/__init__.py"), ("app/w.pyw", "app/lib.py"), ("web/a.ts", "web/foo.ts"), ("web/a.ts", "lib/b.jsx"), ("web/a.ts", "web/dir/index.mjs"), ("p/a_test.go", "p/a.go"), ("p/b_test.go", "p/a.go")}
+    assert got == {("app/main.py", "app/lib.py"), ("app/main.py", "src/pkg/__init__.py"), ("app/w.pyw", "app/lib.py"), ("app/r.py", "src/pkg/__init__.py"), ("web/a.ts", "web/foo.ts"), ("web/a.ts", "lib/b.jsx"), ("web/a.ts", "web/dir/index.mjs"), ("p/a_test.go", "p/a.go"), ("p/b_test.go", "p/a.go")}
     runs = spark.createDataFrame([(1, "r", ["x"], 1, "", "", "app/deep", None)], RUNS)
     assert {x.rel for x in manifests(runs, held).collect()} == {"app/pyproject.toml", "go.mod"}
 
@@ -124,6 +124,23 @@ def test_failing_tests_and_build(spark):
     assert "Exit code 3" in rows[2].markdown and rows[2].failure is None
 
 
+def test_reasons(spark):
+    row = spark.range(1).select(*[F.element_at(scalars.literal_map(scalars.REASONS), k).alias(f"r{k}") for k in range(1, 6)]).first()
+    assert list(row) == ["stack trace", "failing test", "imported by, or in the same package as, a relevant file", "in git diff", "dependency manifest"]
+
+
+def test_ancestors(spark):
+    roots = spark.createDataFrame([("/home/u/r/",), ("/home/u/r/sub",), ("/srv",), (None,)], "path string")
+    asked = {"/home/u/r": ("/home/u/r", True), "/home/u/r/sub/deep/er": ("/home/u/r/sub", True), "/home/u/rest": ("/home/u/rest", False), "/home/u/r/a/./b/": ("/home/u/r", True), "/srv/x": ("/srv", True), "/": ("/", False), None: (None, False)}
+    runs = spark.createDataFrame([(k, c, "old") for k, c in enumerate(asked)], "run_id long, cwd string, root string")
+    found = ancestors.with_root(runs, roots)
+    assert {r.cwd: (r.root, r.in_repo) for r in found.collect()} == asked
+    packets = spark.createDataFrame([("/home/u/r", 1, "old"), ("/home/u/r/", 2, "new"), ("/srv/x", 1, "here"), ("/srv", 9, "above")], "dir string, created_at long, markdown string")
+    got = {r.cwd: (r.found_in, r.markdown) for r in ancestors.latest_packet(found, packets).collect()}
+    assert got == {"/home/u/r": ("cwd", "new"), "/home/u/r/a/./b/": ("root", "new"), "/srv/x": ("cwd", "here"), "/home/u/r/sub/deep/er": (None, None), "/home/u/rest": (None, None), "/": (None, None), None: (None, None)}
+    assert ancestors.with_root(runs.limit(0), roots).count() == 0
+
+
 def test_trim_and_budget(spark):
     text = "\n".join(f"l{n}" for n in range(1, 201))
     cases = [([100], 31 + 30), ([1, 200], 63), ([220], 11), ([400], 0), ([], 200)]
