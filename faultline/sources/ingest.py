@@ -14,6 +14,8 @@ from faultline.operators.resolve import skipped_dir
 SOURCE_EXTENSIONS = ["c", "cfg", "cjs", "cpp", "cs", "css", "go", "h", "hpp", "html", "ini", "java", "js", "json", "jsx", "md", "mjs", "py", "pyi", "rb", "rs", "sh", "sql", "toml", "ts", "tsx", "txt", "yaml", "yml"]
 LOCK_FILES = ["Cargo.lock", "go.sum", "package-lock.json", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "yarn.lock"]
 MAX_COUNTED = 1_000_000
+#: What a captured run's folder may hold.
+_CAPTURED = ["stdout", "stderr", "run.json", "environment.json", "git.json", "status", "diff", "names"]
 RUNS = "run_id long, repo_id string, command array<string>, exit_code int, stdout string, stderr string, cwd string"
 
 
@@ -52,6 +54,32 @@ def log_parts(spark: SparkSession, path: str, size: int = PART) -> DataFrame:
     return read.mapInArrow(lambda batches: _lines_to_parts(batches, size), "run_id long, at long, text string")
 
 
+def captured_runs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """runs, git and environment of run folders, one below the other's table as packet.build takes them.
+
+    Each folder under `path` is a run, captured by whatever ran the command: `stdout`, `stderr`
+    and `run.json` (repo_id, command, exit_code, cwd, captured_at), `environment.json` (python,
+    node, platform, machine, env) and, inside a worktree, `git.json` (root, branch, commit),
+    `status`, `diff` and `names` as git prints them. Files that are missing are null or empty;
+    a folder without git.json has no row in git. Bytes that aren't UTF-8 become replacement
+    characters. Any store that Spark reads will do. run_id is a hash of the folder's path.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    named = files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    texts = named.where(F.col("name").isin(_CAPTURED)).groupBy("folder").agg(*[F.max(F.when(F.col("name") == n, F.col("text"))).alias(n.replace(".", "_")) for n in _CAPTURED])
+    held = texts.select(
+        F.xxhash64("folder").alias("run_id"), "stdout", "stderr", "status", "diff", "names",
+        F.from_json("run_json", "repo_id string, command array<string>, exit_code int, cwd string, captured_at timestamp").alias("run"),
+        F.from_json("git_json", "root string, branch string, commit string").alias("git"),
+        F.from_json("environment_json", "python string, node string, platform string, machine string, env map<string, string>").alias("environment"),
+    )
+    empty = F.lit("")
+    runs = held.select("run_id", F.coalesce("run.repo_id", empty).alias("repo_id"), F.coalesce("run.command", F.array().cast("array<string>")).alias("command"), "run.exit_code", F.coalesce("stdout", empty).alias("stdout"), F.coalesce("stderr", empty).alias("stderr"), F.coalesce("run.cwd", empty).alias("cwd"), F.col("git.root").alias("root"), "run.captured_at")
+    lines = F.filter(F.split(F.coalesce("names", empty), "\n"), lambda n: F.trim(n) != "")
+    git = held.where("git is not null").select("run_id", "git.root", "git.branch", "git.commit", F.regexp_replace(F.coalesce("status", empty), "\n+$", "").alias("status"), F.regexp_replace(F.coalesce("diff", empty), "\n+$", "").alias("diff"), lines.alias("diff_names"))
+    return {"runs": runs, "git": git, "environment": held.where("environment is not null").select("run_id", "environment.*")}
+
+
 def repo_tree(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     """repo_id, rel, size_bytes, content of a tree; bytes that aren't UTF-8 become replacement characters."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -68,12 +96,18 @@ def repo_tokens(repo_files: DataFrame) -> DataFrame:
     return counted.groupBy("repo_id").agg(F.sum(byte_tokens(F.col("size_bytes"))).alias("repo_tokens"))
 
 
-def latest_packet(packets: DataFrame) -> DataFrame:
-    """The newest packet of each repository; packets: repo_id, created_at, markdown."""
-    return packets.groupBy("repo_id").agg(F.max_by("markdown", "created_at").alias("markdown"))
+def write_packets(packets: DataFrame, files: DataFrame, path: str, batch: int = 0) -> None:
+    """Packets and full copies of the included files as two tables, under the batch's number.
+
+    Writing a batch again replaces its rows and no others, so a batch that failed
+    half-way or is replayed leaves the tables as one write does.
+    """
+    packets.write.mode("overwrite").parquet(f"{path}/packets/batch={batch}")
+    files.where("included").select("run_id", "rel", F.col("full_content").alias("content")).write.mode("overwrite").parquet(f"{path}/files/batch={batch}")
 
 
-def write_packets(packets: DataFrame, files: DataFrame, path: str) -> None:
-    """Packets and full copies of the included files as two tables."""
-    packets.write.mode("overwrite").parquet(f"{path}/packets")
-    files.where("included").select("run_id", "rel", F.col("full_content").alias("content")).write.mode("overwrite").parquet(f"{path}/files")
+def read_packets(spark: SparkSession, path: str) -> DataFrame:
+    """The written packets, a run's last batch only."""
+    rows = spark.read.parquet(f"{path}/packets")
+    last = rows.groupBy(F.col("run_id").alias("l_id")).agg(F.max("batch").alias("l_batch"))
+    return rows.join(last, (F.col("run_id") == F.col("l_id")) & (F.col("batch") == F.col("l_batch"))).drop("l_id", "l_batch")
