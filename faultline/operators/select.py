@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,23 +22,48 @@ def clamp(budget: int) -> int:
     return max(budget, LEAST_BUDGET)
 
 
-def windowed(content: Column, refs: Column, context: int = CONTEXT) -> Column:
-    """The lines around the referenced ones, with a mark at each gap; all of it without references.
+def _ends(batches):
+    """The end of each line in the text whose lines are parted by one break each, from the lengths of the lines."""
+    for batch in batches:
+        made = []
+        for text in batch.column("content").to_pylist():
+            sizes = np.fromiter(map(len, (text or "").splitlines()), np.int64)
+            made.append(np.cumsum(sizes + 1) - 1)
+        names = [n for n in batch.schema.names if n != "content"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(made, pa.list_(pa.int64()))], names=[*names, "ends"])
+
+
+def line_index(files: DataFrame) -> DataFrame:
+    """repo_id, rel, cost, chars, ends: of each file its tokens, characters and where its lines end."""
+    rows = files.select("repo_id", "rel", tokens(F.col("content")).alias("cost"), F.length("content").cast("long").alias("chars"), "content").where("cost is not null")
+    return rows.mapInArrow(_ends, "repo_id string, rel string, cost long, chars long, ends array<long>")
+
+
+def spans(refs: Column, ends: Column, context: int = CONTEXT) -> Column:
+    """(start, size) of the stretches around the referenced lines, those that touch being one; null without references.
 
     A reference up to `context` lines beyond the end still shows the last lines; farther ones show nothing.
     """
+    n = F.size(ends)
+    near = F.array_sort(F.array_distinct(F.filter(refs, lambda r: F.greatest(F.lit(1), r - context) <= F.least(n, r + context))))
+
+    def merged(at: Column) -> Column:
+        apart = lambda a, b: a + context + 1 < b - context
+        firsts = F.filter(at, lambda r, i: (i == 0) | apart(F.get(at, i - 1), r))
+        lasts = F.filter(at, lambda r, i: (i == F.size(at) - 1) | apart(r, F.get(at, i + 1)))
+        return F.zip_with(firsts, lasts, lambda a, b: stretch(F.greatest(F.lit(1), a - context), F.least(n, b + context)))
 
-    def around(rows: Column) -> Column:
-        n = F.size(rows)
-        near = F.filter(F.transform(refs, lambda r: F.struct(F.greatest(F.lit(1), r - context).alias("low"), F.least(n, r + context).alias("high"))), lambda s: s["low"] <= s["high"])
-        spans = F.transform(near, lambda s: F.sequence(s["low"], s["high"]))
-        return let(F.array_sort(F.array_distinct(F.flatten(spans))), lambda near: joined(rows, near))
+    def stretch(low: Column, high: Column) -> Column:
+        start = F.coalesce(F.get(ends, low - 2) + 1, F.lit(0))
+        return F.struct(start.alias("start"), (F.get(ends, high - 1) - start).alias("size"))
 
-    def joined(rows: Column, near: Column) -> Column:
-        kept = F.transform(near, lambda i, k: F.concat(F.when((k > 0) & (F.get(near, k - 1) < i - 1), F.lit(GAP + "\n")).otherwise(F.lit("")), F.get(rows, i - 1)))
-        return F.array_join(kept, "\n")
+    return F.when(F.size(refs) > 0, let(near, merged))
 
-    return F.when(F.size(refs) > 0, let(split_lines(content), around)).otherwise(content)
+
+def windowed(content: Column, cuts: Column) -> Column:
+    """The text's stretches (spans) with a mark at each gap; all of it without any."""
+    even = F.array_join(split_lines(content), "\n")
+    return F.when(cuts.isNull(), content).otherwise(let(even, lambda text: F.array_join(F.transform(cuts, lambda c: text.substr((c["start"] + 1).cast("int"), c["size"].cast("int"))), f"\n{GAP}\n")))
 
 
 def let(value: Column, body) -> Column:
@@ -48,9 +75,9 @@ def char_cap(budget: Column) -> Column:
     return F.greatest(budget * 4 - 80, F.lit(200)).cast("int")
 
 
-def trim(content: Column, refs: Column, budget: Column, context: int = CONTEXT) -> Column:
+def trim(content: Column, cuts: Column, budget: Column) -> Column:
     """The windowed text, cut to the budget's characters, and a line that says so, cut or not."""
-    return F.concat(windowed(content, refs, context).substr(F.lit(1), char_cap(budget)), F.lit(TRAILER))
+    return F.concat(windowed(content, cuts).substr(F.lit(1), char_cap(budget)), F.lit(TRAILER))
 
 
 def fold_budget(files: Column, budget: int) -> Column:
@@ -71,29 +98,26 @@ def fold_budget(files: Column, budget: int) -> Column:
     return F.aggregate(files, start, step)["out"]
 
 
-def window_length(line_lengths: Column, refs: Column, context: int = CONTEXT) -> Column:
-    """The characters of windowed(), from the lengths of the lines: kept lines, a line break between each two, and a mark with its break at each gap."""
-    n = F.size(line_lengths)
-    near = F.filter(F.transform(refs, lambda r: F.struct(F.greatest(F.lit(1), r - context).alias("low"), F.least(n, r + context).alias("high"))), lambda s: s["low"] <= s["high"])
-    kept = F.array_sort(F.array_distinct(F.flatten(F.transform(near, lambda s: F.sequence(s["low"], s["high"])))))
-
-    def total(at: Column) -> Column:
-        gaps = F.size(F.filter(at, lambda i, k: (k > 0) & (F.get(at, k - 1) < i - 1)))
-        chars = F.aggregate(at, F.lit(0), lambda a, i: a + F.get(line_lengths, i - 1))
-        return F.when(F.size(at) == 0, 0).otherwise(chars + F.size(at) - 1 + gaps * (len(GAP) + 1))
-
-    return let(kept, total)
+def window_length(cuts: Column, chars: Column) -> Column:
+    """The characters of windowed()."""
+    total = F.aggregate(cuts, F.lit(0).cast("long"), lambda a, c: a + c["size"])
+    return F.when(cuts.isNull(), chars).otherwise(total + F.greatest(F.size(cuts) - 1, F.lit(0)) * (len(GAP) + 2))
 
 
 def choose_files(ranked: DataFrame, repo_files: DataFrame, runs: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
-    """run_id, q_repo, pos, rel, rank, cost, reason, lines, window, state, room: the fold over each run's files. No text travels, only lengths of lines."""
+    """run_id, q_repo, pos, rel, rank, cost, reason, cuts, window, state, room: the fold over each run's files.
+
+    Only ranked files are read, each once; of their texts only the places of line ends travel.
+    """
     repo_of = runs.select(F.col("run_id").alias("q_id"), F.col("repo_id").alias("q_repo"))
-    sizes = F.transform(split_lines(F.col("content")), F.length)
-    costs = repo_files.select(F.col("repo_id").alias("k_repo"), F.col("rel").alias("k_rel"), tokens(F.col("content")).alias("cost"), F.length("content").alias("chars"), F.when(tokens(F.col("content")) > LEAST_TO_TRIM, sizes).alias("sizes")).where("cost is not null")
-    priced = ranked.join(repo_of, F.col("run_id") == F.col("q_id")).join(costs, (F.col("q_repo") == F.col("k_repo")) & (F.col("rel") == F.col("k_rel")))
+    asked = ranked.join(repo_of, F.col("run_id") == F.col("q_id"))
+    named = asked.select("q_repo", F.col("rel").alias("q_rel")).distinct()
+    read = repo_files.join(named, (F.col("repo_id") == F.col("q_repo")) & (F.col("rel") == F.col("q_rel")), "left_semi")
+    costs = line_index(read).select(F.col("repo_id").alias("k_repo"), F.col("rel").alias("k_rel"), "cost", "chars", "ends")
+    priced = asked.join(costs, (F.col("q_repo") == F.col("k_repo")) & (F.col("rel") == F.col("k_rel")))
     # a file of at most LEAST_TO_TRIM tokens is whole or omitted, never trimmed
-    windows = F.when((F.col("cost") > LEAST_TO_TRIM) & (F.size("lines") > 0), window_length(F.col("sizes"), F.col("lines"))).otherwise(F.col("chars"))
-    listed = priced.withColumn("window", windows).groupBy("run_id", "q_repo").agg(F.array_sort(F.collect_list(F.struct("rank", "rel", "cost", "reason", "lines", "window"))).alias("files"))
+    cut = priced.withColumn("cuts", F.when(F.col("cost") > LEAST_TO_TRIM, spans(F.col("lines"), F.col("ends"))))
+    listed = cut.withColumn("window", window_length(F.col("cuts"), F.col("chars"))).groupBy("run_id", "q_repo").agg(F.array_sort(F.collect_list(F.struct("rank", "rel", "cost", "reason", "cuts", "window"))).alias("files"))
     folded = listed.withColumn("fate", fold_budget(F.col("files"), budget))
     return folded.select("run_id", "q_repo", F.posexplode(F.arrays_zip("files", "fate")).alias("pos", "x")).select("run_id", "q_repo", "pos", "x.files.*", "x.fate.*")
 
@@ -102,5 +126,5 @@ def with_texts(chosen: DataFrame, repo_files: DataFrame) -> DataFrame:
     """run_id, rel, rank, reason, included, trimmed, tokens, content, full_content in order (pos)."""
     texts = repo_files.select(F.col("repo_id").alias("t_repo"), F.col("rel").alias("t_rel"), F.col("content").alias("full_content"))
     held = chosen.join(texts, (F.col("q_repo") == F.col("t_repo")) & (F.col("rel") == F.col("t_rel")))
-    content = F.when(F.col("state") == "whole", F.col("full_content")).when(F.col("state") == "trim", trim(F.col("full_content"), F.col("lines"), F.col("room")))
+    content = F.when(F.col("state") == "whole", F.col("full_content")).when(F.col("state") == "trim", trim(F.col("full_content"), F.col("cuts"), F.col("room")))
     return held.select("run_id", "pos", "rel", "rank", "reason", (F.col("state") != "omit").alias("included"), (F.col("state") == "trim").alias("trimmed"), tokens(content).alias("tokens"), content.alias("content"), "full_content")

@@ -141,19 +141,26 @@ def test_ancestors(spark):
     assert ancestors.with_root(runs.limit(0), roots).count() == 0
 
 
+def brute_window(text, refs, context=30):
+    """Every kept line, one by one."""
+    rows = text.splitlines()
+    kept = sorted({i for r in refs for i in range(max(1, r - context), min(len(rows), r + context) + 1)})
+    return text if not refs else "\n".join(("...\n" if k and kept[k - 1] < i - 1 else "") + rows[i - 1] for k, i in enumerate(kept))
+
+
 def test_trim_and_budget(spark):
-    text = "\n".join(f"l{n}" for n in range(1, 201))
-    cases = [([100], 31 + 30), ([1, 200], 63), ([220], 11), ([400], 0), ([], 200)]
-    df = spark.createDataFrame([(text, refs) for refs, _ in cases], "c string, refs array<int>")
-    rows = df.select(select.trim(F.col("c"), F.col("refs"), F.lit(5_000)).alias("t")).collect()
-    for (refs, n), row in zip(cases, rows, strict=True):
-        assert row.t.endswith(select.TRAILER)
-        body = row.t.removesuffix(select.TRAILER)
-        assert len(body.split("\n") if body else []) == n, refs
+    rnd = random.Random(2)
     ragged = "\n".join("x" * (n % 7) for n in range(1, 201)) + "\n\n"
-    sizes = F.transform(scalars.lines(F.col("c")), F.length)
-    both = spark.createDataFrame([(t, refs) for t in (text, ragged, "a\r\nb\x0bc", "", "\n") for refs in ([100], [1, 200], [220], [400], [5, 70, 71, 190])], "c string, refs array<int>")
-    assert all(x.a == x.b for x in both.select(F.length(select.windowed(F.col("c"), F.col("refs"))).alias("a"), select.window_length(sizes, F.col("refs")).alias("b")).collect())
+    texts = ["\n".join(f"l{n}" for n in range(1, 201)), ragged, "a\r\nb\x0bc\u2028d", "", "\n", "é\U0001d4b3\n" * 90]
+    cases = [(t, refs) for t in texts for refs in ([100], [1, 200], [220], [231], [400], [], [5, 70, 71, 190], [61, 122, 30, 30], *([rnd.randint(1, 260) for _ in range(6)] for _ in range(5)))]
+    df = spark.createDataFrame([("r", str(k), t, refs) for k, (t, refs) in enumerate(cases)], "repo_id string, rel string, content string, refs array<int>")
+    ends = select.line_index(df).select(F.col("rel").alias("e_rel"), "ends", "chars")
+    cut = df.join(ends, F.col("rel") == F.col("e_rel")).withColumn("cuts", select.spans(F.col("refs"), F.col("ends")))
+    rows = cut.select("rel", select.windowed(F.col("content"), F.col("cuts")).alias("w"), select.window_length(F.col("cuts"), F.col("chars")).alias("n"), select.trim(F.col("content"), F.col("cuts"), F.lit(5_000)).alias("t")).collect()
+    assert len(rows) == len(cases)
+    for r in rows:
+        want = brute_window(*cases[int(r.rel)])
+        assert (r.w, r.n, r.t) == (want, len(want), want + select.TRAILER), cases[int(r.rel)]
     files = spark.createDataFrame([([(100, 400), (6750, 27_000), (500, 2_000)],)], "files array<struct<cost: long, window: long>>")
     fate = files.select(select.fold_budget(F.col("files"), 450).alias("f")).first().f
     assert [x.state for x in fate] == ["whole", "trim", "omit"] and [x.room for x in fate] == [450, 350, 16]
