@@ -18,6 +18,13 @@ from faultline.plans import packet, synth
 from faultline.sources import ingest
 
 
+#: The JSON document's fields that packet_fields reads.
+PACKET_DDL = (
+    "created_at string, command array<string>, exit_code int, failure string, root_cause string, cause_chain array<string>, diagnostics array<string>, failed_tests array<string>, stack array<struct<path: string, line: int>>, "
+    "files array<struct<path: string, rank: int, reason: string>>, git struct<branch: string, commit: string, changed_files: array<string>, diff: string>, environment struct<python: string, node: string, env_var_names: array<string>>"
+)
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.runs(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
@@ -81,13 +88,32 @@ def page_roots(spark, sf_dir):
 
 
 def rank_files(spark, sf_dir):
-    _, _, ranked = packet.ranked_files(_runs(spark, sf_dir), synth.repo_files(spark))
+    runs = _runs(spark, sf_dir)
+    _, _, ranked = packet.ranked_files(runs, synth.repo_files(spark), synth.changed(synth.git_states(runs)))
     return ranked.select("run_id", "rel", "rank", "reason", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
 
 
+def _built(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    git = synth.git_states(runs)
+    return packet.build(runs, synth.repo_files(spark), synth.changed(git), git, synth.environments(runs), created_at=F.timestamp_seconds(F.lit(0)))
+
+
+def packet_fields(spark, sf_dir):
+    """The packets' JSON documents, read back."""
+    told = F.from_json("json", PACKET_DDL)
+    p = _built(spark, sf_dir)["packets"].select("run_id", told.alias("p")).select("run_id", "p.*")
+    joined = lambda c, sep=",": F.array_join(c, sep)
+    return p.select(
+        "run_id", joined("command", " ").alias("command"), "exit_code", "failure", "root_cause", F.size("cause_chain").cast("long").alias("n_causes"), F.size("diagnostics").cast("long").alias("n_diagnostics"), joined("failed_tests").alias("failed_tests"),
+        F.size("stack").cast("long").alias("n_stack"), joined(F.transform(F.array_sort(F.transform("files", lambda f: F.struct(f["rank"], f["path"], f["reason"]))), lambda f: F.concat_ws(" ", f["path"], f["rank"].cast("string"), f["reason"])), "\n").alias("files"),
+        "git.branch", "git.commit", joined("git.changed_files").alias("changed_files"), "git.diff", "environment.python", "environment.node", joined("environment.env_var_names").alias("env_names"), "created_at",
+    )
+
+
 def packet_summary(spark, sf_dir):
     """One row per run: what failed, where, and how much was packed."""
-    built = packet.build(_runs(spark, sf_dir), synth.repo_files(spark), created_at=F.timestamp_seconds(F.lit(0)))
+    built = _built(spark, sf_dir)
     files = built["chosen"].groupBy(F.col("run_id").alias("f_id")).agg(F.count_if(F.col("state") != "omit").alias("n_files"))
     return built["packets"].join(files, F.col("run_id") == F.col("f_id"), "left").select("run_id", "failure", F.coalesce("n_files", F.lit(0)).alias("n_files"), "packet_tokens", "repo_tokens", "markdown", "json")
 
@@ -153,14 +179,14 @@ def dedupe_first(spark, sf_dir):
     return lines.groupBy("doc_id", "line").agg(F.min("line_no").alias("line_no")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("line_no").cast("long").alias("places"))
 
 
-_QUERIES = [parse_frames, session_frames, failure_line, frames_by_language, stack_order, diagnostics_first, failed_tests, resolve_paths, page_roots, rank_files, packet_summary, budget_select, token_estimate, repo_tokens, secret_filter, cap_text, turn_blocks, suffix_urls, top3_per_group, error_sessions, dedupe_first]
+_QUERIES = [parse_frames, session_frames, failure_line, frames_by_language, stack_order, diagnostics_first, failed_tests, resolve_paths, page_roots, rank_files, packet_fields, packet_summary, budget_select, token_estimate, repo_tokens, secret_filter, cap_text, turn_blocks, suffix_urls, top3_per_group, error_sessions, dedupe_first]
 
 
 def queries() -> dict:
     return {f.__name__: f for f in _QUERIES}
 
 
-_E = "with e as (select event_id as run_id, event_id % 7 as k, event_id, event_id % 400 + 1 as l, user_id % 900 + 500 as u, event_id % 50 as f from events where event_type = 'error')"
+_E = "with e as (select event_id as run_id, event_id % 13 as k, event_id, event_id % 400 + 1 as l, user_id % 900 + 500 as u, event_id % 50 as f from events where event_type = 'error')"
 _FRAMES = """
 , t(k, pos, path, line_of, fn, language, vendored) as (values
  (0, 0, 'app/main{f}.py', 'l', 'main', 'python', false), (0, 1, 'app/lib{f}.py', 'u', 'go{f}', 'python', false),
@@ -169,7 +195,10 @@ _FRAMES = """
  (3, 0, 'src/lib{f}.rs', 'l', null, 'rust', false), (3, 1, '/rustc/abc/library/core/src/rustlib/x.rs', '9', 'core::panicking::panic', 'rust', true), (3, 2, './src/main{f}.rs', 'u', 'shop::go{f}', 'rust', false),
  (4, 0, '/build/cart/lib{f}.go', 'l', 'example.com/shop/cart.Go{f}', 'go', false), (4, 1, '/build/main{f}.go', 'u', 'main.main', 'go', false),
  (5, 0, 'Main{f}.java', 'l', 'com.example.shop.Main{f}.main', 'jvm', false), (5, 1, 'Lib{f}.java', 'u', 'com.example.shop.Lib{f}.go', 'jvm', false), (5, 2, 'Map.java', '1', 'java.util.Map.get', 'jvm', true),
- (6, 0, 'src/main{f}.rs', 'l', null, 'rust', false), (6, 1, 'src/lib{f}.rs', 'u', null, 'rust', false)),
+ (6, 0, 'src/main{f}.rs', 'l', null, 'rust', false), (6, 1, 'src/lib{f}.rs', 'u', null, 'rust', false),
+ (7, 0, 'app/lib{f}.py', 'u', 'go{f}', 'python', false), (7, 1, 'app/main{f}.py', 'l', 'main', 'python', false), (8, 0, 'app/lib{f}.py', 'u', 'go{f}', 'python', false), (8, 1, 'app/main{f}.py', 'l', 'main', 'python', false),
+ (9, 0, 'cart/lib{f}.go', 'l', null, 'go', false), (9, 1, './main{f}.go', 'u', null, 'go', false), (10, 0, 'java/com/example/shop/Main{f}.java', 'l', null, 'jvm', false),
+ (11, 0, 'lib{f}_test.go', 'l', null, 'go', false), (12, 0, 'src/lib{f}.rs', 'l', null, 'rust', false)),
 fr as (select run_id, e.k, e.f, pos, replace(path, '{f}', cast(f as varchar)) as path, cast(case line_of when 'l' then l when 'u' then u else cast(line_of as bigint) end as integer) as line,
   replace(replace(fn, '{f}', cast(f as varchar)), '{e}', cast(event_id as varchar)) as function, language, vendored from e join t using (k))
 """
@@ -178,27 +207,30 @@ _ORACLES = {
     "parse_frames": _E + _FRAMES + "select run_id, cast(pos as integer) as pos, path, line, function, language, vendored from fr",
     "session_frames": _E.replace("event_id as run_id,", "event_id as run_id, user_id % 20 as sid,")
     + _FRAMES.replace("select run_id, e.k,", "select run_id, sid, e.k,")
-    + """, placed as (select sid, row_number() over (partition by sid order by k >= 3, run_id, pos) - 1 as seat, path, line, function, language, vendored from fr),
+    + """, placed as (select sid, row_number() over (partition by sid order by k not in (0, 1, 2, 7, 8), run_id, pos) - 1 as seat, path, line, function, language, vendored from fr),
       first as (select *, row_number() over (partition by sid, regexp_replace(path, '^\\./', ''), line order by seat) as nth from placed)
       select sid as run_id, cast(seat as integer) as pos, path, line, function, language, vendored from first where nth = 1""",
     "failure_line": _E
     + """select run_id, case k when 0 then 'KeyError: ''k' || event_id || '''' when 1 then 'AssertionError: assert ' || u || ' == ' || l when 2 then 'TypeError: bad value ' || event_id
       when 3 then 'missing key ' || event_id when 4 then 'panic: index ' || event_id || ' out of range' when 5 then 'java.lang.NullPointerException: inner ' || event_id
-      else 'error[E0308]: mismatched types ' || event_id || ': expected u' || u end as failure,
-      case when k = 5 then 'java.lang.NullPointerException: inner ' || event_id end as root_cause from e""",
+      when 6 then 'error[E0308]: mismatched types ' || event_id || ': expected u' || u when 7 then 'KeyError: ''k' || event_id || '''' when 8 then 'RuntimeError: outer ' || event_id
+      when 9 then 'undefined: x' || event_id when 10 then 'cannot find symbol ' || event_id when 11 then 'got ' || u else 'missing key ' || event_id end as failure,
+      case when k = 5 then 'java.lang.NullPointerException: inner ' || event_id when k = 7 then 'KeyError: ''k' || event_id || '''' end as root_cause from e""",
     "frames_by_language": _E + _FRAMES + "select language, count(*) as n_frames, count(distinct run_id) as n_runs from fr group by language",
     "stack_order": _E
-    + """select run_id, cast(0 as integer) as stack_no, cast(case when k = 5 then 1 else 0 end as integer) as block_index, cast(case when k in (0, 1, 5) then u else l end as integer) as top_line from e
-      union all select run_id, 1, case when k = 5 then 0 else 1 end, cast(case when k = 3 then 9 else l end as integer) from e where k = 5""",
-    "diagnostics_first": _E + "select run_id, 'error[E0308]: mismatched types ' || event_id || ': expected u' || u as diagnostic, cast(1 as bigint) as n from e where k = 6",
+    + """select run_id, cast(0 as integer) as stack_no, cast(case when k in (5, 8) then 1 else 0 end as integer) as block_index, cast(case when k in (0, 1, 5, 7) then u else l end as integer) as top_line from e
+      union all select run_id, 1, case when k in (5, 8) then 0 else 1 end, cast(case when k = 8 then u else l end as integer) from e where k in (5, 7, 8)""",
+    "diagnostics_first": _E
+    + """select run_id, case k when 6 then 'error[E0308]: mismatched types ' || event_id || ': expected u' || u when 9 then 'undefined: x' || event_id else 'cannot find symbol ' || event_id end as diagnostic,
+      cast(case k when 9 then 2 else 1 end as bigint) as n from e where k in (6, 9, 10)""",
     "failed_tests": _E + "select run_id, 'tests/test_' || f || '.py' as path, 'test_case_' || event_id as test from e where k = 1",
     "resolve_paths": _E
     + _FRAMES
     + """select run_id, path, line,
-      case when vendored then 'vendored' when k in (0, 1, 3, 6) then 'direct' when path = 'node:internal/main' then 'unresolved'
+      case when vendored then 'vendored' when k in (0, 1, 3, 6, 7, 8, 9, 10, 12) then 'direct' when path = 'node:internal/main' then 'unresolved'
         when k = 2 and pos = 0 and f % 5 = 0 then 'ambiguous' else 'suffix' end as how,
       case when vendored or path = 'node:internal/main' or (k = 2 and pos = 0 and f % 5 = 0) then null
-        when k in (0, 1, 3, 6) then replace(path, './', '')
+        when k in (0, 1, 3, 6, 7, 8, 9, 10, 12) then replace(path, './', '') when k = 11 then 'cart/' || path
         when k = 2 then replace(path, '/srv/app/', 'web/') when k = 4 then replace(path, '/build/', '') else 'java/com/example/shop/' || path end as resolved,
       cast(case when k = 2 and pos = 0 and f % 5 = 0 then 2 else 0 end as bigint) as n_candidates from fr""",
     "page_roots": r"""with p as (select page_id, rtrim(regexp_replace(regexp_replace(url, '^[a-z]+:/', ''), '[?#].*$', ''), '/') as dir, regexp_replace(regexp_replace(url, '^[a-z]+:/', ''), '[?#].*$', '') as cwd from pages),
@@ -209,18 +241,38 @@ _ORACLES = {
       newest as (select dir, arg_max(markdown, page_id) as markdown from k group by dir)
       select page_id, root, in_repo, case when a.dir is not null then 'cwd' when b.dir is not null then 'root' end as found_in, case when a.dir is not null then a.markdown else b.markdown end as markdown
       from f left join newest a on a.dir = f.dir left join newest b on b.dir = rtrim(root, '/')""",
-    "rank_files": _E
+}
+_RANKED = (
+    _E
     + """, t(k, rel, rank, line_of) as (values
  (0, 'app/main{f}.py', 1, 'l'), (0, 'app/lib{f}.py', 1, 'u'), (1, 'app/main{f}.py', 1, 'l'), (1, 'app/lib{f}.py', 3, ''), (1, 'tests/test_{f}.py', 1, 'u'),
  (2, 'web/lib{f}.js', 1, 'l'), (2, 'web/main{f}.js', 1, 'u'), (3, 'src/lib{f}.rs', 1, 'l'), (3, 'src/main{f}.rs', 1, 'u'), (4, 'cart/lib{f}.go', 1, 'l'), (4, 'main{f}.go', 1, 'u'),
- (5, 'java/com/example/shop/Main{f}.java', 1, 'l'), (5, 'java/com/example/shop/Lib{f}.java', 1, 'u'), (6, 'src/main{f}.rs', 1, 'l'), (6, 'src/lib{f}.rs', 1, 'u')),
+ (5, 'java/com/example/shop/Main{f}.java', 1, 'l'), (5, 'java/com/example/shop/Lib{f}.java', 1, 'u'), (6, 'src/main{f}.rs', 1, 'l'), (6, 'src/lib{f}.rs', 1, 'u'),
+ (7, 'app/main{f}.py', 1, 'l'), (7, 'app/lib{f}.py', 1, 'u'), (8, 'app/main{f}.py', 1, 'l'), (8, 'app/lib{f}.py', 1, 'u'), (9, 'cart/lib{f}.go', 1, 'l'), (9, 'main{f}.go', 1, 'u'),
+ (10, 'java/com/example/shop/Main{f}.java', 1, 'l'), (11, 'cart/lib{f}_test.go', 1, 'l'), (12, 'src/lib{f}.rs', 1, 'l')),
  named as (select run_id, e.k, replace(rel, '{f}', cast(f as varchar)) as rel, rank, case line_of when 'l' then cast(l as varchar) when 'u' then cast(u as varchar) else '' end as lines
    from e join t using (k) where not (k = 2 and line_of = 'l' and f % 5 = 0)
    union all select run_id, k, 'tests/test_' || f || '.py', 2, '' from e where k <> 1
-   union all select run_id, k, d || n || '.go', 3, '' from e cross join range(50) as r(n) cross join (values ('cart/lib'), ('main')) as p(d) where k = 4 and n <> f
-   union all select run_id, k, 'pyproject.toml', 5, '' from e)
- select run_id, rel, cast(rank as integer) as rank, case rank when 1 then case k when 6 then 'compiler diagnostic' else 'stack trace' end when 2 then 'failing test'
-   when 3 then 'imported by, or in the same package as, a relevant file' else 'dependency manifest' end as reason, lines from named""",
+   union all select run_id, k, d || n || '.go', 3, '' from e cross join range(50) as r(n) cross join (values ('cart/lib'), ('main')) as p(d) where (k in (4, 9) and n <> f) or (k = 11 and d = 'cart/lib')
+   union all select run_id, k, 'app/lib' || f || '.py', 4, '' from e where run_id % 4 = 0 and k not in (0, 1, 7, 8)
+   union all select run_id, k, 'pyproject.toml', 5, '' from e),
+ ranked as (select run_id, rel, cast(rank as integer) as rank, case rank when 1 then case when k in (6, 9, 10) then 'compiler diagnostic' else 'stack trace' end when 2 then 'failing test'
+   when 3 then 'imported by, or in the same package as, a relevant file' when 4 then 'in git diff' else 'dependency manifest' end as reason, lines from named)
+ """
+)
+_PACKET_FIELDS = """, fail as (FAILURE),
+ files as (select run_id, string_agg(rel || ' ' || rank || ' ' || reason, chr(10) order by rank, rel) as files from ranked group by run_id)
+ select e.run_id, 'run tests/test_' || e.f || '.py::x' as command, 1 as exit_code, failure, root_cause,
+   cast(case k when 5 then 2 when 7 then 2 else 0 end as bigint) as n_causes, cast(case k when 9 then 2 when 6 then 1 when 10 then 1 else 0 end as bigint) as n_diagnostics,
+   case k when 1 then 'tests/test_' || e.f || '.py::test_case_' || e.run_id when 11 then 'TestShop' || e.run_id else '' end as failed_tests,
+   cast(case when k in (2, 3, 5) then 3 when k in (10, 11, 12) then 1 else 2 end as bigint) as n_stack, files.files,
+   case when e.run_id % 5 > 0 then 'topic' || e.f else '(no commits yet)' end as branch, substr(sha1(cast(e.run_id as varchar)), 1, 7) as commit,
+   case when e.run_id % 4 = 0 then 'app/lib' || e.f || '.py,notes ' || e.f || '.txt' else '' end as changed_files, case when e.run_id % 4 = 0 then '-old ' || e.run_id || chr(10) || '+new ' || e.run_id else '' end as diff,
+   '3.' || (e.f % 4 + 10) as python, case when e.f % 2 = 0 then 'v20' end as node, case when e.f % 3 = 0 then 'F' || e.f || ',' else '' end || 'LANG,PATH' as env_names, '1970-01-01T00:00:00+00:00' as created_at
+ from e join fail on fail.run_id = e.run_id join files on files.run_id = e.run_id""".replace("FAILURE", _ORACLES["failure_line"].removeprefix(_E))
+_ORACLES["rank_files"] = _RANKED + "select run_id, rel, rank, reason, lines from ranked"
+_ORACLES["packet_fields"] = _RANKED + _PACKET_FIELDS
+_ORACLES |= {
     "budget_select": """with recursive d as (select source, doc_id, 2 - coalesce(quality, -1) as rank, (length(text) + 3) // 4 as cost, length(text) as chars from documents left join labels using (doc_id)),
       o as (select *, row_number() over (partition by source order by rank, doc_id, cost, chars) as p from d),
       f(source, p, room, state, rest) as (
