@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions.scalars import REASONS, literal_map, parts, tidy
 from faultline.operators.parse import JS_EXTENSIONS
 from faultline.operators.resolve import resolve, skipped_dir
+from faultline.sources.staging import staged
 
 #: Manifests looked for from the working directory upwards.
 MANIFESTS = ["Cargo.toml", "Pipfile", "go.mod", "package.json", "pyproject.toml", "requirements.txt", "setup.py"]
@@ -104,7 +105,8 @@ def rank_files(runs: DataFrame, parsed: DataFrame, resolved: DataFrame, repo_fil
     repo_of = runs.select(F.col("run_id").alias("q_id"), F.col("repo_id").alias("q_repo"))
     none = F.lit(None).cast("int")
     one = resolved.select("run_id", "rel", F.lit(1).alias("rank"), F.col("line").cast("int").alias("line"))
-    two = failing_tests(parsed, runs, repo_files).select("run_id", "rel", F.lit(2).alias("rank"), none.alias("line"))
+    # written, as it is read three times and its plan is a whole resolution
+    two = staged(failing_tests(parsed, runs, repo_files)).select("run_id", "rel", F.lit(2).alias("rank"), none.alias("line"))
     seeds = one.unionByName(two).select("run_id", "rel").distinct().join(repo_of, F.col("run_id") == F.col("q_id"))
     edges = imported(seeds.select(F.col("q_repo").alias("repo_id"), "rel"), repo_files).select(F.col("repo_id").alias("e_repo"), "source", "target")
     three = seeds.join(edges, (F.col("q_repo") == F.col("e_repo")) & (F.col("rel") == F.col("source"))).select("run_id", F.col("target").alias("rel"), F.lit(3).alias("rank"), none.alias("line"))

@@ -16,6 +16,7 @@ from faultline.operators.parse import distilled_failure, parse_runs, root_cause,
 from faultline.operators.select import fold_budget
 from faultline.plans import packet, synth
 from faultline.sources import ingest
+from faultline.sources.staging import staged
 
 
 #: The JSON document's fields that packet_fields reads.
@@ -29,6 +30,11 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.runs(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def _repository(spark: SparkSession) -> DataFrame:
+    """The synthetic repository as a table, as a real one is."""
+    return staged(synth.repo_files(spark))
+
+
 def _parsed(spark, sf_dir):
     return parse_runs(_runs(spark, sf_dir))
 
@@ -72,7 +78,7 @@ def failed_tests(spark, sf_dir):
 
 def resolve_paths(spark, sf_dir):
     runs = _runs(spark, sf_dir)
-    f = packet.placed_frames(runs, parse_runs(runs), synth.repo_files(spark))
+    f = packet.placed_frames(runs, parse_runs(runs), _repository(spark))
     return f.select("run_id", "path", "line", "how", "resolved", F.size("candidates").cast("long").alias("n_candidates"))
 
 
@@ -89,14 +95,14 @@ def page_roots(spark, sf_dir):
 
 def rank_files(spark, sf_dir):
     runs = _runs(spark, sf_dir)
-    _, _, ranked = packet.ranked_files(runs, synth.repo_files(spark), synth.changed(synth.git_states(runs)))
+    _, _, ranked = packet.ranked_files(runs, _repository(spark), synth.changed(synth.git_states(runs)))
     return ranked.select("run_id", "rel", "rank", "reason", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
 
 
 def _built(spark, sf_dir):
     runs = _runs(spark, sf_dir)
     git = synth.git_states(runs)
-    return packet.build(runs, synth.repo_files(spark), synth.changed(git), git, synth.environments(runs), created_at=F.timestamp_seconds(F.lit(0)))
+    return packet.build(runs, _repository(spark), synth.changed(git), git, synth.environments(runs), created_at=F.timestamp_seconds(F.lit(0)))
 
 
 def packet_fields(spark, sf_dir):
