@@ -1,38 +1,6 @@
-"""Cutting lineage with copies that outlive an executor."""
+"""Cutting lineage with written copies that outlive an executor."""
 
-from __future__ import annotations
+from faultline.sources.staging import shared_folder
+from faultline.sources.staging import staged as cut
 
-import os
-import re
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, a local one, but only if Spark itself is local, as in tests."""
-    context = spark.sparkContext
-    held = context._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.match(r"local(\[|$)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = os.path.join(os.environ.get("TMPDIR", "/tmp"), "faultline-checkpoints")
-    context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The frame, computed once and written as a table to the shared folder.
-
-    Unlike checkpoint() it is compressed and read by column. The table goes when
-    the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4()}.parquet"
-    df.write.option("compression", "zstd").parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "shared_folder"]

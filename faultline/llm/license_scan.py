@@ -1,7 +1,6 @@
 """License texts and notices by a positional index of rare words.
 
-Templates (whole short licences, the notices of long ones, and the caller's phrases)
-are split into words (A-Z lower-cased). One pass counts in how many texts each
+Templates (whole short licences, the notices of long ones, and SPDX lines) are split into words (A-Z lower-cased). One pass counts in how many texts each
 template word occurs, over all of them; that gives each word's inverse document
 frequency (IDF). The index lists, for every template word, the templates and places
 that hold it.
@@ -15,7 +14,8 @@ none has a start). A template is reported if its share reaches `threshold` and o
 its mandatory key phrases stands there word by word.
 
 Phrases given by the caller are labels of their own, wherever they stand: each is
-looked up by its rarest word and verified word by word around it.
+looked up by its rarest word and verified word by word around it. They are no templates:
+a text with nothing but a phrase gets no score from it.
 
 The templates and the IDF table are fixed in size and sent to every task. Nulls: a
 null text has no words. Every row gives one row; repeated rows, null doc_ids and
@@ -86,6 +86,9 @@ TEMPLATES = [
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license"]),
     ("unlicense", "This is free and unencumbered software released into the public domain.", ["free and unencumbered software"]),
 ]
+#: SPDX identifiers; "-only" and "-or-later" name the same licence.
+SPDX = ["Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Unlicense", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC-BY-4.0", "CC-BY-SA-4.0"]
+TEMPLATES = [(name.lower(), f"SPDX-License-Identifier: {name}", [f"spdx license identifier {name.lower()}"]) for name in SPDX] + TEMPLATES
 THRESHOLD = 0.8
 #: A template with a smaller share of its words in a text, wherever they stand, is not looked for.
 FLOOR = 0.5
@@ -103,7 +106,6 @@ class Index:
     def __init__(self, templates, phrases) -> None:
         self.phrases = [(_words(p), label) for p, label in phrases if _words(p)]
         whole = [(label, _words(text), [_words(k) for k in keys]) for label, text, keys in templates if _words(text)]
-        whole += [(label, words, [words]) for words, label in self.phrases]
         self.labels = [label for label, _, _ in whole]
         self.words = [words for _, words, _ in whole]
         self.keys = [[b" " + b" ".join(k) + b" " for k in keys] for _, _, keys in whole]
@@ -113,7 +115,7 @@ class Index:
             for place, w in enumerate(words):
                 at.setdefault(w, []).append(place)
             self.places.append(at)
-        self.vocabulary = {w for words in self.words for w in words}
+        self.vocabulary = {w for words in [*self.words, *(p for p, _ in self.phrases)] for w in words}
 
     def weigh(self, frequency: dict[bytes, int], n: int) -> None:
         """Takes the corpus counts: IDF by word, each template's weight, its words by falling IDF."""
@@ -160,7 +162,7 @@ def match(places: Places, here: set[bytes], index: Index, threshold: float) -> t
     words, best, labels = places.words, 0.0, set()
     bag = [0.0] * len(index.words)
     for w in here:
-        for t, share in index.shares[w]:
+        for t, share in index.shares.get(w, ()):
             bag[t] += share
     for t, most in enumerate(bag):
         if most < FLOOR - 1e-9:

@@ -43,6 +43,16 @@ def brute_kept(text):
     )
 
 
+def brute_rejections(text):
+    m = brute(text)
+    n = m["n_words"]
+    held = {
+        "few_words": n < 10, "repeated_words": 100 * m["n_repeat_words"] > 20 * n, "symbols": 100 * m["n_symbols"] > 30 * n, "stutters": 100 * m["stutters"] > 30 * n,
+        "repeated_lines": 100 * m["n_dup_lines"] > 50 * m["lines"], "long_words": m["word_chars"] > 15 * n, "capitals": 100 * m["capitals"] > 40 * len(text or ""),
+    }
+    return {name for name, x in held.items() if x}
+
+
 TEXTS = [None, "", " \n\t", "a b c d e a b c d e x", "one two three four five six seven eight nine ten", "a a a a a a a a a a a", "l1\nl1\n l1\n\nl1", "é ü 😀 # * | <a> $%& x y z", "AB CD EF GH IJ KL MN OP QR ST UV", "word\x0bword\x0cword\rword " * 3, "x" * 20_000 + " b"]
 
 
@@ -60,7 +70,14 @@ def test_order_changes_nothing(spark):
     for order in (rules, rules[::-1]):
         got = {r.doc_id: r.rejected_by is None for r in q.cascade(df, order).collect()}
         assert got == {i: brute_kept(t) for i, t in enumerate(TEXTS)}
-    assert {r.name for r, _, _ in q.plan(df, rules)} == {r.name for r in rules}
+    order = q.plan(df, rules)
+    assert {r.name for r, _, _ in order} == {r.name for r in rules}
+    again = q.plan(df.repartition(7), rules[::-1], 10_000)
+    assert [(r.name, cost, share) for r, cost, share in order] == [(r.name, cost, share) for r, cost, share in again]
+    n = len(TEXTS)
+    shares = {r.name: sum(r.name in brute_rejections(t) for t in TEXTS) / n for r in rules}
+    assert {r.name: share for r, _, share in order} == shares
+    assert [(share + 1e-4) / cost for _, cost, share in order] == sorted(((share + 1e-4) / cost for _, cost, share in order), reverse=True)
     assert {r.doc_id for r in q.keep_good(df).collect()} == {i for i, t in enumerate(TEXTS) if brute_kept(t)}
     assert q.keep_good(df.limit(0)).count() == 0
 

@@ -38,6 +38,13 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_phrases_give_no_score_and_spdx_lines_do(spark):
+    rows = [(1, "all rights reserved by us"), (2, "// SPDX-License-Identifier: Apache-2.0\nint main"), (3, "# spdx-license-identifier: GPL-3.0-or-later"), (4, "SPDX-License-Identifier: Other"), (5, "under CC BY")]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].score, got[1].labels, got[1].n_base) == (0, ["reserved"], 1) and got[5].labels == ["cc-by"] and got[5].score < 0.8
+    assert (got[2].labels, got[3].labels, got[4].labels) == (["apache-2.0"], ["gpl-3.0"], []) and got[2].score == 1
+
+
 def test_whole_licenses(spark):
     text = {label: body for label, body, _ in license_scan.TEMPLATES}  # the last, whole one of each label
     rows = [(i, "head words " * i + body + "\ntail") for i, body in enumerate(text.values())]
