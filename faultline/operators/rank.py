@@ -34,29 +34,53 @@ def _at(base, name):
     return F.when(base == "", name).otherwise(F.concat(base, F.lit("/"), name))
 
 
-def imported(files: DataFrame, repo_files: DataFrame) -> DataFrame:
-    """(repo_id, source, target): one hop from `files` (repo_id, rel) by local imports, and to Go files of the same package.
+def _kind(rel):
+    return F.when(rel.rlike(r"[^/]\.pyw?$"), "py").when(rel.rlike(rf"({'|'.join(e.replace('.', '[.]') for e in JS_EXTENSIONS)})$"), "js")
+
+
+def _keyed(files: DataFrame) -> DataFrame:
+    """files of languages whose imports are read, with kind and key, a hash of their content."""
+    return files.withColumns({"kind": _kind(F.col("rel")), "key": F.sha2("content", 256)}).where("kind is not null")
 
-    Only the sources' texts are read; a package's files travel as one array per directory.
+
+def named_modules(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """kind, key, names: what the files' texts import by name. Equal texts of any repositories are read once.
+
+    files: rel, content. known: an earlier result; texts that it has are not read again.
     """
-    known = rankable(repo_files).select(F.col("repo_id").alias("k_repo"), F.col("rel").alias("k_rel"))
-    asked = files.select(F.col("repo_id").alias("a_repo"), F.col("rel").alias("a_rel")).distinct()
-    same = (F.col("repo_id") == F.col("a_repo")) & (F.col("rel") == F.col("a_rel"))
-    texts = rankable(repo_files).join(asked, same, "left_semi").withColumn("base", _dir(F.col("rel")))
-    py = texts.where(F.col("rel").rlike(r"[^/]\.pyw?$"))
+    keyed = _keyed(files)
+    if known is not None:
+        old = known.select(F.col("kind").alias("o_kind"), F.col("key").alias("o_key"))
+        keyed = keyed.join(old, (F.col("kind") == F.col("o_kind")) & (F.col("key") == F.col("o_key")), "left_anti")
+    texts = keyed.groupBy("kind", "key").agg(F.any_value("content").alias("content"))
     name = r"[A-Za-z_][\w.]*"
     froms = F.regexp_extract_all("content", F.lit(rf"(?mU)^\s*from\s+({name})\s+import\s"), F.lit(1))
     # a list of names ends at the first one that is renamed
     lists = F.regexp_extract_all("content", F.lit(rf"(?mU)^\s*import\s+({name}(?:\s*,\s*{name})*)"), F.lit(1))
     plain = F.flatten(F.transform(lists, lambda x: F.transform(F.split(x, r"\s*,\s*"), lambda m: F.trim(m))))
-    module = py.select("repo_id", "rel", "base", F.explode(F.array_distinct(F.filter(F.concat(froms, plain), lambda m: m != ""))).alias("m"))
-    slashed = F.replace(F.col("m"), F.lit("."), F.lit("/"))
-    py_places = [_at(b, F.concat(slashed, F.lit(end))) for b in (F.lit(""), F.lit("src"), F.col("base")) for end in (".py", "/__init__.py")]
-    js = texts.where(" or ".join(f"rel like '%{e}'" for e in JS_EXTENSIONS))
     # a quoted path that begins with a dot, after "require(" or after "from" or "import" and a blank
     leads = "|".join([r"require\(\s*", r"from\s+", r"import\s+"])
-    named = F.regexp_extract_all("content", F.lit(rf"(?:{leads})[\"'](\.\.?/[^\"']+)[\"']"), F.lit(1))
-    wanted = js.select("repo_id", "rel", "base", F.explode(F.array_distinct(named)).alias("m"))
+    quoted = F.regexp_extract_all("content", F.lit(rf"(?:{leads})[\"'](\.\.?/[^\"']+)[\"']"), F.lit(1))
+    names = F.array_distinct(F.filter(F.when(F.col("kind") == "py", F.concat(froms, plain)).otherwise(quoted), lambda m: m != ""))
+    found = texts.select("kind", "key", names.alias("names"))
+    return found if known is None else found.unionByName(known.select("kind", "key", "names"))
+
+
+def imported(files: DataFrame, repo_files: DataFrame, known_modules: DataFrame | None = None) -> DataFrame:
+    """(repo_id, source, target): one hop from `files` (repo_id, rel) by local imports, and to Go files of the same package.
+
+    Only the sources' texts are read, each distinct one once, and not those of `known_modules`
+    (see named_modules); a package's files travel as one array per directory.
+    """
+    known = rankable(repo_files).select(F.col("repo_id").alias("k_repo"), F.col("rel").alias("k_rel"))
+    asked = files.select(F.col("repo_id").alias("a_repo"), F.col("rel").alias("a_rel")).distinct()
+    same = (F.col("repo_id") == F.col("a_repo")) & (F.col("rel") == F.col("a_rel"))
+    texts = rankable(repo_files).join(asked, same, "left_semi").withColumn("base", _dir(F.col("rel")))
+    named = named_modules(texts, known_modules).select(F.col("kind").alias("n_kind"), F.col("key").alias("n_key"), "names")
+    met = _keyed(texts).join(named, (F.col("kind") == F.col("n_kind")) & (F.col("key") == F.col("n_key"))).select("repo_id", "rel", "base", "kind", F.explode("names").alias("m"))
+    module, wanted = (met.where(F.col("kind") == k).drop("kind") for k in ("py", "js"))
+    slashed = F.replace(F.col("m"), F.lit("."), F.lit("/"))
+    py_places = [_at(b, F.concat(slashed, F.lit(end))) for b in (F.lit(""), F.lit("src"), F.col("base")) for end in (".py", "/__init__.py")]
     whole = tidy(parts(_at(F.col("base"), F.col("m"))))
     stem = F.regexp_replace(whole, r"(?<=[^/])\.[^./]+$", "")
     js_places = [F.when(whole != stem, whole), *[F.concat(stem, F.lit(e)) for e in JS_EXTENSIONS], *[F.concat(whole, F.lit(f"/index{e}")) for e in JS_EXTENSIONS]]
@@ -100,15 +124,15 @@ def failing_tests(parsed: DataFrame, runs: DataFrame, repo_files: DataFrame) ->
     return paths.join(placed, same).select("run_id", "rel").distinct()
 
 
-def rank_files(runs: DataFrame, parsed: DataFrame, resolved: DataFrame, repo_files: DataFrame, changed: DataFrame | None = None) -> DataFrame:
-    """run_id, rel, rank, reason, lines. resolved: run_id, rel, line of placed frames; changed: run_id, rel."""
+def rank_files(runs: DataFrame, parsed: DataFrame, resolved: DataFrame, repo_files: DataFrame, changed: DataFrame | None = None, known_modules: DataFrame | None = None) -> DataFrame:
+    """run_id, rel, rank, reason, lines. resolved: run_id, rel, line of placed frames; changed: run_id, rel; known_modules: a kept result of named_modules."""
     repo_of = runs.select(F.col("run_id").alias("q_id"), F.col("repo_id").alias("q_repo"))
     none = F.lit(None).cast("int")
     one = resolved.select("run_id", "rel", F.lit(1).alias("rank"), F.col("line").cast("int").alias("line"))
     # written, as it is read three times and its plan is a whole resolution
     two = staged(failing_tests(parsed, runs, repo_files)).select("run_id", "rel", F.lit(2).alias("rank"), none.alias("line"))
     seeds = one.unionByName(two).select("run_id", "rel").distinct().join(repo_of, F.col("run_id") == F.col("q_id"))
-    edges = imported(seeds.select(F.col("q_repo").alias("repo_id"), "rel"), repo_files).select(F.col("repo_id").alias("e_repo"), "source", "target")
+    edges = imported(seeds.select(F.col("q_repo").alias("repo_id"), "rel"), repo_files, known_modules).select(F.col("repo_id").alias("e_repo"), "source", "target")
     three = seeds.join(edges, (F.col("q_repo") == F.col("e_repo")) & (F.col("rel") == F.col("source"))).select("run_id", F.col("target").alias("rel"), F.lit(3).alias("rank"), none.alias("line"))
     all_ = one.unionByName(two).unionByName(three)
     if changed is not None:

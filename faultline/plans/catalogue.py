@@ -13,6 +13,7 @@ from faultline.functions import scalars
 from faultline.operators import ancestors
 from faultline.operators.longruns import parse_parts
 from faultline.operators.parse import distilled_failure, parse_runs, root_cause, unique_frames
+from faultline.operators.resolve import tail_index
 from faultline.operators.select import fold_budget
 from faultline.plans import packet, synth
 from faultline.sources import ingest
@@ -163,7 +164,8 @@ def turn_blocks(spark, sf_dir):
 def suffix_urls(spark, sf_dir):
     """Last path segments that name one page only."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.element_at(scalars.parts(F.regexp_replace("url", r"[?#].*$", "")), -1).alias("name"))
-    return p.groupBy("name").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id")).select("name", "n", F.when(F.col("n") == 1, F.col("page_id")).alias("page_id"))
+    files = p.select(F.lit("web").alias("repo_id"), F.col("page_id").alias("rel"), F.array("name").alias("path_parts"))
+    return tail_index(files).select(F.col("tail").alias("name"), "n", F.when(F.col("n") == 1, F.col("only")).alias("page_id"))
 
 
 def top3_per_group(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from faultline.functions import scalars
 from faultline.operators import ancestors, select
 from faultline.operators.parse import parse_runs
-from faultline.operators.rank import failing_tests, imported, manifests
+from faultline.operators.rank import failing_tests, imported, manifests, named_modules
 from faultline.operators.resolve import SKIPPED, file_index, resolve, sizes, tail_index
 from faultline.plans import packet
 
@@ -107,6 +107,20 @@ def test_imports_and_manifests(spark):
     assert {x.rel for x in manifests(runs, held).collect()} == {"app/pyproject.toml", "go.mod"}
 
 
+def test_modules_by_content(spark):
+    """A text that many repositories hold is read once, and one that is known not at all."""
+    rows = [(f"r{n}", rel, len(text), text) for n in range(20) for rel, text in {"a.py": "import lib\n", "copy.py": "import lib\n", "lib.py": f"x = {n % 2}\n", "web/a.js": "import './b'\n", "web/b.js": "y"}.items()]
+    files = spark.createDataFrame(rows, FILES)
+    modules = named_modules(files)
+    assert sorted((r.kind, r.names) for r in modules.collect()) == [("js", []), ("js", ["./b"]), ("py", []), ("py", []), ("py", ["lib"])]
+    want = {(f"r{n}", s, t) for n in range(20) for s, t in (("a.py", "lib.py"), ("copy.py", "lib.py"), ("web/a.js", "web/b.js"))}
+    assert {tuple(x) for x in imported(files, files).collect()} == {tuple(x) for x in imported(files, files, modules).collect()} == want
+    told = modules.withColumn("names", F.when(F.col("kind") == "py", F.array(F.lit("copy"))).otherwise(F.col("names")))
+    got = {(x.source, x.target) for x in imported(files, files, told).collect()}
+    assert got == {("a.py", "copy.py"), ("lib.py", "copy.py"), ("web/a.js", "web/b.js")}
+    assert sorted(x.kind for x in named_modules(files, modules.where("kind = 'js'")).collect()) == ["js", "js", "py", "py", "py"]
+
+
 def test_failing_tests_and_build(spark):
     files = {"pkg/tests/test_a.py": "def test(): pass\n" * 40, "tests/SpecB.java": "x", "tests/test_c.jsx": "x", "lib.py": "x\n", "changed.py": "y\n"}
     out = "FAILED tests/test_a.py::test_x\n" + 'Traceback (most recent call last):\n  File "/repo/lib.py", line 1, in f\nKeyError: 1'
