@@ -14,8 +14,10 @@ lang, source and doc_id are no features.
 
 Nulls: a null text is empty; empty texts have features of their own and a score.
 Labels that are null or of an unknown document are ignored; repeated rows are
-scored alike. Without labels of both kinds all scores are 0.5. A row with a null
-doc_id is scored, never learned from. Extra columns are ignored.
+scored alike. Of the rows and labels of one doc_id the one of least text hash, then of least
+label, is learned from. Without labels of both kinds all scores are 0.5. A row with a null
+doc_id is scored, never learned from. Extra columns are ignored. A very long text is read
+whole, in stretches of bounded size; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -95,7 +97,7 @@ def _featured(batches):
     for batch in batches:
         rows = _feature_rows(batch.column("text"))
         listed = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, WIDTH, dtype=np.int32)), pa.array(rows.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), listed], names=["quality", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("l_id"), batch.column("tag"), batch.column("quality"), listed], names=["l_id", "tag", "quality", "features"])
 
 
 class Model:
@@ -142,8 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, cut_scor
     asked = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("quality"))
     held = asked.orderBy(F.xxhash64("l_id"), "l_id").limit(max_rows).collect()  # max_rows at most
     some = F.broadcast(spark.createDataFrame([tuple(r) for r in held], "l_id long, quality int"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, F.col("doc_id") == F.col("l_id")).select("quality", "text")
-    found = rows.mapInArrow(_featured, "quality int, features array<double>").toPandas()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, F.col("doc_id") == F.col("l_id")).select("l_id", F.xxhash64("text").alias("tag"), "quality", "text")
+    each = rows.mapInArrow(_featured, "l_id long, tag long, quality int, features array<double>").groupBy("l_id").agg(F.min_by(F.struct("quality", "features"), F.struct("tag", "quality")).alias("one"))
+    found = each.select("one.*").toPandas()  # max_rows at most
     x = np.array(found["features"].tolist(), float).reshape(-1, WIDTH)
     y = found["quality"].to_numpy()
     order = np.lexsort((*x.T[:20], y)) if len(x) else []

@@ -18,7 +18,8 @@ document; the first document with a window keeps it, later ones learn which
 words they lose.
 
 Nulls: a null text has no words; a row with a null doc_id neither removes nor
-loses anything. Rows with one doc_id: neither is smaller, so they do not touch
+loses anything. A very long text is read whole, with memory in proportion to its
+length. Rows with one doc_id: neither is smaller, so they do not touch
 each other. Extra columns are ignored. Empty tables give no rows.
 """
 

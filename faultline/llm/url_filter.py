@@ -10,7 +10,8 @@ A url's host lies after the first "://" up to "/", "?", "#" or the end, with A-Z
 lower-cased; its path follows up to "?", "#" or the end. A null url or one
 without "://" has an empty host and path. Without a fitting rule the verdict is
 `default`. Rows are judged one by one: nulls, repeated rows, other columns and
-empty tables need nothing else. Two rules with one host and path are an error.
+empty tables need nothing else; a url of any length is read
+once. Two rules with one host and path are an error.
 """
 
 from __future__ import annotations

@@ -93,6 +93,29 @@ def test_classifier(spark):
     assert quality_classifier.fit(np.zeros((4, quality_classifier.WIDTH)), np.array([0, 1, 0, 1])).score(np.zeros((1, quality_classifier.WIDTH))).shape == (1,)
 
 
+def test_classifier_edges(spark):
+    """Repeated documents and labels, long texts, clashing columns, empty tables."""
+    texts = [(i, ("Plain words that are easy to read and to keep.\n" if i % 2 == 0 else "BUY!! NOW!! ### $$$ ") * (1 + i % 3)) for i in range(40)]
+    docs = spark.createDataFrame([(*r, 0.5, "x") for r in texts], "doc_id long, text string, score double, tag string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality_classifier.train(docs, labels)
+    again = quality_classifier.train(docs.unionByName(docs).repartition(5), labels.unionByName(labels).repartition(3))
+    assert np.allclose(model.weights, again.weights) and model.threshold == again.threshold
+    both = quality_classifier.train(docs.unionByName(docs.selectExpr("doc_id", "'other text' as text", "score", "tag")), labels.unionByName(labels.selectExpr("doc_id", "1 - quality as quality")))
+    assert np.isfinite(both.weights).all()
+    long = spark.createDataFrame([(1, "Plain words that are easy to read and to keep.\n" * 100_000), (2, "BUY!! NOW!! ### $$$ " * 100_000), (2, "BUY!! NOW!! ### $$$ " * 100_000)], "doc_id long, text string")
+    got = [(r.doc_id, r.predicted, r.score) for r in quality_classifier.rate(long, model).collect()]
+    assert sorted(x[:2] for x in got) == [(1, 1), (2, 0), (2, 0)] and len({x[2] for x in got if x[0] == 2}) == 1
+    assert quality_classifier.rate(docs.limit(0), model).count() == 0
+    assert quality_classifier.train(docs.limit(0), labels).score(np.zeros((1, quality_classifier.WIDTH)))[0] == 0.5
+
+
+def test_long_urls(spark):
+    rows = [(1, "http://example.org/en/1" + "x/" * 500_000), (2, "a." * 100_000 + "org"), (3, "http://" + "a." * 100_000 + "org/es")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), url_filter.RULES).collect()}
+    assert got == {1: ("example.org/en/1", "block"), 2: (None, "allow"), 3: ("org/", "allow")}
+
+
 TEXT = "Mail Ann.Lee7@mail.example.com or ann.lee7@mail.example.com, call +1 (212) 555-7890, from 10.0.0.77 pay 4539 1488 0343 6467; key 0a1b2c3d4e5f60718293a4b5c6d7e8f901234567. Frau Müller met Mr. Иванов. No 123456."
 
 
