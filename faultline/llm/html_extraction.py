@@ -7,7 +7,8 @@ comments are bad by element, role or name. The second pass decides the ambiguous
 a short block takes the label of its nearest decided neighbour (at equal distance the
 one before it, a heading that of what follows), a nearly good one is bad only between
 bad ones; a short block at an edge of a marked article is good. Where the markup names the article, blocks outside it are
-bad, and neighbours are looked for inside it only.
+bad, and neighbours are looked for inside it only. Where names leave a page that has an
+article without any text (a layout called after its sidebar, say), they are not heeded.
 
 Defined cases: null or empty html and pages without main text give an empty text.
 An unclosed comment, script or tag runs to the page's end. Pages of any length are read
@@ -57,7 +58,7 @@ HOLDERS = frozenset("ul ol menu dl table".split())
 SOFT = frozenset("nav menu form fieldset header".split())
 HARD = frozenset("aside dialog footer search".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
-SOFT_NAMES = frozenset("ad ads adsense advert adverts advertisement advertisements advertising alert announcement banner breadcrumb breadcrumbs consent cookie cookies form gdpr header login masthead menu menubar nav navbar navigation notice notices notification pager pagination paywall popup promo promotion search signup sponsor sponsored sponsors subscribe subscription toolbar topbar".split())
+SOFT_NAMES = frozenset("ad ads adsbygoogle adsense advert adverts advertisement advertisements advertising alert announcement banner breadcrumb breadcrumbs consent cookie cookies form gdpr header login masthead menu menubar nav navbar navigation notice notices notification pager pagination paywall popup promo promotion search signup sponsor sponsored sponsors subscribe subscription toc toolbar topbar".split())
 HARD_NAMES = frozenset("comment comments commentlist copyright discussion disqus footer hidden legal modal newsletter overlay recommended recommendations related replies reply respond share sharebar sharing sidebar sidebars social tags trending widget widgets".split())
 HOLDING = frozenset("article content entry main post story".split())
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -67,6 +68,7 @@ _TOKEN = re.compile(
     r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>|</[^>]*>|<(?P<open>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"'=]++|=\s*+"[^"]*"|=\s*+'[^']*'|["'=])*+)>""",
     re.S,
 )
+_ARTICLE = re.compile(r"<(?:article|main)[\s>]", re.I)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 GOOD, NEAR, AMBIGUOUS, BAD = "good", "near", "short", "bad"
@@ -91,7 +93,7 @@ class Place:
         self.tag, self.barred, self.muted, self.tagged, self.named = tag, barred, muted, tagged, named
 
 
-def _marks(tag: str, rest: str) -> tuple[int, bool, bool]:
+def _marks(tag: str, rest: str, names: bool) -> tuple[int, bool, bool]:
     """How an element bars its text (0 no, 1 soft, 2 hard), whether it is hidden, and whether its name says article."""
     barred = 2 if tag in HARD else 1 if tag in SOFT else 0
     if "=" not in rest and "hidden" not in rest:
@@ -108,7 +110,7 @@ def _marks(tag: str, rest: str) -> tuple[int, bool, bool]:
                 barred = max(barred, 2 if value in ("complementary", "contentinfo") else 1)
         elif name == "itemprop" and value == "articleBody":
             holds = True
-        elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+        elif names and name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             for part in value.split():
                 words = [w.lower() for w in _NAME.findall(part)]
                 if words and words[0] in ("no", "has", "with", "without"):
@@ -126,7 +128,8 @@ def _marks(tag: str, rest: str) -> tuple[int, bool, bool]:
 class _Reader:
     """Cuts one page into blocks."""
 
-    def __init__(self) -> None:
+    def __init__(self, names: bool = True) -> None:
+        self.names = names  # do classes and ids count?
         self.blocks: list[Block] = []
         self.stack = [Place("")]
         self.parts: list[str] = []
@@ -201,7 +204,7 @@ class _Reader:
                 self.push(Place(tag, 2, True))
         elif tag not in VOID and tag not in RAW:
             outer = self.stack[-1]
-            barred, hidden, holds = _marks(tag, rest)
+            barred, hidden, holds = _marks(tag, rest, self.names)
             if tag not in BLOCKS:
                 if barred or hidden:
                     self.push(Place(tag, 2, True))
@@ -316,9 +319,12 @@ def _inherit(group: list[Block], undecided, nearly: bool, alone: str) -> None:
 
 def main_blocks(page: str | None) -> list[tuple[str, bool]]:
     """Every block of a page in order, and whether it is main text."""
-    blocks = _Reader().read(page or "")
-    _first_pass(blocks)
-    _second_pass(blocks)
+    for names in (True, False):
+        blocks = _Reader(names).read(page or "")
+        _first_pass(blocks)
+        _second_pass(blocks)
+        if any(b.label == GOOD for b in blocks) or not _ARTICLE.search(page or ""):
+            break
     return [(b.text, b.label == GOOD) for b in blocks]
 
 

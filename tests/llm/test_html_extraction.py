@@ -37,6 +37,12 @@ def test_unclosed_and_nested():
     assert kept("") == kept(None) == kept("<<<>>></ ><!>") == []
 
 
+def test_names_of_layouts():
+    assert kept("<div class='sidebar-layout'><nav>n</nav><article><p>a<p class='ad'>b</article></div>") == ["a", "b"]  # names aren't heeded then
+    assert kept("<div class='has-sidebar'><article><p>a<p class='ad'>b</article></div>") == ["a"]
+    assert kept("<div class='comments'><p>" + PROSE + "</div>") == []
+
+
 def test_linear_time():
     began = time.time()
     for bit in ("<a \"", "<!--", "<div>", "<p>x", "<li>", '<a ="', "&", "<b class=ad>", "</i>", "<tr>", "<script>", "<p>x <a href=y>z"):
