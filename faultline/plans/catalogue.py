@@ -13,8 +13,8 @@ from faultline.functions import scalars
 from faultline.operators import ancestors
 from faultline.operators.longruns import parse_parts
 from faultline.operators.parse import distilled_failure, parse_runs, root_cause, unique_frames
-from faultline.operators.resolve import tail_index
-from faultline.operators.select import fold_budget
+from faultline.operators.resolve import file_index, sizes, tail_index
+from faultline.operators.select import fold_budget, line_index, spans, window_length, windowed
 from faultline.plans import packet, synth
 from faultline.sources import ingest
 from faultline.sources.staging import staged
@@ -145,6 +145,25 @@ def repo_tokens(spark, sf_dir):
     return ingest.repo_tokens(files).select(F.col("repo_id").alias("lang"), F.col("repo_tokens").alias("tokens"))
 
 
+def walk_index(spark, sf_dir):
+    """The first files of each language in walk order, with each document as a file, and whether there are more."""
+    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    folder = F.concat(F.lit("d "), F.col("doc_id") % 5)
+    rel = F.when(F.col("doc_id") % 3 == 0, F.concat_ws("/", "source", folder, name)).when(F.col("doc_id") % 3 == 1, F.concat_ws("/", "source", name)).otherwise(name)
+    files = _docs(spark, sf_dir).select(F.col("lang").alias("repo_id"), rel.alias("rel"))
+    many = sizes(files, 150).select(F.col("repo_id").alias("s_repo"), "truncated")
+    return file_index(files, 150).join(many, F.col("repo_id") == F.col("s_repo")).select(F.col("repo_id").alias("lang"), "rel", "name", "truncated")
+
+
+def window_text(spark, sf_dir):
+    """The lines around three references in each document, as a trimmed file shows them."""
+    refs = F.array(*[(F.col("doc_id") % n + k).cast("int") for n, k in ((50, 1), (300, 1), (7, 70))])
+    files = _docs(spark, sf_dir).select(F.lit("d").alias("repo_id"), F.col("doc_id").cast("string").alias("rel"), F.col("text").alias("content"), "doc_id", refs.alias("refs"))
+    ends = line_index(files).select(F.col("rel").alias("e_rel"), "ends", "chars")
+    cut = files.join(ends, F.col("rel") == F.col("e_rel")).withColumn("cuts", spans(F.col("refs"), F.col("ends"), 5))
+    return cut.select("doc_id", window_length(F.col("cuts"), F.col("chars")).alias("n_chars"), F.sha2(windowed(F.col("content"), F.col("cuts")), 256).alias("sha"))
+
+
 def secret_filter(spark, sf_dir):
     words = _docs(spark, sf_dir).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))).alias("name")).distinct()
     return words.where(scalars.is_secret(F.col("name")))
@@ -187,7 +206,7 @@ def dedupe_first(spark, sf_dir):
     return lines.groupBy("doc_id", "line").agg(F.min("line_no").alias("line_no")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("line_no").cast("long").alias("places"))
 
 
-_QUERIES = [parse_frames, session_frames, failure_line, frames_by_language, stack_order, diagnostics_first, failed_tests, resolve_paths, page_roots, rank_files, packet_fields, packet_summary, budget_select, token_estimate, repo_tokens, secret_filter, cap_text, turn_blocks, suffix_urls, top3_per_group, error_sessions, dedupe_first]
+_QUERIES = [parse_frames, session_frames, failure_line, frames_by_language, stack_order, diagnostics_first, failed_tests, resolve_paths, page_roots, rank_files, packet_fields, packet_summary, budget_select, token_estimate, repo_tokens, walk_index, window_text, secret_filter, cap_text, turn_blocks, suffix_urls, top3_per_group, error_sessions, dedupe_first]
 
 
 def queries() -> dict:
@@ -297,6 +316,15 @@ _ORACLES |= {
       select doc_id, count(*) as n_lines, cast(sum(n) as bigint) as places from f group by doc_id""",
     "token_estimate": "select doc_id, cast((length(text) + 3) // 4 as bigint) as tokens, cast((strlen(text) + 3) // 4 as bigint) as byte_tokens from documents",
     "repo_tokens": "select lang, cast(sum((strlen(text) + 3) // 4) as bigint) as tokens from documents where strlen(text) between 1 and 1000000 group by lang",
+    "walk_index": """with f as (select lang, 'f' || doc_id || '.txt' as name, case doc_id % 3 when 0 then [source, 'd ' || (doc_id % 5)] when 1 then [source] else [] end as dirs from documents),
+      w as (select lang, name, array_to_string(list_append(dirs, name), '/') as rel, list_append(list_transform(dirs, lambda d: '2' || d), '1' || name) as walk from f),
+      r as (select *, row_number() over (partition by lang order by walk) as nth, count(*) over (partition by lang) as n from w)
+      select lang, rel, name, n > 150 as truncated from r where nth <= 150""",
+    "window_text": """with s as (select doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]') as parts, [doc_id % 50 + 1, doc_id % 300 + 1, doc_id % 7 + 70] as refs from documents where text is not null),
+      l as (select doc_id, refs, case when parts[-1] = '' then parts[:-2] else parts end as rows from s),
+      k as (select doc_id, rows, list_sort(list_distinct(flatten(list_transform(refs, lambda r: range(greatest(1, r - 5), least(len(rows), r + 5) + 1))))) as kept from l),
+      t as (select doc_id, coalesce(array_to_string(list_transform(kept, lambda i, j: case when j > 1 and kept[j - 1] < i - 1 then '...' || chr(10) else '' end || rows[i]), chr(10)), '') as text from k)
+      select doc_id, length(text) as n_chars, sha256(text) as sha from t""",
     "secret_filter": "select distinct name from (select unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as name from documents) where regexp_matches(name, '(?i)" + "|".join(scalars.SECRET) + "')",
     "cap_text": "select doc_id, sha256(case when length(text) > 20000 then left(text, 20000) || chr(10) || '... [truncated]' else text end) as sha, length(text) > 20000 as capped from documents",
     "turn_blocks": "select conv_id, turn, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as block from conversations",
