@@ -285,7 +285,9 @@ def _read(batches):
         made = []
         for text, start in zip(batch.column("text").to_pylist(), batch.column("start").to_pylist(), strict=True):
             sheet = read_part(text or "", pickle.loads(start))
-            made.append(_packed({k: getattr(sheet, k) for k in _KEPT}))
+            told = {k: getattr(sheet, k) for k in _KEPT}
+            some = any(any(v.values()) if k in ("frames", "errors") else v for k, v in told.items())
+            made.append(_packed(told) if some else None)
         yield pa.RecordBatch.from_arrays([batch.column("run_id"), batch.column("at"), pa.array(made, pa.binary())], names=["run_id", "at", "shown"])
 
 
@@ -329,7 +331,7 @@ def parse_parts(parts: DataFrame, spacing: int = PART) -> DataFrame:
             starts = staged(below.join(held, (F.col("run_id") == F.col("s_id")) & (F.col("at") == F.col("s_at")), "left").select("run_id", "at", "effects", "start", "g"))
     held = staged(began).select(F.col("run_id").alias("s_id"), F.col("at").alias("s_at"), "start")
     shown = parts.join(held, (F.col("run_id") == F.col("s_id")) & (F.col("at") == F.col("s_at"))).select("run_id", "at", "text", "start").mapInArrow(_read, "run_id long, at long, shown binary")
-    rows = shown.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("at", "shown"))).alias("shown"))
+    rows = shown.groupBy("run_id").agg(F.array_sort(F.collect_list(F.when(F.col("shown").isNotNull(), F.struct("at", "shown")))).alias("shown"))
     return rows.mapInArrow(_together, "run_id long, " + PARSED_DDL)
 
 
