@@ -3,8 +3,9 @@
 A run's readers (parse.py) are machines whose modes decide what a line means, so a part
 can't be read before it is known how the part before it ended. Four steps:
 
-1. Each part is read from every combination of modes that it may start in. Machines that
-   come to equal modes go on as one, which most do within a few lines. What a part does
+1. Each part is read from every combination of modes that it may start in. A mode is left
+   open until a line depends on it, and machines that come to equal modes go on as one,
+   which most do within a few lines. What a part does
    to the readers is kept as effects: the modes it ends in, and what it leaves in their
    registers (open blocks, symbols, pending headers), in terms of what they held before.
 2. Effects are composed. Composing is associative, so neighbouring parts are joined in
@@ -13,8 +14,8 @@ can't be read before it is known how the part before it ended. Four steps:
 4. Each part is read again, now for its frames, errors and so on, and a run's results are
    put together in order.
 
-No task holds more than FAN parts, but for the last step, which makes one row of a run's
-results. A run's lines may be cut into parts anywhere between two lines.
+No task holds more than FAN parts, but for the last step of parse_parts, which makes one
+row of a run's results; frames_of_parts makes a row of each frame. A run's lines may be cut into parts anywhere between two lines.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.operators.parse import _TYPES, PARSED_DDL, Machine, Sheet, marks, parse_runs, report, stirs
+from faultline.operators import scan
+from faultline.operators.parse import _TYPES, COMPILERS, FRAME, PARSED_DDL, RUST, TRACEBACK, Go, Machine, Rust, Sheet, folded, marks, parse_runs, report, stirs
 from faultline.sources.staging import staged
 
 #: Characters of a part, and parts (or groups of them) that are composed in one task.
@@ -176,51 +178,126 @@ def compose(a: Effect, b: Effect) -> Effect:
     return Effect(b.modes, registers, a.opened + b.opened + len(always), tuple(conditions), a.diagnostics + b.diagnostics)
 
 
-def effects_of(text: str) -> dict[tuple, Effect]:
-    """What a part does, for each combination of modes that it may start in."""
-    unknown = {r: In(r) for r in _BLOCKS + _OTHERS}
+#: What a reader's mode may be while that is left open; the reader goes on as with the first of them.
+OPEN = (("idle", "body"), ("idle", "backtrace"), ("idle", "goroutine"), tuple(_LEVELS))
+_CPYTHON, _RUST, _GO, _LEVEL = range(4)
+_SAME = {modes: modes for modes in MODES}
+
+
+class Live(NamedTuple):
+    """A machine, the modes of a part's start that it stands for, and the readers whose modes are left open."""
+
+    starts: list
+    machine: Machine
+    open: frozenset
 
-    def fresh(modes: tuple) -> Machine:
-        return _load(Machine(Trace()), modes, unknown)
 
-    done: dict[tuple, Effect | None] = dict.fromkeys(MODES)
-    live = [([modes], fresh(modes)) for modes in MODES]
-    since = 0  # line at which the live machines began
+def _matches(scanners: list, line: str) -> bool:
+    return any(found is not None and found is not False for found in (scanner(line) for scanner, _ in scanners))
+
+
+def _asked(live: Live, line: str, found: int, stirring: bool) -> set:
+    """Those of the open modes on which the line's meaning may depend."""
+    asked = set()
+    if _CPYTHON in live.open and TRACEBACK not in line:
+        asked.add(_CPYTHON)
+    if _RUST in live.open and (found & RUST or (stirring and _matches(Rust._inside, line))):
+        asked.add(_RUST)
+    if _GO in live.open and stirring and _matches(Go._inside, line):
+        asked.add(_GO)
+    if _LEVEL in live.open and (found & COMPILERS or live.machine.compilers.busy) and (scan.rustc_span(line) or scan.rustc_header(line) or scan.rustc_label(line)):
+        asked.add(_LEVEL)
+    return asked
+
+
+def effects_of(text: str) -> dict[tuple, Effect]:
+    """What a part does, for each combination of modes that it may start in.
 
-    def close(starts: list[tuple], machine: Machine, n_lines: int) -> None:
-        effect = _effect(machine, n_lines)
-        for modes in starts:
+    A reader's mode is left open until a line's meaning depends on it, so few machines are
+    needed at a time. Effects that share their registers differ by modes only.
+    """
+    unknown = {r: In(r) for r in _BLOCKS + _OTHERS}
+    kinds = {(told, label): {**unknown, "told": In("told") if told else None, "unlabelled": In("unlabelled") if label else None} for told in (False, True) for label in (False, True)}
+    done = {modes: Effect(modes, kinds[modes[4] is not None, modes[3][1]], 0, (), 0) for modes in MODES}
+
+    def fresh(starts: list[tuple], left: frozenset) -> Live:
+        now = done[starts[0]].modes
+        modes = tuple(OPEN[k][0] if k in left else mode for k, mode in enumerate(now))
+        return Live(starts, _load(Machine(Trace()), modes, unknown), left)
+
+    def close(live: Live, n_lines: int) -> None:
+        effect = _effect(live.machine, n_lines)
+        if _LEVEL in live.open:
+            effect = effect._replace(registers={**effect.registers, "unlabelled": In("unlabelled")})
+        made: dict[int, Effect] = {}
+        for modes in live.starts:
+            before = done[modes]
+            if id(before.registers) not in made:
+                after = compose(before, effect)
+                made[id(before.registers)] = held.setdefault((tuple(after.registers.values()), *after[2:]), after)
+        for modes in live.starts:
             before = done[modes]
-            done[modes] = effect if before is None else compose(before, effect)
+            now = tuple(b if k in live.open else e for k, (b, e) in enumerate(zip(before.modes, effect.modes, strict=True)))
+            done[modes] = made[id(before.registers)]._replace(modes=_SAME[now])
+
+    alike: dict[tuple, list] = {}
+    for modes in MODES:
+        alike.setdefault((modes[_RUST] == "awaiting", modes[4]), []).append(modes)
+    every = frozenset(range(4))
+    held: dict[tuple, Effect] = {}  # equal effects as one, but for their modes
+    running = [fresh(starts, every - {_RUST} if awaiting else every) for (awaiting, _), starts in alike.items()]
+    since = 0  # line at which the running machines began
 
     lines = text.splitlines()
     for number, line in enumerate(lines):
         found, stirring, turned = marks(line), stirs(line), False
-        for _, machine in live:
+        asked = [_asked(live, line, found, stirring) for live in running]
+        if any(asked):
+            groups = []
+            for live, wanted in zip(running, asked, strict=True):
+                if number > since:
+                    close(live, number - since)
+                parted: dict[tuple, list] = {}
+                for modes in live.starts:
+                    parted.setdefault(tuple(done[modes].modes[k] for k in wanted), []).append(modes)
+                groups += [(starts, live.open - wanted) for starts in parted.values()]
+            running, since = [fresh(*g) for g in groups], number
+        for at, (starts, machine, left) in enumerate(running):
             if found or machine.alert() or (stirring and machine.inside()):
                 before = _modes(machine)
                 machine.read(number - since, line, found)
-                turned = turned or _modes(machine) != before
-        if turned and len(live) > 1:
+                now = _modes(machine)
+                if now != before:
+                    turned = True
+                    running[at] = Live(starts, machine, left - {k for k in left if now[k] != before[k]})
+        if turned and len(running) > 1:
             met: dict[tuple, list] = {}
-            for starts, machine in live:
-                met.setdefault(_modes(machine), []).append((starts, machine))
-            if len(met) < len(live):
-                for group in met.values():
-                    for starts, machine in group:
-                        close(starts, machine, number + 1 - since)
-                live = [([modes for starts, _ in group for modes in starts], fresh(now)) for now, group in met.items()]
+            for live in running:
+                met.setdefault((_modes(live.machine), live.open), []).append(live)
+            if len(met) < len(running):
+                for live in running:
+                    close(live, number + 1 - since)
+                running = [fresh([modes for live in group for modes in live.starts], left) for (_, left), group in met.items()]
                 since = number + 1
-    for starts, machine in live:
-        close(starts, machine, len(lines) - since)
+    if len(lines) > since:
+        for live in running:
+            close(live, len(lines) - since)
     return done
 
 
 def joined(parts: list[dict[tuple, Effect]]) -> dict[tuple, Effect]:
-    """The effects of parts that follow one another."""
+    """The effects of parts that follow one another; those that share their registers are composed once."""
     whole = parts[0]
     for part in parts[1:]:
-        whole = {modes: compose(effect, part[effect.modes]) for modes, effect in whole.items()}
+        made: dict[tuple, Effect] = {}
+        after = {}
+        for modes, effect in whole.items():
+            then = part[effect.modes]
+            pair = id(effect.registers), id(then.registers)
+            if pair not in made:
+                made[pair] = compose(effect, then)
+            after[modes] = made[pair]._replace(modes=then.modes)
+        whole = after
     return whole
 
 
@@ -304,12 +381,8 @@ def _together(batches):
         yield pa.RecordBatch.from_arrays([batch.column("run_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in _TYPES.items())], names=["run_id", *_TYPES])
 
 
-def parse_parts(parts: DataFrame, spacing: int = PART) -> DataFrame:
-    """run_id and the parsed parts of each run, as parse_runs gives them; parts: run_id, at, text.
-
-    at: a part's place in its run, in characters or bytes; two parts are about `spacing`
-    apart, so that FAN of them span FAN * spacing. A null text is empty.
-    """
+def _begun(parts: DataFrame, spacing: int) -> DataFrame:
+    """run_id, at, text, start: the parts with the state at which each begins."""
     parts = parts.select(F.col("run_id").cast("long").alias("run_id"), F.col("at").cast("long").alias("at"), "text")
     ddl = "run_id long, at long, effects binary"
     levels = [staged(parts.mapInArrow(_summaries, ddl))]
@@ -330,11 +403,49 @@ def parse_parts(parts: DataFrame, spacing: int = PART) -> DataFrame:
             held = began.select(F.col("run_id").alias("s_id"), F.col("at").alias("s_at"), "start")
             starts = staged(below.join(held, (F.col("run_id") == F.col("s_id")) & (F.col("at") == F.col("s_at")), "left").select("run_id", "at", "effects", "start", "g"))
     held = staged(began).select(F.col("run_id").alias("s_id"), F.col("at").alias("s_at"), "start")
-    shown = parts.join(held, (F.col("run_id") == F.col("s_id")) & (F.col("at") == F.col("s_at"))).select("run_id", "at", "text", "start").mapInArrow(_read, "run_id long, at long, shown binary")
+    return parts.join(held, (F.col("run_id") == F.col("s_id")) & (F.col("at") == F.col("s_at"))).select("run_id", "at", "text", "start")
+
+
+def parse_parts(parts: DataFrame, spacing: int = PART) -> DataFrame:
+    """run_id and the parsed parts of each run, as parse_runs gives them; parts: run_id, at, text.
+
+    at: a part's place in its run, in characters or bytes; two parts are about `spacing`
+    apart, so that FAN of them span FAN * spacing. A null text is empty.
+    """
+    shown = _begun(parts, spacing).mapInArrow(_read, "run_id long, at long, shown binary")
     rows = shown.groupBy("run_id").agg(F.array_sort(F.collect_list(F.when(F.col("shown").isNotNull(), F.struct("at", "shown")))).alias("shown"))
     return rows.mapInArrow(_together, "run_id long, " + PARSED_DDL)
 
 
+def _placed(batches):
+    """The frames of each part, one a row, with their number in its direct or late family."""
+    for batch in batches:
+        for run, at, text, start in zip(*(batch.column(n).to_pylist() for n in ("run_id", "at", "text", "start")), strict=True):
+            frames = read_part(text or "", pickle.loads(start)).frames
+            rows = [{"run_id": run, "at": at, "late": late, "nth": nth, **f} for late in (False, True) for nth, f in enumerate(frames["late" if late else "direct"])]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _PLACED)
+
+
+_PLACED = pa.schema([("run_id", pa.int64()), ("at", pa.int64()), ("late", pa.bool_()), ("nth", pa.int64()), *FRAME])
+_PLACED_DDL = "run_id long, at long, late boolean, nth long, path string, line int, function string, language string, path_hint string, vendored boolean, block int"
+
+
+def frames_of_parts(parts: DataFrame, spacing: int = PART) -> DataFrame:
+    """unique_frames(parse_parts(parts, spacing)), without a row or a task for all frames of a run.
+
+    Only the numbers of frames in the parts of a run are put in order.
+    """
+    shown = staged(_begun(parts, spacing).mapInArrow(_placed, _PLACED_DDL))
+    order = Window.partitionBy("c_id").orderBy("c_late", "c_at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = shown.groupBy(F.col("run_id").alias("c_id"), F.col("late").alias("c_late"), F.col("at").alias("c_at")).agg(F.count("*").alias("n"))
+    before = counts.select("c_id", "c_late", "c_at", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    fields = F.struct("late", "at", "nth", *[f.name for f in FRAME])
+    first = shown.groupBy("run_id", folded(F.col("path")).alias("place"), F.col("line").alias("at_line")).agg(F.min(fields).alias("f")).select("run_id", "f.*")
+    met = first.join(before, (F.col("run_id") == F.col("c_id")) & (F.col("late") == F.col("c_late")) & (F.col("at") == F.col("c_at")))
+    return met.select("run_id", (F.col("before") + F.col("nth")).cast("int").alias("pos"), *[f.name for f in FRAME])
+
+
 def cut_text(text: str, size: int) -> Iterator[tuple[int, str]]:
     """(place, text) of parts of at least `size` characters, cut after line breaks; a longer line stays whole."""
     at = 0

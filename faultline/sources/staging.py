@@ -24,6 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over as many tasks as spark.sql.shuffle.partitions says, by keys if there are any.
+
+    For steps whose work is large for their bytes: Spark would join their partitions by size, or read a file's row group in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The frame, computed once and written as a table, so that plans that read it stay short and a lost executor loses none of it.
 

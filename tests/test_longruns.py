@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import longruns
-from faultline.operators.parse import SEPARATORS, parse_runs, parse_text, report
+from faultline.operators.parse import SEPARATORS, parse_runs, parse_text, report, unique_frames
 from faultline.sources import ingest
 
 #: Lines that open, carry on or end something in one reader or another.
@@ -71,3 +71,26 @@ def test_log_parts(spark, tmp_path):
 def test_cut_text():
     assert list(longruns.cut_text("ab\ncd\nefgh\ni", 3)) == [(0, "ab\n"), (3, "cd\n"), (6, "efgh\n"), (11, "i")]
     assert list(longruns.cut_text("long line", 3)) == [(0, "long line")] and list(longruns.cut_text("", 3)) == []
+
+
+def test_frames_of_parts(spark, monkeypatch):
+    """One row a frame, from no row of all frames of a run."""
+    monkeypatch.setattr(longruns, "FAN", 3)
+    rnd = random.Random(5)
+    places = [f"{lead}t{k}.py:{k}: in f" for k in range(3) for lead in ("", "./", ".\\")]
+    parts = [(run, at * 10, "\n".join(rnd.choice(LINES + places) for _ in range(rnd.randint(0, 30))) + "\n") for run in range(4) for at in range(20)]
+    df = spark.createDataFrame([*parts, (9, 0, None)], "run_id long, at long, text string")
+    want = sorted(map(tuple, unique_frames(longruns.parse_parts(df, 10)).collect()), key=str)
+    monkeypatch.setattr(longruns, "report", None)
+    assert sorted(map(tuple, longruns.frames_of_parts(df, 10).collect()), key=str) == want and len(want) > 50
+    assert longruns.frames_of_parts(df.limit(0), 10).count() == 0
+
+
+def test_few_machines(monkeypatch):
+    """Modes on which no line depends make no machines of their own."""
+    text = 'plain\nTraceback (most recent call last):\n  File "a.py", line 2, in f\n    go()\nKeyError: 1\n' * 20
+    made = []
+    monkeypatch.setattr(longruns, "compose", lambda a, b, real=longruns.compose: made.append(1) or real(a, b))
+    monkeypatch.setattr(longruns, "Trace", lambda real=longruns.Trace: made.append(1) or real())
+    longruns.effects_of(text)
+    assert len(made) < 100
