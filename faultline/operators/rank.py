@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.scalars import REASONS, literal_map, parts, tidy
+from faultline.functions.scalars import REASONS, let, literal_map, parts, tidy
 from faultline.operators.parse import JS_EXTENSIONS
 from faultline.operators.resolve import resolve, skipped_dir
-from faultline.sources.staging import staged
+from faultline.sources.staging import staged, weighed
 
 #: Manifests looked for from the working directory upwards.
 MANIFESTS = ["Cargo.toml", "Pipfile", "go.mod", "package.json", "pyproject.toml", "requirements.txt", "setup.py"]
 #: Extensions of files that a command may name as tests.
 TEST_EXTENSIONS = ["py", "js", "mjs", "ts", "go", "rs", "java", "kt"]
 MAX_SIZE = 512_000
+#: Files beside others, in all, up to which their arrays may be broadcast.
+MAX_BROADCAST = 200_000
 
 
 def rankable(repo_files: DataFrame) -> DataFrame:
@@ -97,50 +99,86 @@ def imported(files: DataFrame, repo_files: DataFrame, known_modules: DataFrame |
 
 
 def manifests(runs: DataFrame, repo_files: DataFrame) -> DataFrame:
-    """(run_id, rel): the nearest manifest of each name from the run's cwd up to the root."""
-    steps = parts(F.coalesce("cwd", F.lit("")))
-    up = runs.select("run_id", "repo_id", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, F.lit(1), n), "/").alias("dir")))).alias("a")).select("run_id", "repo_id", "a.*")
+    """(run_id, repo_id, rel): the nearest manifest of each name from the run's cwd up to the root. Only distinct directories are looked up."""
+    cwd = F.coalesce("cwd", F.lit(""))
+    asked = runs.select("repo_id", cwd.alias("cwd")).distinct()
+    steps = parts(F.col("cwd"))
+    up = asked.select("repo_id", "cwd", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, F.lit(1), n), "/").alias("dir")))).alias("a")).select("repo_id", "cwd", "a.*")
     named = rankable(repo_files).withColumn("name", F.element_at(F.split("rel", "/"), -1)).where(F.col("name").isin(MANIFESTS)).select(F.col("repo_id").alias("m_repo"), "rel", "name", _dir(F.col("rel")).alias("m_dir"))
-    return up.join(named, (F.col("repo_id") == F.col("m_repo")) & (F.col("dir") == F.col("m_dir"))).groupBy("run_id", "name").agg(F.max_by("rel", "depth").alias("rel")).select("run_id", "rel")
+    nearest = up.join(named, (F.col("repo_id") == F.col("m_repo")) & (F.col("dir") == F.col("m_dir"))).groupBy("repo_id", "cwd", "name").agg(F.max_by("rel", "depth").alias("rel"))
+    held = staged(nearest.select(F.col("repo_id").alias("n_repo"), F.col("cwd").alias("n_cwd"), "rel"))
+    return runs.select("run_id", "repo_id", cwd.alias("cwd")).join(held, (F.col("repo_id") == F.col("n_repo")) & (F.col("cwd") == F.col("n_cwd"))).select("run_id", "repo_id", "rel")
 
 
 def failing_tests(parsed: DataFrame, runs: DataFrame, repo_files: DataFrame) -> DataFrame:
-    """(run_id, rel): test files that the output names, and those under the working directory that the command does.
+    """(run_id, repo_id, rel): test files that the output names, and those under the working directory that the command does.
 
     What the output names is placed like a frame's path, by the longest tail if need be.
     """
-    where = runs.select(F.col("run_id").alias("r_id"), "repo_id", "cwd", _root(runs))
-    said = parsed.select("run_id", F.explode("failed_tests.path").alias("path"))
-    word = runs.select("run_id", F.explode("command").alias("w")).select("run_id", F.substring_index("w", "::", 1).alias("path"))
+    where = runs.select(F.col("run_id").alias("r_id"), "repo_id", "cwd", _root(runs), "command")
+    keys = ["run_id", "repo_id", "cwd", "root", "path"]
+    said = parsed.select("run_id", F.explode("failed_tests.path").alias("path")).join(where, F.col("run_id") == F.col("r_id")).select(*keys)
+    word = where.withColumn("run_id", F.col("r_id")).withColumn("w", F.explode("command")).withColumn("path", F.substring_index("w", "::", 1)).select(*keys)
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     asked = word.where(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1).isin(TEST_EXTENSIONS) & name.rlike("test|spec"))
-    at = asked.join(where, F.col("run_id") == F.col("r_id")).withColumn("under", tidy(F.concat(parts(F.coalesce("cwd", F.lit(""))), parts(F.col("path")))))
+    at = asked.withColumn("under", tidy(F.concat(parts(F.coalesce("cwd", F.lit(""))), parts(F.col("path")))))
     known = repo_files.select(F.col("repo_id").alias("k_repo"), F.col("rel").alias("k_rel"))
-    there = at.join(known, (F.col("repo_id") == F.col("k_repo")) & (F.col("under") == F.col("k_rel")), "left_semi").select("run_id", "path")
-    both = said.unionByName(there).distinct().join(where, F.col("run_id") == F.col("r_id"))
-    paths = both.select("run_id", "repo_id", "cwd", "root", "path", F.lit(None).cast("string").alias("path_hint"), F.lit(False).alias("vendored"))
-    placed = resolve(paths, repo_files).where("resolved is not null").select(F.col("repo_id").alias("p_repo"), F.col("cwd").alias("p_cwd"), F.col("root").alias("p_root"), F.col("path").alias("p_path"), F.col("resolved").alias("rel"))
+    there = at.join(known, (F.col("repo_id") == F.col("k_repo")) & (F.col("under") == F.col("k_rel")), "left_semi").select(*keys)
+    # written, as it is read twice and its plan holds every run's command
+    both = staged(said.unionByName(there))
+    paths = both.select(*keys, F.lit(None).cast("string").alias("path_hint"), F.lit(False).alias("vendored"))
+    placed = staged(resolve(paths, repo_files).where("resolved is not null").select(F.col("repo_id").alias("p_repo"), F.col("cwd").alias("p_cwd"), F.col("root").alias("p_root"), F.col("path").alias("p_path"), F.col("resolved").alias("rel")))
     same = (F.col("repo_id") == F.col("p_repo")) & (F.col("path") == F.col("p_path")) & F.col("cwd").eqNullSafe(F.col("p_cwd")) & F.col("root").eqNullSafe(F.col("p_root"))
-    return paths.join(placed, same).select("run_id", "rel").distinct()
+    return paths.join(placed, same).select("run_id", "repo_id", "rel").distinct()
 
 
-def rank_files(runs: DataFrame, parsed: DataFrame, resolved: DataFrame, repo_files: DataFrame, changed: DataFrame | None = None, known_modules: DataFrame | None = None) -> DataFrame:
-    """run_id, rel, rank, reason, lines. resolved: run_id, rel, line of placed frames; changed: run_id, rel; known_modules: a kept result of named_modules."""
-    repo_of = runs.select(F.col("run_id").alias("q_id"), F.col("repo_id").alias("q_repo"))
+def rank_parts(runs: DataFrame, parsed: DataFrame, resolved: DataFrame, repo_files: DataFrame, changed: DataFrame | None = None, known_modules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What `listed` puts together, as written tables: run_id, repo_id, rel, rank, lines of the files that a run itself names, and repo_id, source, target of the files next to those in a stack or failing test.
+
+    A package's files are so held once for each file of it, not once for each run. resolved: run_id, repo_id, rel, line of placed frames; changed: run_id, rel; known_modules: a kept result of named_modules.
+    """
     none = F.lit(None).cast("int")
-    one = resolved.select("run_id", "rel", F.lit(1).alias("rank"), F.col("line").cast("int").alias("line"))
-    # written, as it is read three times and its plan is a whole resolution
-    two = staged(failing_tests(parsed, runs, repo_files)).select("run_id", "rel", F.lit(2).alias("rank"), none.alias("line"))
-    seeds = one.unionByName(two).select("run_id", "rel").distinct().join(repo_of, F.col("run_id") == F.col("q_id"))
-    edges = imported(seeds.select(F.col("q_repo").alias("repo_id"), "rel"), repo_files, known_modules).select(F.col("repo_id").alias("e_repo"), "source", "target")
-    three = seeds.join(edges, (F.col("q_repo") == F.col("e_repo")) & (F.col("rel") == F.col("source"))).select("run_id", F.col("target").alias("rel"), F.lit(3).alias("rank"), none.alias("line"))
-    all_ = one.unionByName(two).unionByName(three)
+    one = resolved.select("run_id", "repo_id", "rel", F.lit(1).alias("rank"), F.col("line").cast("int").alias("line"))
+    # written, as it is read twice and its plan is a whole resolution
+    two = staged(failing_tests(parsed, runs, repo_files)).select("run_id", "repo_id", "rel", F.lit(2).alias("rank"), none.alias("line"))
+    seeds = one.unionByName(two).select("repo_id", "rel").distinct()
+    near = staged(imported(seeds, repo_files, known_modules))
+    all_ = one.unionByName(two)
     if changed is not None:
-        all_ = all_.unionByName(changed.select("run_id", "rel", F.lit(4).alias("rank"), none.alias("line")))
-    all_ = all_.unionByName(manifests(runs, repo_files).select("run_id", "rel", F.lit(5).alias("rank"), none.alias("line")))
-    best = all_.groupBy("run_id", "rel").agg(F.min("rank").alias("rank"), F.array_sort(F.collect_set("line")).alias("lines"))
+        repo_of = runs.select(F.col("run_id").alias("q_id"), "repo_id")
+        all_ = all_.unionByName(changed.join(repo_of, F.col("run_id") == F.col("q_id")).select("run_id", "repo_id", "rel", F.lit(4).alias("rank"), none.alias("line")))
+    all_ = all_.unionByName(manifests(runs, repo_files).select("run_id", "repo_id", "rel", F.lit(5).alias("rank"), none.alias("line")))
     known = rankable(repo_files).select(F.col("repo_id").alias("k_repo"), F.col("rel").alias("k_rel"))
-    held = best.join(repo_of, F.col("run_id") == F.col("q_id")).join(known, (F.col("q_repo") == F.col("k_repo")) & (F.col("rel") == F.col("k_rel")), "left_semi")
-    diagnosed = parsed.select(F.col("run_id").alias("d_id"), (F.size("diagnostics") > 0).alias("diagnosed"))
-    reason = F.when((F.col("rank") == 1) & F.col("diagnosed"), "compiler diagnostic").otherwise(F.element_at(literal_map(REASONS), F.col("rank")))
-    return held.join(diagnosed, F.col("run_id") == F.col("d_id"), "left").select("run_id", "rel", "rank", reason.alias("reason"), "lines")
+    held = all_.join(known, (F.col("repo_id") == F.col("k_repo")) & (F.col("rel") == F.col("k_rel")), "left_semi")
+    return staged(held.groupBy("run_id", "repo_id", "rel").agg(F.min("rank").alias("rank"), F.sort_array(F.collect_set("line")).alias("lines"))), near
+
+
+def listed(own: DataFrame, near: DataFrame, more: list[str]) -> DataFrame:
+    """run_id, repo_id, files: each run's files as one array of (rel, rank) and the columns `more` of both tables, in order of rank and rel.
+
+    Rows meet by run_id only; what is next to a file comes to them as one array, already in order.
+    """
+    third = near.select(F.col("repo_id").alias("n_repo"), "source", F.struct(F.col("target").alias("rel"), F.lit(3).alias("rank"), *more).alias("f"))
+    beside = staged(third.groupBy("n_repo", "source").agg(F.sort_array(F.collect_list("f")).alias("beside")))
+    beside = weighed(beside, F.size("beside"), MAX_BROADCAST)
+    met = own.repartition("run_id").join(beside, (F.col("repo_id") == F.col("n_repo")) & (F.col("rel") == F.col("source")) & (F.col("rank") <= 2), "left")
+    held = met.groupBy("run_id", "repo_id").agg(F.collect_list(F.struct("rel", "rank", *more)).alias("named"), F.flatten(F.collect_list("beside")).alias("beside"))
+    # a file's best rank comes first
+    first = lambda x: F.filter(x, lambda f, i: (i == 0) | (f["rel"] != F.get(x, i - 1)["rel"]))
+    of_rank = lambda x, k: F.filter(x, lambda f: f["rank"] == k)
+    by_rank = lambda x: F.concat(*[of_rank(x, k) for k in REASONS])
+    return held.select("run_id", "repo_id", let(let(F.sort_array(F.concat("named", "beside")), first), by_rank).alias("files"))
+
+
+def reason(rank: Column, diagnosed: Column) -> Column:
+    return F.when((rank == 1) & diagnosed, "compiler diagnostic").otherwise(F.element_at(literal_map(REASONS), rank))
+
+
+def diagnosed(parsed: DataFrame) -> DataFrame:
+    return parsed.select(F.col("run_id").alias("d_id"), (F.size("diagnostics") > 0).alias("diagnosed"))
+
+
+def rank_files(own: DataFrame, near: DataFrame, parsed: DataFrame) -> DataFrame:
+    """run_id, rel, rank, reason, lines. own, near: as rank_parts gives them."""
+    held = listed(own, near.withColumn("lines", F.array().cast("array<int>")), ["lines"]).join(diagnosed(parsed), F.col("run_id") == F.col("d_id"), "left").select("run_id", "diagnosed", F.explode("files").alias("f"))
+    return held.select("run_id", "f.rel", "f.rank", reason(F.col("f.rank"), F.col("diagnosed")).alias("reason"), "f.lines")

@@ -89,7 +89,8 @@ def resolve(frames: DataFrame, repo_files: DataFrame, host_files: DataFrame | No
     keys = ["repo_id", "cwd", "root", "path", "path_hint", "vendored"]
     if "root" not in frames.columns:
         frames = frames.withColumn("root", F.lit(None).cast("string"))
-    asked = frames.select(*keys).distinct()
+    # written, as it is read several times and its plan ends in the runs
+    asked = staged(frames.select(*keys).distinct())
     absolute = F.col("path").rlike(r"^/|^[A-Za-z]:[/\\]")
     own = F.concat(tidy(parts(F.col("root"))), F.lit("/"))
     full = tidy(parts(F.col("path")))

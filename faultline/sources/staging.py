@@ -6,7 +6,8 @@ import os
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,3 +46,9 @@ def staged(df: DataFrame) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def weighed(table: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """A written table that isn't broadcast if its rows weigh more than `limit` in all: Spark takes the size of its compressed files for it."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    return table.hint("merge") if total > limit else table

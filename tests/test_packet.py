@@ -119,3 +119,26 @@ def test_end_of_text(spark):
     texts = ["", "a", "a\n\n", "\n", "a\nb\n", "a\n\r", "a\r\n", "a\n\r\n", "a\n ", "a\n\u0085\n", "a \n", None]
     d = spark.createDataFrame([(t,) for t in texts], "t string").select(render._without_end(F.col("t")).alias("new"), F.regexp_replace("t", "\n+$", "").alias("old"))
     assert all(r.new == r.old for r in d.collect())
+
+
+def test_documents_without_texts(spark):
+    """The JSON document tells the Markdown's length without any file's text being read for it, whatever the texts end in."""
+    ends = ["", "\n\n\n", "\r\n\r\n", "\n\u0085\n", "\n\u2028\n"]
+    long = "".join(f"line {n}\r\n" for n in range(900))
+    files = {f"e{k}.py": f"x{k}\ny" + e for k, e in enumerate(ends)} | {"m.py": long + "\n\n", "n.py": long, "o.py": long, "go/a.go": "a\n", "go/b.go": "b\n\n", "go/c.go": "c"}
+    held = spark.createDataFrame([("r", rel, len(text.encode()), text) for rel, text in files.items()], FILES)
+    trace = "Traceback (most recent call last):\n{}ValueError: x\n"
+    at = lambda *places: trace.format("".join(f'  File "{p}", line {n}, in f\n' for p, n in places))
+    outs = [at(*((f"e{k}.py", 1) for k in range(len(ends)))), at(("m.py", 1), ("m.py", 700), ("n.py", 5000), ("o.py", 450)), "# go\ngo/a.go:1:2: undefined: X\ngo/c.go:1:2: undefined: Y\n", "fine\n"]
+    runs = spark.createDataFrame([(n, "r", ["x"], 1, out, "", "", "/repo") for n, out in enumerate(outs)], RUNS)
+    changed = spark.createDataFrame([(2, "go/b.go"), (3, "n.py")], "run_id long, rel string")
+    built = packet.build(runs, held, changed, budget=2_000, created_at=F.timestamp_seconds(F.lit(0)))
+    plan = lambda *names: built["packets"].select(*names)._jdf.queryExecution().optimizedPlan().toString()
+    assert " AS texts" in plan("markdown") and " AS texts" not in plan("json", "packet_tokens")
+    rows = {r.run_id: r for r in built["packets"].collect()}
+    assert len(rows) == 4 and {n: r.packet_tokens for n, r in rows.items()} == {n: (len(r.markdown) + 3) // 4 for n, r in rows.items()}
+    told = {n: [(f["path"], f["rank"], f["included"], f["trimmed"]) for f in json.loads(r.json)["files"]] for n, r in rows.items()}
+    assert told[0] == [(f"e{k}.py", 1, True, False) for k in range(len(ends))] and told[2] == [("go/a.go", 1, True, False), ("go/c.go", 1, True, False), ("go/b.go", 3, True, False)]
+    assert told[1] == [("m.py", 1, True, True), ("n.py", 1, True, True), ("o.py", 1, True, True)] and told[3] == [("n.py", 4, True, True)]
+    texts = {(r.run_id, r.rel): r.tokens for r in built["files"].collect()}
+    assert {(n, f["path"]): f["tokens_estimated"] for n, r in rows.items() for f in json.loads(r.json)["files"]} == texts
